@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,11 @@ def _first(cases: list[tuple[Column, str]], default: str) -> Column:
     return expr.otherwise(F.lit(default))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once, so an expression that uses it many times stays small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def any_of(words: Sequence[str]) -> str:
     """One alternation that matches any word literally."""
     return "|".join(re.escape(w).replace(r"\-", "-").replace("/", "/") for w in words)
@@ -54,7 +59,7 @@ def verdict(
 
 def percent_decode(text: Column) -> Column:
     """One decode pass that leaves '+' alone; text with a broken sequence stays raw."""
-    return F.coalesce(F.try_url_decode(F.regexp_replace(text, r"\+", "%2B")), text)
+    return let(text, lambda t: F.coalesce(F.try_url_decode(F.regexp_replace(t, r"\+", "%2B")), t))
 
 
 def not_found_category(
@@ -98,21 +103,25 @@ def unslash(term: Column) -> Column:
 
 def search_payload(term: Column, catalogue: Sequence[tuple] = rules.SEARCH_PAYLOAD_RULES) -> Column:
     """Struct of pattern, family and matched token; NULL for harmless text."""
-    raw, clean = unslash(term), decoded_term(term)
-    cases = []
-    for name, family, regex, on_raw in catalogue:
-        text = raw if on_raw else clean
-        cases.append(
-            F.when(
-                text.rlike(regex),
-                F.struct(
-                    F.lit(name).alias("pattern_name"),
-                    F.lit(family).alias("pattern_family"),
-                    F.substring(F.regexp_extract(text, regex, 0), 1, 120).alias("matched_token"),
-                ),
+
+    def verdict_of(view: Column) -> Column:
+        cases = []
+        for name, family, regex, on_raw in catalogue:
+            text = view["raw"] if on_raw else view["clean"]
+            cases.append(
+                F.when(
+                    text.rlike(regex),
+                    F.struct(
+                        F.lit(name).alias("pattern_name"),
+                        F.lit(family).alias("pattern_family"),
+                        F.substring(F.regexp_extract(text, regex, 0), 1, 120).alias("matched_token"),
+                    ),
+                )
             )
-        )
-    return F.when(term != "", F.coalesce(*cases))
+        return F.coalesce(*cases)
+
+    views = F.struct(unslash(term).alias("raw"), decoded_term(term).alias("clean"))
+    return F.when(term != "", let(views, verdict_of))
 
 
 def search_source(source_url: Column, request_uri: Column | None = None) -> Column:
