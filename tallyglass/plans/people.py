@@ -13,11 +13,12 @@ from ..functions.stats import half_up, ratio
 from ..operators import funnel as FN
 from ..operators import identity as ID
 from ..operators import sessions as S
+from ..operators.reuse import Shared
 from ..operators.skew import salted_lookup
 from .journeys import epoch, known_pageviews
 
 
-class ActivationFunnel:
+class ActivationFunnel(Shared):
     def __init__(
         self,
         events: DataFrame,
@@ -28,12 +29,15 @@ class ActivationFunnel:
         friction: list[str] = rules.ACTIVATION_FRICTION,
         access: list[str] = rules.ACTIVATION_ACCESS,
     ):
+        super().__init__()
         self.steps_of, self.friction, self.access = steps, friction, access
         cond = P.of_type([*steps, *friction, *access]) & P.scoped(blog_id) & (F.col("ts") <= epoch(as_of))
         if days > 0:
             cond = cond & (F.col("ts") >= epoch(as_of - timedelta(days=days)))
         rows = events.filter(cond).select("id", "event_type", "ts", "visitor_id", "user_id", "payload_user_id")
-        self.rows = ID.with_person(rows, ID.identity_bridge(rows)).filter(F.col("person") != "")
+        self.rows = self.keep(
+            "rows", lambda: ID.with_person(rows, ID.identity_bridge(rows)).filter(F.col("person") != "")
+        )
 
     def counted(self) -> DataFrame:
         return FN.ordered_funnel(self.rows, self.steps_of)
@@ -52,7 +56,7 @@ SURFACES = {"events": 2, "community": 3, "artist": 4}
 LENSES = ("direct_source", "same_session", "later_session")
 
 
-class ConversionMap:
+class ConversionMap(Shared):
     """Editorial entry journeys and what became of them."""
 
     def __init__(
@@ -71,6 +75,7 @@ class ConversionMap:
         outcomes: list[str] = rules.CONVERSION_OUTCOMES,
         lifecycle: list[str] = rules.LIFECYCLE_OUTCOMES,
     ):
+        super().__init__()
         self.gap, self.entry_blog, self.surfaces = gap, entry_blog, surfaces
         self.entry_host, self.author_id = entry_host, author_id
         self.outcome_types, self.lifecycle = outcomes, lifecycle
@@ -94,6 +99,9 @@ class ConversionMap:
 
     def journeys(self) -> DataFrame:
         """The first eligible, mature entry journey of every visitor."""
+        return self.keep("journeys", self._journeys)
+
+    def _journeys(self) -> DataFrame:
         flags = {f"on_{name}": F.col("blog_id") == blog for name, blog in self.surfaces.items()}
         sessions = S.session_table(self.pageviews(), self.gap, flags=flags, ends=["blog_id", "post_id"])
         posts = self.eligible_posts.select(F.col("post_id").alias("first_post_id"), F.lit(True).alias("_post"))
@@ -177,6 +185,9 @@ class ConversionMap:
 
     def outcome_rows(self) -> DataFrame:
         """Outcome rows with person, direct article and journey stage."""
+        return self.keep("outcomes", self._outcome_rows)
+
+    def _outcome_rows(self) -> DataFrame:
         rows = self.events.filter(
             P.of_type(self.outcome_types) & (F.col("ts") >= self.since) & (F.col("ts") < self.end)
         ).select("id", "event_type", "ts", "visitor_id", "user_id", "payload_user_id", "source_url", "context")
@@ -217,6 +228,9 @@ class ConversionMap:
 
     def records(self) -> DataFrame:
         """One row per (type, person); a later duplicate may fill attribution the first row lacks."""
+        return self.keep("records", self._records)
+
+    def _records(self) -> DataFrame:
         order = F.struct("ts", "id")
         first = lambda col, cond: F.min_by(col, F.when(cond, order))
         direct, staged = F.col("direct_post").isNotNull(), F.col("stage").isNotNull()

@@ -74,6 +74,7 @@ def compare(spark, con, fn, sql, sf_dir) -> tuple[str, str]:
     if sql is None:
         return ("rows-only" if rows else "EMPTY"), f"{len(rows)} rows"
     cur = con.execute(sql)
+    wide = [d[0] for d in cur.description if str(d[1]) == "HUGEINT"]
     dcols, dkinds, drows = table([d[0] for d in cur.description], cur.fetchall())
     if cols != dcols:
         return "COLUMNS", f"{cols} vs {dcols}"
@@ -83,8 +84,8 @@ def compare(spark, con, fn, sql, sf_dir) -> tuple[str, str]:
         bad = [(a, b) for a, b in zip(rows, drows) if a != b]
         return "VALUES", f"{len(bad)} of {len(rows)} differ, {cols}\n   spark {bad[0][0][:600]}\n   duck  {bad[0][1][:600]}"
     off = {c: (kinds[c], dkinds[c]) for c in kinds if c in dkinds and kinds[c] != dkinds[c]}
-    if off:
-        return "TYPES", str(off)
+    if off or wide:
+        return "TYPES", f"{off} hugeint {wide}"
     return ("ok" if rows else "EMPTY"), f"{len(rows)} rows"
 
 
