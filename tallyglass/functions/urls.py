@@ -89,11 +89,26 @@ def slug_of_404(url: Column) -> Column:
     return slugify(F.regexp_extract(bare, r"([^/]*)/*$", 1))
 
 
+def url_hostname(url: Column) -> Column:
+    """Normalised host of an absolute URL only; '' for paths and bare names."""
+    text = F.coalesce(url, F.lit(""))
+    return F.when(F.trim(text).rlike(r"^(?i)(?:https?:)?//"), normal_hostname(text)).otherwise("")
+
+
 def frontend_path(value: Column) -> Column:
-    """Lower-level key of a revenue row's page: a path with one leading slash, no query."""
-    trimmed = F.trim(F.coalesce(value, F.lit("")))
-    return F.regexp_replace(F.concat(F.lit("/"), path(trimmed)), r"/+", "/")
+    """Root-relative path with slashes on both ends; NULL for anything else."""
+    text = F.trim(F.coalesce(value, F.lit("")))
+    bare = F.regexp_replace(path(text), "^/+|/+$", "")
+    rooted = F.when(bare == "", "/").otherwise(F.concat(F.lit("/"), bare, F.lit("/")))
+    return F.when(text.startswith("/") & ~text.startswith("//"), rooted)
+
+
+def clean_number(value: Column) -> Column:
+    """Number from text with currency signs and separators; 0 when nothing is left."""
+    digits = F.regexp_replace(F.coalesce(value, F.lit("")), r"[^0-9.\-]", "")
+    return F.coalesce(F.when(digits != "", digits.try_cast("double")), F.lit(0.0))
 
 
 def slug_key(value: Column) -> Column:
-    return F.regexp_replace(F.lower(frontend_path(value)), r"^/+|/+$", "")
+    """Slug without query, fragment and outer slashes."""
+    return F.regexp_replace(F.regexp_extract(F.trim(value), r"^([^?#]*)", 1), "^/+|/+$", "")

@@ -167,7 +167,7 @@ TYPE_TERM_COLUMNS: dict[str, str] = {
 # One row per page, month and batch.
 REVENUE_SOURCE = """
 SELECT l_partkey AS pk, CAST({month} AS STRING) AS period_label, l_returnflag AS flag,
-       CAST(sum(CAST(l_quantity AS BIGINT) * 100) AS BIGINT) AS q,
+       CAST(sum(CAST(l_quantity AS BIGINT) * 50000) AS BIGINT) AS q,
        CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(12,4))) AS DECIMAL(18,4)) AS rev,
        CAST(count(*) AS BIGINT) AS lines, min(l_linenumber) AS ln
 FROM lineitem GROUP BY 1, 2, 3
@@ -179,13 +179,17 @@ REVENUE_COLUMNS: dict[str, str] = {
         "WHEN pk % 23 = 0 THEN concat('old/p', CAST(pk AS STRING), '.html') "
         "WHEN pk % 29 = 0 THEN 'login' ELSE concat('post-', CAST(pk AS STRING)) END"
     ),
+    "url": (
+        "CASE WHEN pk % 2 = 0 THEN concat('https://www.site', CAST(1 + pk % 3 AS STRING), '.example.com/x', "
+        "CAST(pk AS STRING), '/') WHEN pk % 31 = 0 THEN '/' END"
+    ),
     "post_id": "CASE WHEN pk % 19 = 0 OR pk % 23 = 0 OR pk % 29 = 0 THEN NULL ELSE pk END",
     "content_blog_id": (
         "CASE WHEN pk % 19 = 0 OR pk % 23 = 0 OR pk % 29 = 0 THEN NULL "
         "WHEN pk % 5 = 0 THEN NULL ELSE CAST(1 + pk % 7 AS INT) END"
     ),
     "views": "CASE WHEN pk % 41 = 0 THEN CAST(0 AS BIGINT) ELSE q END",
-    "revenue": "CASE WHEN pk % 43 = 0 THEN CAST(0 AS DECIMAL(18,4)) ELSE CAST(rev / 1000 AS DECIMAL(18,4)) END",
+    "revenue": "CASE WHEN pk % 43 = 0 THEN CAST(0 AS DECIMAL(18,4)) ELSE rev END",
     "rpm": "CASE WHEN pk % 47 = 0 THEN NULL ELSE CAST(8 + pk % 30 + ln / 10.0 AS DOUBLE) END",
     "cpm": "CASE WHEN pk % 53 = 0 THEN NULL ELSE CAST(2 + pk % 11 AS DOUBLE) END",
     "viewability": "CASE WHEN pk % 59 = 0 THEN 140.0 ELSE CAST(50 + pk % 40 AS DOUBLE) END",
@@ -260,7 +264,7 @@ def revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("l_shipdate", "yyyy-MM").alias("period_label"),
         F.col("l_returnflag").alias("flag"),
     ).agg(
-        F.sum(F.col("l_quantity").cast("bigint") * 100).alias("q"),
+        F.sum(F.col("l_quantity").cast("bigint") * 50000).alias("q"),
         F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(12,4)"))
         .cast("decimal(18,4)").alias("rev"),
         F.min("l_linenumber").alias("ln"),
