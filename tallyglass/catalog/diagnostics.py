@@ -80,7 +80,7 @@ for _name, (_method, _sql) in CHECK_SQL.items():
 
     query(_name, B.duck(_sql, *T4, **CTES))(_check)
 
-ALL = " UNION ALL ".join(f"SELECT check, status FROM ({sql})" for _, sql in CHECK_SQL.values())
+ALL = " UNION ALL ".join(f'SELECT "check", status FROM ({sql})' for _, sql in CHECK_SQL.values())
 
 
 @query("r31_revenue_diagnostics", B.duck(ALL, *T4, **CTES))

@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+PER_DECADE = 1000
+OFFSET = 400 * PER_DECADE
 
 
-def exact_median(rows: DataFrame, col: str, buckets: int = BUCKETS) -> DataFrame:
+def _bucket(v: Column) -> Column:
+    """Order-preserving bucket of a double: a thousandth of a decade wide."""
+    size = F.floor(F.log10(F.abs(F.when(v != 0, v))) * PER_DECADE) + OFFSET
+    return F.when(v == 0, 0).when(v > 0, size).otherwise(-size).cast("bigint")
+
+
+def exact_median(rows: DataFrame, col: str) -> DataFrame:
     """One-row frame (median, n): the middle value, or the mean of the middle two.
 
-    Values are counted into equal-width buckets first; only the buckets that hold the
-    middle ranks are then read value by value, as (value, count) pairs.
+    Values are counted into buckets first; the windows run over bucket counts, of which
+    there are some thousands at most. Only the buckets that hold the middle ranks are
+    then read value by value, as (value, count) pairs.
     """
     values = rows.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
-    span = values.agg(
-        F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    ).scalar()
-    width = (span["hi"] - span["lo"]) / F.lit(float(buckets))
-    bucket = F.when(width > 0, F.least(F.floor((F.col("v") - span["lo"]) / width), F.lit(buckets - 1))).otherwise(0)
-    placed = values.withColumn("b", bucket.cast("bigint"))
-    order = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    edges = placed.groupBy("b").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(order))
-    low, high = F.floor((span["n"] + 1) / 2), F.floor((span["n"] + 2) / 2)
-    held = edges.filter((F.col("upto") >= low) & (F.col("upto") - F.col("c") < high))
-    held = held.select("b", (F.col("upto") - F.col("c")).alias("before"))
-    inside = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        placed.join(held, "b").groupBy("b", "before", "v").agg(F.count("*").alias("c"))
-        .withColumn("upto", F.col("before") + F.sum("c").over(inside))
+    placed = values.groupBy("v").agg(F.count("*").alias("c")).withColumn("b", _bucket(F.col("v")))
+    running = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    everything = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = placed.groupBy("b").agg(F.sum("c").alias("held"))
+    edges = edges.select(
+        "b", (F.sum("held").over(running) - F.col("held")).alias("before"), "held", F.sum("held").over(everything).alias("n")
     )
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    edges = edges.filter((F.col("before") + F.col("held") >= low) & (F.col("before") < high)).drop("held")
+    inside = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(edges, "b").withColumn("upto", F.col("before") + F.sum("c").over(inside))
     first = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
-    return ranked.agg(((first(low) + first(high)) / 2).alias("median"), F.max(span["n"]).alias("n"))
+    return ranked.agg(((first(low) + first(high)) / 2).alias("median"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))

@@ -101,14 +101,14 @@ def with_benchmark(pages: DataFrame) -> DataFrame:
     base = pages.filter((F.col("views") > 0) & (F.col("revenue_status") == "applicable"))
     rpm = exact_median(base, "derived_rpm").select(F.struct("median", "n")).scalar()
     views = exact_median(base, "views").select("median").scalar()
-    usable = F.coalesce(rpm["n"] >= MIN_BENCHMARK, F.lit(False)) & (F.col("revenue_status") == "applicable")
-    score = (
-        F.when(usable & (F.col("views") > 0) & (rpm["median"] <= 0), 0.0)
-        .when(usable & (F.col("views") > 0), ratio(F.col("derived_rpm"), rpm["median"], 4))
+    out = pages.withColumn("_rpm", rpm).withColumn("_views", views)
+    usable = (F.col("_rpm.n") >= MIN_BENCHMARK) & (F.col("revenue_status") == "applicable") & (F.col("views") > 0)
+    score = F.when(usable & (F.col("_rpm.median") <= 0), 0.0).when(
+        usable, ratio(F.col("derived_rpm"), F.col("_rpm.median"), 4)
     )
-    out = pages.withColumn("benchmark_score", score)
-    hit = (F.col("benchmark_score") >= OPPORTUNITY) & (F.col("views") >= views)
-    return out.withColumn("benchmark_opportunity", F.coalesce(hit, F.lit(False)))
+    out = out.withColumn("benchmark_score", score)
+    hit = (F.col("benchmark_score") >= OPPORTUNITY) & (F.col("views") >= F.col("_views"))
+    return out.withColumn("benchmark_opportunity", F.coalesce(hit, F.lit(False))).drop("_rpm", "_views")
 
 
 def sort_pages(pages: DataFrame, sort_by: str = "derived_rpm", order: str = "desc", limit: int = 50) -> DataFrame:
