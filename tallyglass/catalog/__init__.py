@@ -11,8 +11,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 AREAS = (
-    "traffic", "notfound", "enrich", "journeys", "people", "experiments", "content", "revenue",
-    "diagnostics", "growth", "errors", "jobs", "streams", "parts",
+    "traffic", "notfound", "enrich", "journeys", "people", "experiments", "revenue",
+    "diagnostics", "growth", "errors", "jobs", "streams",
 )
 
 
@@ -37,8 +37,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     for area in AREAS:
-        try:
-            importlib.import_module(f"{__name__}.{area}")
-        except ModuleNotFoundError as missing:
-            if missing.name != f"{__name__}.{area}":
-                raise
+        importlib.import_module(f"{__name__}.{area}")
