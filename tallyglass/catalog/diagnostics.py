@@ -116,7 +116,7 @@ def _(spark, sf):
 
 @query(
     "d06_resolution_coverage__by_route",
-    B.duck("""SELECT route_family, count(*) AS pages FROM (SELECT page_key, arg_min(route_family, struct_pack(a := period_label, b := import_batch, c := route_family)) AS route_family
+    B.duck("""SELECT route_family, count(*) AS pages FROM (SELECT page_key, arg_min(route_family, source_url) AS route_family
     FROM rr WHERE NOT is_content GROUP BY 1) GROUP BY 1""", *T4, **CTES),
 )
 def _(spark, sf):

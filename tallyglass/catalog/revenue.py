@@ -30,9 +30,10 @@ ROLL = f"""count(DISTINCT page_key) AS pages, CAST(sum(views) AS BIGINT) AS view
  CASE WHEN min(st) = max(st) THEN min(st) ELSE 'mixed' END AS revenue_status, count(*) FILTER (conflict) AS policy_conflicts"""
 
 
-def resolved(spark, sf, **kw):
+def resolved(spark, sf, fold=True, **kw):
     dim = R.content_dim(B.content(spark, sf), B.content_terms(spark, sf))
-    return R.resolve_rows(B.revenue(spark, sf), dim, B.policy(spark, sf), **kw)
+    rows = B.revenue(spark, sf)
+    return R.resolve_rows(R.fold_pages(rows) if fold else rows, dim, B.policy(spark, sf), **kw)
 
 
 def _bucket(key: str, where: str, name: str = "bucket") -> str:
@@ -95,7 +96,7 @@ def _(spark, sf):
     FROM res""", *T4, **RV),
 )
 def _(spark, sf):
-    return resolved(spark, sf).select(
+    return resolved(spark, sf, fold=False).select(
         "slug", "period_label", "import_batch", "is_content", "page_key", "format", "route_family", "editorial",
         "policy_status", "policy_conflict",
     )
@@ -107,7 +108,7 @@ def _(spark, sf):
     AND regexp_replace(lower(regexp_extract(page_url, '^[a-z]*:?//([^/?#:]*)', 1)), '^www\.', '') = 'site2.example.com'""", *T4, **RV),
 )
 def _(spark, sf):
-    rows = resolved(spark, sf, hostname="https://WWW.Site2.example.com/")
+    rows = resolved(spark, sf, fold=False, hostname="https://WWW.Site2.example.com/")
     return rows.select("slug", "period_label", "import_batch", "page_key")
 
 
@@ -118,7 +119,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = resolved(spark, sf)
-    cols = [R.aggregate_status().alias("status"), F.count_if("policy_conflict").alias("conflicts")]
+    cols = [R.aggregate_status().alias("status"), F.sum("conflict_rows").alias("conflicts")]
     per = rows.groupBy("content_blog_id").agg(*cols)
     return per.unionByName(rows.agg(*cols).withColumn("content_blog_id", F.lit(0)))
 
@@ -274,7 +275,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     dim = R.content_dim(B.content(spark, sf), B.content_terms(spark, sf))
-    rows = R.resolve_rows(R.in_default_scope(B.revenue(spark, sf)), dim, B.policy(spark, sf))
+    rows = R.resolve_rows(R.fold_pages(R.in_default_scope(B.revenue(spark, sf))), dim, B.policy(spark, sf))
     return PR.RevenuePages(rows, "all", 50000).ranked("cpm")
 
 

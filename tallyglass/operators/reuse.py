@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from ..session import scratch_dir
+
 
 class Shared:
-    """Keeps named intermediates in executor memory, spilling to disk.
+    """Writes named intermediates once, as tables in the shared scratch folder.
 
-    Lost blocks are recomputed from lineage, so an executor may go at any time.
-    ``release`` frees them once the report's outputs are written.
+    Reading the table back cuts the lineage: the outputs get short plans, scan only the
+    columns they need, and a lost executor costs no recomputation. The folder is the
+    cluster's checkpoint folder, whose owner clears it.
     """
 
     def __init__(self) -> None:
@@ -20,10 +22,9 @@ class Shared:
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._kept:
-            self._kept[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
+            rows = build()
+            spark = rows.sparkSession
+            path = scratch_dir(spark, name)
+            rows.write.parquet(path)
+            self._kept[name] = spark.read.schema(rows.schema).parquet(path)
         return self._kept[name]
-
-    def release(self) -> None:
-        for frame in self._kept.values():
-            frame.unpersist()
-        self._kept.clear()

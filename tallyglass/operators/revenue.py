@@ -48,10 +48,6 @@ def policy_status(serve_ads: Column) -> Column:
     return F.when(serve_ads, "applicable").when(~serve_ads, "not_applicable").otherwise("unknown")
 
 
-def policy_conflict(serve_ads: Column, revenue: Column) -> Column:
-    return F.coalesce(~serve_ads & (revenue > 0), F.lit(False))
-
-
 def normal_policy(policy: DataFrame) -> DataFrame:
     reason = F.coalesce(F.when(F.col("reason") != "", F.col("reason")), F.lit("unknown"))
     return policy.withColumn("reason", reason)
@@ -63,20 +59,56 @@ def aggregate_status(status: str = "policy_status") -> Column:
     return F.coalesce(F.when(one, F.min(status)).otherwise(F.when(F.min(status).isNotNull(), "mixed")), F.lit("unknown"))
 
 
+RATES = ("rpm", "cpm", "viewability", "fill_rate", "impressions_per_pageview")
+
+
+def fold_pages(rows: DataFrame) -> DataFrame:
+    """Snapshot rows folded to one per page as stored, combined before any shuffle.
+
+    Content, route and policy lookups then run once per page, not once per page and
+    period. Sums and counts stand in for the rows.
+    """
+    positive = F.col("revenue") > 0
+    return rows.groupBy("slug", "url", "post_id", "content_blog_id").agg(
+        F.count("*").alias("rows"),
+        F.sum("views").alias("views"),
+        F.sum("revenue").alias("revenue"),
+        F.count_if(positive).alias("positive_rows"),
+        F.coalesce(F.sum(F.when(positive, F.col("revenue"))), F.lit(0).cast("decimal(28,4)")).alias("positive_revenue"),
+        *[F.sum(F.coalesce(r, F.lit(0.0))).alias(f"sum_{r}") for r in RATES],
+    )
+
+
+def _as_folded(rows: DataFrame) -> DataFrame:
+    """Single rows with the columns of folded ones."""
+    if "positive_rows" in rows.columns:
+        return rows
+    positive = F.col("revenue") > 0
+    return rows.select(
+        "*",
+        F.lit(1).cast("bigint").alias("rows"),
+        positive.cast("bigint").alias("positive_rows"),
+        F.when(positive, F.col("revenue")).otherwise(0).alias("positive_revenue"),
+        *[F.coalesce(r, F.lit(0.0)).alias(f"sum_{r}") for r in RATES],
+    )
+
+
 def resolve_rows(
     rows: DataFrame, dim: DataFrame, policy: DataFrame, blog_id: int = 1, hostname: str = "", entry_blog: int = 1
 ) -> DataFrame:
-    """Revenue rows with their published content, page key, route family and ad policy.
+    """Revenue rows, folded or single, with published content, page key, route family and ad policy.
 
     A stored post that is no longer published stays in, as unresolved.
     """
     content_blog = F.coalesce(F.when(F.col("content_blog_id") > 0, F.col("content_blog_id")), F.lit(blog_id))
     source_url = F.coalesce(F.when(F.col("url") != "", F.col("url")), F.col("slug"))
+    rows = _as_folded(rows)
     keyed = rows.withColumn("stored_post_id", F.col("post_id")).withColumn("content_blog_id", content_blog)
     keyed = keyed.withColumn("source_url", source_url).drop("post_id", "url")
+    spread = ("slug", "source_url", "period_label", "import_batch")
     # Rows without a post probe with a key of their own instead of piling up under NULL.
     probe = F.when(F.col("stored_post_id") > 0, F.col("stored_post_id")).otherwise(
-        -1 - F.pmod(F.xxhash64("slug", "period_label", "import_batch"), F.lit(1 << 40))
+        -1 - F.pmod(F.xxhash64(*[c for c in spread if c in rows.columns]), F.lit(1 << 40))
     )
     right = dim.select(
         F.col("blog_id").alias("content_blog_id"), F.col("post_id").alias("_probe"),
@@ -104,8 +136,8 @@ def resolve_rows(
             "editorial"
         ),
         policy_status(F.col("serve_ads")).alias("policy_status"),
-        policy_conflict(F.col("serve_ads"), F.col("revenue")).alias("policy_conflict"),
-    )
+        F.when(~F.col("serve_ads"), F.col("positive_rows")).otherwise(0).alias("conflict_rows"),
+    ).withColumn("policy_conflict", F.col("conflict_rows") > 0)
 
 
 def host_scope(resolved: DataFrame, hostname: str) -> DataFrame:
@@ -130,7 +162,7 @@ def rollup(rows: DataFrame, *keys: Column) -> DataFrame:
         F.coalesce(F.sum("views"), F.lit(0)).alias("views"),
         F.coalesce(F.sum("revenue"), F.lit(0).cast("decimal(28,4)")).alias("_rev"),
         aggregate_status().alias("revenue_status"),
-        F.count_if("policy_conflict").alias("policy_conflicts"),
+        F.sum("conflict_rows").alias("policy_conflicts"),
     )
     names = [c for c in folded.columns if c not in ("pages", "views", "_rev", "revenue_status", "policy_conflicts")]
     return folded.select(

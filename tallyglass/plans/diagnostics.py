@@ -43,20 +43,75 @@ def missing_periods(rows: DataFrame) -> DataFrame:
 
 
 class Diagnostics(Shared):
-    """``rows`` are raw revenue rows, ``resolved`` the same rows after content resolution."""
+    """``rows`` are raw revenue rows, ``pages`` the same rows folded and resolved.
 
-    def __init__(self, rows: DataFrame, resolved: DataFrame, as_of: date):
+    All row checks share one pass over the rows, all page checks one over the pages;
+    what the single checks read are one-row tables.
+    """
+
+    def __init__(self, rows: DataFrame, pages: DataFrame, as_of: date):
         super().__init__()
-        self.rows, self.as_of = rows, as_of
+        self.rows, self.as_of, self._pages = rows, as_of, pages
+
+    def pages(self) -> DataFrame:
         cols = [
-            "slug", "period_label", "import_batch", "views", "revenue", "rpm", "cpm", "viewability", "fill_rate",
-            "impressions_per_pageview", "stored_post_id", "is_content", "page_key", "content_blog_id", "post_type",
-            "format", "editorial", "route_family", "serve_ads", "policy_status", "policy_conflict", "reason",
+            "slug", "source_url", "rows", "views", "revenue", "positive_revenue", "stored_post_id", "is_content", "page_key",
+            "format", "editorial", "route_family", "serve_ads", "conflict_rows",
         ]
-        self.resolved = self.keep("resolved", lambda: resolved.select(*cols))
+        return self.keep("pages", lambda: self._pages.select(*cols))
 
     def periods(self) -> DataFrame:
-        return R.batches(self.rows)
+        return self.keep("periods", lambda: R.batches(self.rows))
+
+    def row_stats(self) -> DataFrame:
+        return self.keep("row_stats", self._row_stats)
+
+    def page_stats(self) -> DataFrame:
+        return self.keep("page_stats", self._page_stats)
+
+    def _row_stats(self) -> DataFrame:
+        views, revenue = F.col("views"), F.col("revenue")
+        unseen, unpaid = (views <= 0) & (revenue > 0), (views > 0) & (revenue <= 0)
+        source = F.coalesce("rpm", F.lit(0.0))
+        drift = F.abs(F.col("derived_rpm") - source) / F.greatest(F.abs(source), F.lit(RPM_FLOOR)) > RPM_DRIFT
+        blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+        return self._judged().agg(
+            F.count("*").alias("rows"),
+            F.coalesce(F.sum(views), F.lit(0)).alias("views"),
+            _money(F.sum(revenue)).alias("revenue"),
+            F.count_if(unseen).alias("unseen_rows"),
+            _money(F.sum(F.when(unseen, revenue))).alias("unseen_revenue"),
+            F.count_if(unpaid).alias("unpaid_rows"),
+            F.coalesce(F.sum(F.when(unpaid, views)), F.lit(0)).alias("unpaid_views"),
+            F.count_if(F.size("issues") > 0).alias("bad_rows"),
+            F.count_if("high_rate").alias("high_rate_rows"),
+            F.count_if(views > 0).alias("viewed_rows"),
+            F.count_if((views > 0) & drift).alias("divergent_rows"),
+            F.count_if(blank("import_batch")).alias("missing_batch"),
+            F.count_if(blank("period_label")).alias("missing_period"),
+        )
+
+    def _page_stats(self) -> DataFrame:
+        content, n = F.col("is_content"), F.col("rows")
+        known = F.col("serve_ads").isNotNull()
+        add = lambda cond, col: F.coalesce(F.sum(F.when(cond, col)), F.lit(0))
+        return self.pages().agg(
+            F.coalesce(F.sum(n), F.lit(0)).alias("raw_rows"),
+            F.count_distinct("page_key").alias("total_pages"),
+            F.count_distinct(F.when(content, F.col("page_key"))).alias("resolved_pages"),
+            F.count_distinct(F.when(~content, F.col("page_key"))).alias("unresolved_pages"),
+            add(content, n).alias("content_rows"),
+            add(~content, n).alias("unresolved_rows"),
+            add(~content & (F.col("stored_post_id") > 0), n).alias("stale_post_id_rows"),
+            F.coalesce(F.sum("views"), F.lit(0)).alias("partition_views"),
+            _money(F.sum("revenue")).alias("partition_revenue"),
+            add(content, F.col("views")).alias("resolved_views"),
+            add(~content, F.col("views")).alias("unresolved_views"),
+            add(known, n).alias("instrumented_rows"),
+            add(~known, n).alias("unknown_rows"),
+            F.coalesce(F.sum("conflict_rows"), F.lit(0)).alias("conflict_rows"),
+            _money(F.sum(F.when(~F.col("serve_ads"), F.col("positive_revenue")))).alias("conflict_revenue"),
+        )
 
     def freshness(self) -> DataFrame:
         out = self.periods().agg(
@@ -98,18 +153,15 @@ class Diagnostics(Shared):
 
     def reconciliation(self) -> DataFrame:
         """Row sums after resolution against the snapshot list's sums."""
-        by_row = self.resolved.agg(
-            F.count("*").alias("row_rows"), F.coalesce(F.sum("views"), F.lit(0)).alias("row_views"),
-            _money(F.sum("revenue")).alias("row_revenue"),
+        by_row = self.page_stats().select(
+            F.col("raw_rows").alias("row_rows"), F.col("partition_views").alias("row_views"),
+            F.col("partition_revenue").alias("row_revenue"),
         )
-        listed = self.rows.groupBy("period_label", "import_batch").agg(
-            F.count("*").alias("rows"), F.sum("views").alias("views"), F.sum("revenue").alias("revenue")
-        )
-        other = listed.agg(
+        other = self.periods().agg(
             F.struct(
                 F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
                 F.coalesce(F.sum("views"), F.lit(0)).alias("views"),
-                _money(F.sum("revenue")).alias("revenue"),
+                _money(F.sum(F.col("revenue").cast("decimal(28,4)"))).alias("revenue"),
             )
         ).scalar()
         out = by_row.select(
@@ -126,16 +178,9 @@ class Diagnostics(Shared):
         return _named("totals_reconciliation", out.select(status.alias("status"), "*"))
 
     def partition(self) -> DataFrame:
-        content = F.col("is_content")
-        out = self.resolved.agg(
-            F.count("*").alias("raw_rows"),
-            F.count_distinct(F.when(content, F.col("page_key"))).alias("resolved_pages"),
-            F.count_distinct(F.when(~content, F.col("page_key"))).alias("unresolved_pages"),
-            F.count_if(content).alias("content_rows"),
-            F.count_if(~content).alias("unresolved_rows"),
-            F.count_if(~content & (F.col("stored_post_id") > 0)).alias("stale_post_id_rows"),
-            F.sum("views").alias("partition_views"),
-            _money(F.sum("revenue")).alias("partition_revenue"),
+        out = self.page_stats().select(
+            "raw_rows", "resolved_pages", "unresolved_pages", "content_rows", "unresolved_rows", "stale_post_id_rows",
+            "partition_views", "partition_revenue",
         )
         complete = F.col("content_rows") + F.col("unresolved_rows") == F.col("raw_rows")
         status = F.when(~complete, "fail").otherwise(_warn(F.col("stale_post_id_rows") > 0))
@@ -144,13 +189,8 @@ class Diagnostics(Shared):
         ))
 
     def resolution(self) -> DataFrame:
-        content = F.col("is_content")
-        out = self.resolved.agg(
-            F.count_distinct("page_key").alias("total_pages"),
-            F.count_distinct(F.when(content, F.col("page_key"))).alias("resolved_pages"),
-            F.count_distinct(F.when(~content, F.col("page_key"))).alias("unresolved_pages"),
-            F.coalesce(F.sum(F.when(content, F.col("views"))), F.lit(0)).alias("resolved_views"),
-            F.coalesce(F.sum(F.when(~content, F.col("views"))), F.lit(0)).alias("unresolved_views"),
+        out = self.page_stats().select(
+            "total_pages", "resolved_pages", "unresolved_pages", "resolved_views", "unresolved_views"
         )
         share = F.col("unresolved_pages") / F.when(F.col("total_pages") > 0, F.col("total_pages"))
         return _named("resolution_coverage", out.select(
@@ -159,14 +199,14 @@ class Diagnostics(Shared):
         ))
 
     def resolution_by_route(self) -> DataFrame:
-        """Distinct unresolved pages per route family, each page in the family of its first row."""
-        pages = self.resolved.filter(~F.col("is_content")).groupBy("page_key").agg(
-            F.min_by("route_family", F.struct("period_label", "import_batch", "route_family")).alias("route_family")
+        """Distinct unresolved pages per route family, each page in the family of its first URL."""
+        pages = self.pages().filter(~F.col("is_content")).groupBy("page_key").agg(
+            F.min_by("route_family", "source_url").alias("route_family")
         )
         return pages.groupBy("route_family").agg(F.count("*").alias("pages"))
 
     def format_pages(self) -> DataFrame:
-        return self.resolved.filter("is_content").groupBy("page_key", "editorial").agg(F.max("format").alias("format"))
+        return self.pages().filter("is_content").groupBy("page_key", "editorial").agg(F.max("format").alias("format"))
 
     def formats(self) -> DataFrame:
         out = self.format_pages().agg(
@@ -183,24 +223,20 @@ class Diagnostics(Shared):
 
     def zero_view_rows(self) -> DataFrame:
         """A few examples, largest revenue first."""
-        rows = self.resolved.filter((F.col("views") <= 0) & (F.col("revenue") > 0))
+        rows = self.rows.filter((F.col("views") <= 0) & (F.col("revenue") > 0))
         return rows.select("slug", "period_label", "import_batch", "revenue").orderBy(
             F.desc("revenue"), "slug", "period_label", "import_batch"
         ).limit(SAMPLES)
 
     def zero_views(self) -> DataFrame:
-        hit = (F.col("views") <= 0) & (F.col("revenue") > 0)
-        out = self.resolved.agg(
-            F.count_if(hit).alias("rows"), _money(F.sum(F.when(hit, F.col("revenue")))).alias("revenue")
+        out = self.row_stats().select(
+            F.col("unseen_rows").alias("rows"), F.col("unseen_revenue").alias("revenue")
         )
         return _named("zero_view_revenue", out.select(_warn(F.col("rows") > 0).alias("status"), "*"))
 
     def zero_revenue(self) -> DataFrame:
-        hit = (F.col("views") > 0) & (F.col("revenue") <= 0)
-        out = self.resolved.agg(
-            F.count_if(hit).alias("rows"),
-            F.coalesce(F.sum(F.when(hit, F.col("views"))), F.lit(0)).alias("views"),
-            F.count("*").alias("_n"),
+        out = self.row_stats().select(
+            F.col("unpaid_rows").alias("rows"), F.col("unpaid_views").alias("views"), F.col("rows").alias("_n")
         )
         share = F.col("rows") / F.when(F.col("_n") > 0, F.col("_n"))
         return _named("views_zero_revenue", out.select(
@@ -212,7 +248,10 @@ class Diagnostics(Shared):
         return R.per_thousand(F.col("revenue"), F.col("views"), 4)
 
     def issues(self) -> DataFrame:
-        """Rows with impossible values and the list of what is wrong with each."""
+        """Rows with the list of impossible values each holds."""
+        return self._judged().select("slug", "period_label", "import_batch", "issues", "high_rate")
+
+    def _judged(self) -> DataFrame:
         rate = {
             "revenue": F.col("revenue").cast("double"), "source_rpm": F.col("rpm"), "derived_rpm": self._derived_rpm(),
             "cpm": F.col("cpm"), "viewability": F.col("viewability"), "fill_rate": F.col("fill_rate"),
@@ -226,25 +265,18 @@ class Diagnostics(Shared):
         bad += [("impressions_out_of_range", ~rate["impressions_per_pageview"].between(0, MAX_IMPRESSIONS))]
         high = [rate[k] > HIGH_RATE for k in ("source_rpm", "derived_rpm", "cpm")]
         codes = F.filter(F.array(*[F.when(cond, F.lit(code)) for code, cond in bad]), lambda c: c.isNotNull())
-        return self.resolved.select(
-            "slug", "period_label", "import_batch", codes.alias("issues"),
-            reduce(lambda a, b: a | b, high).alias("high_rate"),
+        return self.rows.select(
+            "slug", "period_label", "import_batch", "views", "revenue", "rpm", self._derived_rpm().alias("derived_rpm"),
+            codes.alias("issues"), reduce(lambda a, b: a | b, high).alias("high_rate"),
         )
 
     def impossible(self) -> DataFrame:
-        out = self.issues().agg(
-            F.count_if(F.size("issues") > 0).alias("bad_rows"), F.count_if("high_rate").alias("high_rate_rows")
-        )
+        out = self.row_stats().select("bad_rows", "high_rate_rows")
         status = F.when(F.col("bad_rows") > 0, "fail").otherwise(_warn(F.col("high_rate_rows") > 0))
         return _named("negative_impossible_values", out.select(status.alias("status"), "*"))
 
     def rpm_variance(self) -> DataFrame:
-        source, derived = F.coalesce("rpm", F.lit(0.0)), self._derived_rpm()
-        viewed = F.col("views") > 0
-        drift = F.abs(derived - source) / F.greatest(F.abs(source), F.lit(RPM_FLOOR)) > RPM_DRIFT
-        out = self.resolved.agg(
-            F.count_if(viewed).alias("viewed_rows"), F.count_if(viewed & drift).alias("divergent_rows")
-        )
+        out = self.row_stats().select("viewed_rows", "divergent_rows")
         share = F.col("divergent_rows") / F.when(F.col("viewed_rows") > 0, F.col("viewed_rows"))
         return _named("rpm_variance", out.select(
             _warn(share > MAX_DRIFT_ROWS).alias("status"), "*",
@@ -252,23 +284,12 @@ class Diagnostics(Shared):
         ))
 
     def provenance(self) -> DataFrame:
-        blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-        out = self.resolved.agg(
-            F.count("*").alias("rows"),
-            F.count_if(blank("import_batch")).alias("missing_batch"),
-            F.count_if(blank("period_label")).alias("missing_period"),
-        )
+        out = self.row_stats().select("rows", "missing_batch", "missing_period")
         lacking = F.col("missing_batch") + F.col("missing_period") > 0
         return _named("provenance_coverage", out.select(_warn(lacking).alias("status"), "*"))
 
     def ad_policy(self) -> DataFrame:
-        known = F.col("serve_ads").isNotNull()
-        out = self.resolved.agg(
-            F.count_if(known).alias("instrumented_rows"),
-            F.count_if(~known).alias("unknown_rows"),
-            F.count_if("policy_conflict").alias("conflict_rows"),
-            _money(F.sum(F.when(F.col("policy_conflict"), F.col("revenue")))).alias("conflict_revenue"),
-        )
+        out = self.page_stats().select("instrumented_rows", "unknown_rows", "conflict_rows", "conflict_revenue")
         return _named("ad_policy_consistency", out.select(
             _warn((F.col("conflict_rows") > 0) | (F.col("unknown_rows") > 0)).alias("status"), "*"
         ))

@@ -62,7 +62,7 @@ OPPORTUNITY = 1.5
 
 def page_table(resolved: DataFrame) -> DataFrame:
     """One row per page: volumes are summed, rates are plain means of the page's rows."""
-    means = [F.avg(F.coalesce(src, F.lit(0.0))).alias(f"_{name}") for name, src in RATES.items()]
+    means = [(F.sum(f"sum_{src}") / F.sum("rows")).alias(f"_{name}") for name, src in RATES.items()]
     text = lambda col: F.max(F.coalesce(F.when(F.col("is_content"), F.col(col)), F.lit("")))
     folded = resolved.groupBy("page_key", "is_content").agg(
         F.max(F.when(F.col("is_content"), F.col("stored_post_id")).otherwise(0)).alias("post_id"),

@@ -25,6 +25,9 @@ def build_session(app: str = "tallyglass", cores: int = 8, memory: str = "8g") -
     return spark
 
 
+_local_base: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
@@ -33,5 +36,7 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tallyglass-")
+        if not _local_base:
+            _local_base.append(tempfile.mkdtemp(prefix="tallyglass-"))
+        base = _local_base[0]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

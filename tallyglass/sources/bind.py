@@ -28,14 +28,24 @@ DUCK = {
 }
 
 
-def pick(expr: str, values: list[str | None]) -> str:
-    """CASE over ``expr % len(values)``; a value starting with '=' is an expression."""
+def _text(value: str | None) -> str:
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return value[1:] if value.startswith("=") else "'" + value.replace("'", "''") + "'"
+
+
+def pick_spark(expr: str, values: list[str | None]) -> str:
+    """Value number ``expr % len(values)``; reads ``expr`` once, so a pushed-down filter parses the payload once."""
+    return f"elt(CAST(({expr}) % {len(values)} AS INT) + 1, {', '.join(map(_text, values))})"
+
+
+def pick_duck(expr: str, values: list[str | None]) -> str:
+    """The same as CASE; a value starting with '=' is an expression."""
     arms = []
     for i, value in enumerate(values):
         if value is None:
             continue
-        text = value[1:] if value.startswith("=") else "'" + value.replace("'", "''") + "'"
-        arms.append(f"WHEN {i} THEN {text}")
+        arms.append(f"WHEN {i} THEN {_text(value)}")
     return f"CASE ({expr}) % {len(values)} {' '.join(arms)} END"
 
 
@@ -69,62 +79,64 @@ DESTINATIONS = [
     "shop.bigcartel.com", "example.org", None, "", "www.ticketmaster.com",
 ]
 
-EVENT_COLUMNS: dict[str, str] = {
-    "id": "event_id",
-    "event_type": (
-        "CASE event_type WHEN 'view' THEN 'pageview' WHEN 'click' THEN "
-        + pick("k", ["bridge_impression", "bridge_click", "outbound_click", "search"])
-        + " WHEN 'signup' THEN "
-        + pick("k", ["newsletter_signup", "user_registration", "experiment_assignment", "experiment_exposure"])
-        + " WHEN 'purchase' THEN "
-        + pick("k", ["artist_signup_started", "artist_profile_created", "artist_profile_first_publish"])
-        + " ELSE CASE WHEN k % 5 = 0 THEN 'search_attack' ELSE '404_error' END END"
-    ),
-    "created_at": "CAST(date_trunc('second', ts) AS TIMESTAMP)",
-    "ts": "{epoch}",
-    "blog_id": "CAST(1 + k % 7 AS INT)",
-    "user_id": "CASE WHEN event_id % 3 = 0 THEN user_id END",
-    "payload_user_id": "CASE WHEN event_id % 17 = 0 THEN 0 WHEN event_id % 19 = 0 THEN user_id END",
-    "visitor_id": (
-        "CASE WHEN event_id % 11 = 0 THEN NULL WHEN user_id % 10 < 2 "
-        "THEN concat('s', CAST(CAST(floor(user_id / 10) AS BIGINT) AS STRING)) "
-        "ELSE concat('v', CAST(user_id AS STRING)) END"
-    ),
-    "is_bot": "CASE WHEN k % 10 = 0 THEN 'true' WHEN k % 10 = 1 THEN NULL ELSE 'false' END",
-    "source_url": (
-        "CASE WHEN k % 8 = 4 THEN '' WHEN k % 8 = 6 THEN concat('https://site', CAST(1 + k % 7 AS STRING), "
-        "'.example.com/search/?s=', CAST(user_id AS STRING)) "
-        "WHEN k % 8 = 3 THEN concat('https://www.site1.example.com/post-', CAST(k AS STRING), '/?utm=x') "
-        "ELSE concat('https://site', CAST(1 + k % 7 AS STRING), '.example.com/post-', CAST(k AS STRING), '/') END"
-    ),
-    "post_id": "CASE WHEN k % 4 <> 0 THEN CAST(k AS BIGINT) END",
-    "route_family": pick("k", ["home", "archive", "singular", "directory", None, "search"]),
-    "view_kind": "CASE WHEN k % 4 = 0 AND k % 3 <> 0 THEN 'route' END",
-    "referrer_host": pick("k", [None, "google.com", "facebook.com", None, "site2.example.com", "news.example.org", "chatgpt.com"]),
-    "context": pick("k", ["registration", "popup", "popup", "popup", "footer", "popup", "popup", "sidebar"]),
-    "search_term": pick("user_id + k", SEARCHES),
-    "result_count": "CAST(k % 5 AS BIGINT)",
-    "search_source": pick("k", ["nav", "archive", None]),
-    "requested_url": pick("user_id + k", REQUESTED),
-    "classification": pick("user_id + k", ["time_based_sqli", "boolean_sqli", "xss_script_tag", None]),
-    "pattern_family": pick("user_id + k", ["sqli", "sqli", "xss", None]),
-    "ip": "CASE WHEN k % 3 <> 0 THEN concat('10.0.0.', CAST(user_id % 50 AS STRING)) END",
-    "ip_hash": "CASE WHEN k % 13 <> 0 THEN md5(CAST(user_id % 60 AS STRING)) END",
-    "user_agent": pick("event_id + k", AGENTS),
-    "dest_host": pick("user_id + k", DESTINATIONS),
-    "dest_url": (
-        "concat('https://', coalesce(" + pick("user_id + k", DESTINATIONS) + ", ''), '/p/', CAST(k AS STRING), '?q=1')"
-    ),
-    "category": "CASE WHEN k % 3 = 0 THEN 'merch' END",
-    "dest_site": pick("user_id + k", ["events", "community", "artist", "", None]),
-    "experiment_key": "CASE WHEN k % 25 = 2 THEN 'other-test' ELSE 'card-holdout' END",
-    "definition_version": "CAST(CASE WHEN k % 23 = 0 THEN 2 WHEN k % 29 = 2 THEN 0 ELSE 1 END AS BIGINT)",
-    "assignment_policy": "CASE WHEN k % 31 = 2 THEN 'Bad Policy' ELSE 'visitor-hash' END",
-    "variant": (
-        "CASE WHEN (user_id % 2 = 0) <> (k % 20 = 2) THEN 'control' ELSE 'treatment' END"
-    ),
-    "surface": "CASE WHEN k % 37 = 3 THEN 'sidebar-card' ELSE 'post-card' END",
-}
+POST_URL = "=concat('https://site', CAST(1 + k % 7 AS STRING), '.example.com/post-', CAST(k AS STRING), '/')"
+POST_URL_WWW = "=concat('https://www.site1.example.com/post-', CAST(k AS STRING), '/?utm=x')"
+SEARCH_URL = "=concat('https://site', CAST(1 + k % 7 AS STRING), '.example.com/search/?s=', CAST(user_id AS STRING))"
+
+
+def event_columns(pick) -> dict[str, str]:
+    return {
+        "id": "event_id",
+        "event_type": (
+            "CASE event_type WHEN 'view' THEN 'pageview' WHEN 'click' THEN "
+            + pick("k", ["bridge_impression", "bridge_click", "outbound_click", "search"])
+            + " WHEN 'signup' THEN "
+            + pick("k", ["newsletter_signup", "user_registration", "experiment_assignment", "experiment_exposure"])
+            + " WHEN 'purchase' THEN "
+            + pick("k", ["artist_signup_started", "artist_profile_created", "artist_profile_first_publish"])
+            + " ELSE CASE WHEN k % 5 = 0 THEN 'search_attack' ELSE '404_error' END END"
+        ),
+        "created_at": "CAST(date_trunc('second', ts) AS TIMESTAMP)",
+        "ts": "{epoch}",
+        "blog_id": "CAST(1 + k % 7 AS INT)",
+        "user_id": "CASE WHEN event_id % 3 = 0 THEN user_id END",
+        "payload_user_id": "CASE WHEN event_id % 17 = 0 THEN 0 WHEN event_id % 19 = 0 THEN user_id END",
+        "visitor_id": (
+            "CASE WHEN event_id % 11 = 0 THEN NULL WHEN user_id % 10 < 2 "
+            "THEN concat('s', CAST(CAST(floor(user_id / 10) AS BIGINT) AS STRING)) "
+            "ELSE concat('v', CAST(user_id AS STRING)) END"
+        ),
+        "is_bot": pick("k", ["true", None, *["false"] * 8]),
+        "source_url": pick("k", [POST_URL, POST_URL, POST_URL, POST_URL_WWW, "", POST_URL, SEARCH_URL, POST_URL]),
+        "post_id": "CASE WHEN k % 4 <> 0 THEN CAST(k AS BIGINT) END",
+        "route_family": pick("k", ["home", "archive", "singular", "directory", None, "search"]),
+        "view_kind": "CASE WHEN k % 4 = 0 AND k % 3 <> 0 THEN 'route' END",
+        "referrer_host": pick("k", [None, "google.com", "facebook.com", None, "site2.example.com", "news.example.org", "chatgpt.com"]),
+        "context": pick("k", ["registration", "popup", "popup", "popup", "footer", "popup", "popup", "sidebar"]),
+        "search_term": pick("user_id + k", SEARCHES),
+        "result_count": "CAST(k % 5 AS BIGINT)",
+        "search_source": pick("k", ["nav", "archive", None]),
+        "requested_url": pick("user_id + k", REQUESTED),
+        "classification": pick("user_id + k", ["time_based_sqli", "boolean_sqli", "xss_script_tag", None]),
+        "pattern_family": pick("user_id + k", ["sqli", "sqli", "xss", None]),
+        "ip": "CASE WHEN k % 3 <> 0 THEN concat('10.0.0.', CAST(user_id % 50 AS STRING)) END",
+        "ip_hash": "CASE WHEN k % 13 <> 0 THEN md5(CAST(user_id % 60 AS STRING)) END",
+        "user_agent": pick("event_id + k", AGENTS),
+        "dest_host": pick("user_id + k", DESTINATIONS),
+        "dest_url": (
+            "concat('https://', coalesce(" + pick("user_id + k", DESTINATIONS) + ", ''), '/p/', CAST(k AS STRING), '?q=1')"
+        ),
+        "category": "CASE WHEN k % 3 = 0 THEN 'merch' END",
+        "dest_site": pick("user_id + k", ["events", "community", "artist", "", None]),
+        "experiment_key": "CASE WHEN k % 25 = 2 THEN 'other-test' ELSE 'card-holdout' END",
+        "definition_version": "CAST(CASE WHEN k % 23 = 0 THEN 2 WHEN k % 29 = 2 THEN 0 ELSE 1 END AS BIGINT)",
+        "assignment_policy": "CASE WHEN k % 31 = 2 THEN 'Bad Policy' ELSE 'visitor-hash' END",
+        "variant": (
+            "CASE WHEN (user_id % 2 = 0) <> (k % 20 = 2) THEN 'control' ELSE 'treatment' END"
+        ),
+        "surface": "CASE WHEN k % 37 = 3 THEN 'sidebar-card' ELSE 'post-card' END",
+    }
+
 
 CATEGORY_SLUGS = [
     "lyrics", "guitars", "history", "charleston", "interviews", "quiz", "playlists", "guides",
@@ -152,7 +164,7 @@ TERM_COLUMNS: dict[str, str] = {
     "blog_id": "CAST(1 + p_partkey % 7 AS INT)",
     "post_id": "p_partkey",
     "term_id": f"CAST({_BRAND} AS BIGINT)",
-    "slug": pick(_BRAND, CATEGORY_SLUGS),
+    "slug": pick_duck(_BRAND, CATEGORY_SLUGS),
     "name": "p_brand",
     "ord": "1",
 }
@@ -221,7 +233,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed event view; columns a report does not read are pruned before the JSON read."""
     raw = _table(spark, sf_dir, "events").selectExpr("*", f"{SPARK['k']} AS k")
-    return raw.selectExpr(*_select(EVENT_COLUMNS, SPARK))
+    return raw.selectExpr(*_select(event_columns(pick_spark), SPARK))
 
 
 PAYLOAD = [
@@ -294,7 +306,7 @@ def policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NL = ",\n  "
 EVENTS_SQL = (
-    f"SELECT {_NL.join(_select(EVENT_COLUMNS, DUCK))} FROM (SELECT *, {DUCK['k']} AS k FROM events)"
+    f"SELECT {_NL.join(_select(event_columns(pick_duck), DUCK))} FROM (SELECT *, {DUCK['k']} AS k FROM events)"
 )
 CONTENT_SQL = f"SELECT {_NL.join(_select(CONTENT_COLUMNS, DUCK))} FROM part"
 TERMS_SQL = (

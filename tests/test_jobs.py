@@ -185,4 +185,3 @@ def test_experiment_walk(spark):
     cover = exp.coverage().first()
     assert (cover["bot_rows_excluded"], cover["duplicate_assignment_events"], cover["conflicting_assignment_events"]) == (1, 1, 1)
     assert cover["pre_assignment_outcome_events"] == 1
-    exp.release()
