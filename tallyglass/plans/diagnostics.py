@@ -83,7 +83,7 @@ class Diagnostics(Shared):
             _money(F.sum(F.when(unseen, revenue))).alias("unseen_revenue"),
             F.count_if(unpaid).alias("unpaid_rows"),
             F.coalesce(F.sum(F.when(unpaid, views)), F.lit(0)).alias("unpaid_views"),
-            F.count_if(F.size("issues") > 0).alias("bad_rows"),
+            F.count_if("bad").alias("bad_rows"),
             F.count_if("high_rate").alias("high_rate_rows"),
             F.count_if(views > 0).alias("viewed_rows"),
             F.count_if((views > 0) & drift).alias("divergent_rows"),
@@ -249,9 +249,20 @@ class Diagnostics(Shared):
 
     def issues(self) -> DataFrame:
         """Rows with the list of impossible values each holds."""
-        return self._judged().select("slug", "period_label", "import_batch", "issues", "high_rate")
+        bad, high = self._tests()
+        codes = F.filter(F.array(*[F.when(cond, F.lit(code)) for code, cond in bad]), lambda c: c.isNotNull())
+        return self.rows.select("slug", "period_label", "import_batch", codes.alias("issues"), high.alias("high_rate"))
 
     def _judged(self) -> DataFrame:
+        """Rows with the verdicts alone, which stay inside generated code."""
+        bad, high = self._tests()
+        wrong = reduce(lambda a, b: a | b, [F.coalesce(cond, F.lit(False)) for _, cond in bad])
+        return self.rows.select(
+            "period_label", "import_batch", "views", "revenue", "rpm", self._derived_rpm().alias("derived_rpm"),
+            wrong.alias("bad"), high.alias("high_rate"),
+        )
+
+    def _tests(self) -> tuple[list[tuple[str, Column]], Column]:
         rate = {
             "revenue": F.col("revenue").cast("double"), "source_rpm": F.col("rpm"), "derived_rpm": self._derived_rpm(),
             "cpm": F.col("cpm"), "viewability": F.col("viewability"), "fill_rate": F.col("fill_rate"),
@@ -264,11 +275,7 @@ class Diagnostics(Shared):
         bad += [(f"{k}_out_of_range", ~rate[k].between(0, 100)) for k in ("viewability", "fill_rate")]
         bad += [("impressions_out_of_range", ~rate["impressions_per_pageview"].between(0, MAX_IMPRESSIONS))]
         high = [rate[k] > HIGH_RATE for k in ("source_rpm", "derived_rpm", "cpm")]
-        codes = F.filter(F.array(*[F.when(cond, F.lit(code)) for code, cond in bad]), lambda c: c.isNotNull())
-        return self.rows.select(
-            "slug", "period_label", "import_batch", "views", "revenue", "rpm", self._derived_rpm().alias("derived_rpm"),
-            codes.alias("issues"), reduce(lambda a, b: a | b, high).alias("high_rate"),
-        )
+        return bad, reduce(lambda a, b: a | b, high)
 
     def impossible(self) -> DataFrame:
         out = self.row_stats().select("bad_rows", "high_rate_rows")
