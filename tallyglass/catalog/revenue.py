@@ -270,8 +270,7 @@ def _(spark, sf):
 @query(
     "r30_revenue_pages__default_scope",
     B.duck("SELECT * FROM pb ORDER BY cpm DESC NULLS LAST, page_key LIMIT 50", *T4,
-           b=BATCHES, sc=SCOPE, **{**_pages_sql("all", 50000), "res0": RES0.replace("FROM revenue r", "FROM (SELECT revenue.* FROM revenue JOIN sc USING (period_label, import_batch)) r")
-                                    .replace("r.content_blog_id", "r.content_blog_id")}),
+           b=BATCHES, sc=SCOPE, **{**_pages_sql("all", 50000), "res0": RES0.replace("FROM revenue r", "FROM (SELECT revenue.* FROM revenue JOIN sc USING (period_label, import_batch)) r")}),
 )
 def _(spark, sf):
     dim = R.content_dim(B.content(spark, sf), B.content_terms(spark, sf))
