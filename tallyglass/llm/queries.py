@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
-from .common import table
+from . import chat, quality_rules, sharding
+from .common import parked, table
 from .registry import query
 
 OP2_SQL = r"""
@@ -52,3 +52,24 @@ SELECT *, NOT base_failed AND lost_chars * 100 <= word_chars * 30 AS kept FROM b
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.verdicts(docs).drop("text")
+
+
+@query("op7_ring_sharding")
+def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    placed = sharding.assign(docs, "doc_id", sharding.Ring(shards=16, nodes=64, cell_bits=14))
+    return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query("op9_chat_formatting")
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    messages = chat.fold(chat.as_events(rows.unionByName(control)))
+    return chat.summarise(parked(chat.render(messages), "chat"))
