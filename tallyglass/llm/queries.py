@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality_rules, sharding
+from ..session import scratch_dir
+from . import chat, quality_rules, sharding, token_files, warc
 from .common import parked, table
 from .registry import query
 
@@ -73,3 +74,19 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     messages = chat.fold(chat.as_events(rows.unionByName(control)))
     return chat.summarise(parked(chat.render(messages), "chat"))
+
+
+@query("op8_warc_archives")
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_records(index, folder, keep_payload=False).drop("payload", "url")
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = scratch_dir(spark, "tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_files.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(manifest, folder)
