@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from . import chat, quality_rules, sharding, token_files, warc
+from . import chat, decontamination, quality_rules, sharding, token_files, warc
 from .common import parked, table
 from .registry import query
 
@@ -90,3 +90,35 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     manifest = token_files.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read_tokens(manifest, folder)
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (
+  SELECT doc_id, p, array_to_string(w[p + 1 : p + 5], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS p FROM d WHERE len(w) >= 5)),
+bs AS (
+  SELECT item_id, len(w) AS l, p, array_to_string(w[p + 1 : p + 5], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(len(w) - 4)) AS p FROM b WHERE len(w) >= 5)),
+win AS (SELECT DISTINCT doc_id, item_id, l, greatest(ds.p - bs.p, 0) AS start FROM ds JOIN bs USING (s)),
+wc AS (
+  SELECT win.doc_id, win.item_id, win.start, ds.s, count(*) AS c
+  FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p BETWEEN win.start AND win.start + win.l - 5 GROUP BY ALL),
+ic AS (SELECT item_id, s, count(*) AS c FROM bs GROUP BY ALL),
+na AS (SELECT doc_id, item_id, start, sum(c) AS n FROM wc GROUP BY ALL),
+nb AS (SELECT item_id, sum(c) AS n FROM ic GROUP BY ALL),
+com AS (SELECT doc_id, item_id, start, sum(least(wc.c, ic.c)) AS n FROM wc JOIN ic USING (item_id, s) GROUP BY ALL),
+sim AS (
+  SELECT doc_id, item_id, start, com.n::DOUBLE / (na.n + nb.n - com.n) AS similarity
+  FROM com JOIN na USING (doc_id, item_id, start) JOIN nb USING (item_id)),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS rn FROM sim WHERE similarity >= 0.8)
+SELECT doc_id, item_id, start::INTEGER AS start, similarity FROM best WHERE rn = 1
+"""
+
+
+@query("op1_decontamination", OP1_SQL)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start", "similarity")
