@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from . import chat, decontamination, quality_rules, sharding, token_files, warc
+from . import chat, decontamination, near_duplicates, quality_rules, sharding, token_files, warc
 from .common import parked, table
 from .registry import query
 
@@ -122,3 +122,8 @@ SELECT doc_id, item_id, start::INTEGER AS start, similarity FROM best WHERE rn =
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start", "similarity")
+
+
+@query("op4_near_duplicates")
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
