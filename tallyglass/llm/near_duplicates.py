@@ -47,41 +47,39 @@ def draw(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
         return seed, mix(seed + np.uint64(_MIX[2]))
 
 
-def signature(keys: np.ndarray, weights: np.ndarray, places: int) -> np.ndarray:
-    """ProbMinHash signature of a weighted set with distinct keys.
+def signatures(keys: np.ndarray, weights: np.ndarray, sets: np.ndarray, n: int, places: int) -> np.ndarray:
+    """ProbMinHash signatures of n weighted sets; ``sets`` names the set of each element, keys are distinct in a set.
 
     Each element arrives at the times of a Poisson process whose rate is its weight, and each
-    arrival falls into a random place; a place keeps the element that came first. All elements go
-    on step by step until their next arrival is later than the latest first arrival of all places.
-    Two sets agree in a place with the probability of their probability Jaccard similarity.
+    arrival falls into a random place; a place keeps the element that came first. The elements of a
+    set go on step by step until their next arrival is later than the latest first arrival of all
+    places. Two sets agree in a place with the probability of their probability Jaccard similarity.
     """
-    first = np.full(places, np.inf)
-    out = np.zeros(places, np.uint64)
-    keys, rates, now, step = keys, weights.astype(np.float64), np.zeros(len(keys)), 0
+    first = np.full(n * places, np.inf)
+    out = np.zeros(n * places, np.uint64)
+    rates, now, base, step = weights.astype(np.float64), np.zeros(len(keys)), sets * places, 0
     while len(keys):
         a, b = draw(keys, step)
         now = now - np.log1p(-((a >> np.uint64(11)) * 2.0**-53)) / rates
-        live = now < first.max()
-        keys, rates, now, b = keys[live], rates[live], now[live], b[live]
-        place = (b % np.uint64(places)).astype(np.int64)
-        order = np.lexsort((keys, now))[::-1]  # the earliest is written last
-        p, t, k = place[order], now[order], keys[order]
-        better = t < first[p]
-        first_new = first.copy()
-        first_new[p[better]] = t[better]
-        out[p[better]] = k[better]
-        first = first_new
+        live = now < first.reshape(n, places).max(axis=1)[sets]
+        keys, rates, now, b, base, sets = keys[live], rates[live], now[live], b[live], base[live], sets[live]
+        place = base + (b % np.uint64(places)).astype(np.int64)
+        better = now < first[place]
+        p, t, k = place[better], now[better], keys[better]
+        order = np.argsort(-t, kind="stable")  # the earliest is written last
+        p = p[order]
+        first[p], out[p] = t[order], k[order]
         step += 1
-    return out
+    return out.reshape(n, places)
 
 
-def band_keys(sign: np.ndarray, settings: Settings) -> np.ndarray:
-    """One 64-bit number for each band."""
-    table = sign.reshape(settings.bands, settings.rows)
+def band_keys(signs: np.ndarray, settings: Settings) -> np.ndarray:
+    """One 64-bit number for each band of each signature."""
+    table = signs.reshape(len(signs), settings.bands, settings.rows)
     with np.errstate(over="ignore"):
         key = mix(np.arange(1, settings.bands + 1, dtype=np.uint64) * np.uint64(_MIX[2]))
         for j in range(settings.rows):
-            key = mix(key * np.uint64(3) + table[:, j])
+            key = mix(key * np.uint64(3) + table[:, :, j])
     return key.view(np.int64)
 
 
@@ -118,13 +116,19 @@ def _hashes(items: str, k: int) -> Column:
     return F.slice(runs, F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1)))
 
 
-def _sign(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], settings: Settings, most: int = 100_000) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(1)
         values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         out = np.empty((batch.num_rows, settings.bands), np.int64)
-        for i in range(batch.num_rows):
-            out[i] = band_keys(signature(*shingle_counts(values[ends[i] : ends[i + 1]]), settings.places), settings)
+        low = 0
+        while low < batch.num_rows:  # about ``most`` elements at once
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + most, side="right")) - 1)
+            counted = [shingle_counts(values[ends[i] : ends[i + 1]]) for i in range(low, high)]
+            keys, weights = (np.concatenate(x) for x in zip(*counted))
+            sets = np.repeat(np.arange(high - low), [len(k) for k, _ in counted])
+            out[low:high] = band_keys(signatures(keys, weights, sets, high - low, settings.places), settings)
+            low = high
         bands = pa.ListArray.from_arrays(np.arange(0, out.size + 1, settings.bands, dtype=np.int32), pa.array(out.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column(0), bands], names=["id", "bands"])
 
