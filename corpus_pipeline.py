@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import quality_rules
+from tallyglass.llm import decontamination, mixing, near_duplicates, quality_rules, token_files
 from tallyglass.llm.common import parked, table
+from tallyglass.llm.queries import mix_plan, with_domain
+from tallyglass.session import scratch_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +15,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.clean(docs)
 
 
-STAGES = [("quality", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one with the smallest doc_id."""
+    return near_duplicates.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many tokens as there are, dealt to domains, languages and sources by weight; a document may come twice."""
+    return mixing.mixed(with_domain(docs), mix_plan(1.0)).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in Simple-8b files; one row per document, read back from them."""
+    import public_tokenizers
+
+    folder = scratch_dir(spark, "corpus")
+    manifest = token_files.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(manifest, folder)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("tokens", tokens),
+]
 
 #: SQL cannot express the near-duplicate and the binary stage.
 ORACLE_SQL = None

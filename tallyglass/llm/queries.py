@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from . import chat, decontamination, near_duplicates, quality_rules, sharding, token_files, warc
+from . import chat, decontamination, mixing, near_duplicates, quality_rules, sharding, token_files, warc
 from .common import parked, table
 from .registry import query
 
@@ -127,3 +127,80 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_near_duplicates")
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Target weights of the production mix; a domain is a group of sources.
+MIX = {
+    "domain": {"d0": 3.0, "d1": 2.0, "d2": 1.0},
+    "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0},
+    "source": {"src0": 2.0},
+}
+
+
+def mix_plan(share: float) -> mixing.Plan:
+    return mixing.Plan(levels=("domain", "lang", "source"), weights=MIX, share=share, epochs=2, seed=7)
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """Adds the domain of a document: the number at the end of its source, modulo 3; sources without one are d0."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
+    return docs.withColumn("domain", F.concat(F.lit("d"), (F.when(number == "", "0").otherwise(number).cast("int") % 3).cast("string")))
+
+
+OP10_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, text, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+         'd' || (CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' THEN 0
+                      ELSE regexp_extract(source, '([0-9]{1,9})$', 1)::INTEGER END % 3)::VARCHAR AS domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * 2)::BIGINT AS supply FROM rows GROUP BY ALL),
+n1 AS (
+  SELECT domain, sum(supply)::BIGINT AS supply, CASE domain WHEN 'd0' THEN 3.0 WHEN 'd1' THEN 2.0 ELSE 1.0 END::DOUBLE AS w,
+         (SELECT floor(sum(tokens) * 0.6::DOUBLE + 1e-6)::BIGINT FROM leaf) AS above FROM leaf GROUP BY ALL),
+__P1__,
+n2 AS (
+  SELECT l.domain, lang, l.supply, CASE lang WHEN 'en' THEN 4.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 ELSE 1.0 END::DOUBLE AS w, budget AS above
+  FROM (SELECT domain, lang, sum(supply)::BIGINT AS supply FROM leaf GROUP BY ALL) l JOIN p1 USING (domain)),
+__P2__,
+n3 AS (
+  SELECT domain, lang, source, leaf.supply, CASE source WHEN 'src0' THEN 2.0 ELSE 1.0 END::DOUBLE AS w, budget AS above
+  FROM leaf JOIN p2 USING (domain, lang)),
+__P3__,
+goal AS (
+  SELECT domain, lang, source, (budget // tokens)::INTEGER AS fulls, budget % tokens AS rest
+  FROM p3 JOIN leaf USING (domain, lang, source)),
+placed AS (
+  SELECT rows.*, fulls, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+    ORDER BY md5('7:' || fulls || ':' || doc_id), text ROWS UNBOUNDED PRECEDING) AS so_far
+  FROM rows JOIN goal USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, unnest(range(fulls + (so_far <= rest)::INTEGER))::INTEGER AS epoch FROM placed
+"""
+
+
+def _pour_sql(i: int, parent: str, path: str) -> str:
+    over = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+o{i} AS (
+  SELECT *, coalesce(sum(supply) OVER ({over} ORDER BY supply / w, {path} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done,
+         sum(w) OVER ({over}) - coalesce(sum(w) OVER ({over} ORDER BY supply / w, {path} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS restw
+  FROM n{i}),
+l{i} AS (SELECT *, (above - done)::DOUBLE / restw AS lev FROM o{i}),
+f{i} AS (SELECT *, supply <= lev * w + 1e-6 AS filled FROM l{i}),
+p{i} AS (
+  SELECT {path}, CASE WHEN filled THEN supply
+    ELSE floor((first_value(lev) OVER ({over} ORDER BY filled, supply / w, {path})) * w + 1e-6)::BIGINT END AS budget FROM f{i})"""
+
+
+OP10_SQL = (
+    OP10_SQL.replace("__P1__", _pour_sql(1, "", "domain"))
+    .replace("__P2__", _pour_sql(2, "domain", "domain, lang"))
+    .replace("__P3__", _pour_sql(3, "domain, lang", "domain, lang, source"))
+)
+
+
+@query("op10_source_mixing", OP10_SQL)
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    out = mixing.select(docs, mix_plan(0.6))
+    own = [F.coalesce(F.col("doc")[c], F.lit(mixing.NONE)).alias(c) for c in ("domain", "lang", "source")]
+    return out.select(F.col("doc.doc_id").alias("doc_id"), *own, "n_tokens", "epoch")
