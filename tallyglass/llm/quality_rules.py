@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, at, words
+from .common import SPACE, at, let, words
 
 #: Marks that end a sentence, separators of menus, phrases of site furniture.
 SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
@@ -31,8 +31,6 @@ class Rules:
     max_lost_share: int = 30
     max_symbol_share: int = 10
     shout_words: int = 5
-    dull_words: int = 10
-    dull_distinct_share: int = 34
 
 
 def visible(text: Column) -> Column:
@@ -44,23 +42,24 @@ def symbols(text: Column) -> Column:
     return F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long")
 
 
-def line_code(line: Column, rules: Rules) -> Column:
-    """Which rule a line fails: the first of noise, navigation, boilerplate and punctuation.
+def line_code(line: Column, items: Column, rules: Rules) -> Column:
+    """Which rule a line with these words fails: the first of noise, navigation, boilerplate and punctuation.
 
-    A line without a word fails none. Noise is a line of symbols, of one shouted case or of a few
-    words over and over. Navigation is a run of items between separators. A line fails the
+    A line without a word fails none. Noise is a line of symbols or of one shouted case. Navigation is a run of items between separators. A line fails the
     punctuation rule if no sentence ends in it.
     """
-    items = words(line)
+
+    def separators() -> Column:
+        return F.length(F.regexp_replace(line, f"[^{SEPARATORS}]+", ""))
+
     n = F.size(items)
-    separators = F.length(F.regexp_replace(line, f"[^{SEPARATORS}]+", ""))
+    many_symbols = line.rlike("[#*$%&|<>]") & (symbols(line) * 100 > visible(line) * rules.max_symbol_share)
     return (
         F.when(n == 0, OK)
-        .when(symbols(line) * 100 > visible(line) * rules.max_symbol_share, F.when(separators * 3 >= n, NAVIGATION).otherwise(NOISE))
-        .when((n >= rules.shout_words) & (F.upper(line) == line) & (F.lower(line) != line), NOISE)
-        .when((n >= rules.dull_words) & (F.size(F.array_distinct(items)) * 100 < n * rules.dull_distinct_share), NOISE)
-        .when((separators >= 2) & (separators * 4 >= n), NAVIGATION)
-        .when(F.lower(line).rlike(BOILERPLATE), BOILER)
+        .when(many_symbols, F.when(separators() * 3 >= n, NAVIGATION).otherwise(NOISE))
+        .when((n >= rules.shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"), NOISE)
+        .when(line.rlike(f"[{SEPARATORS}]") & (separators() >= 2) & (separators() * 4 >= n), NAVIGATION)
+        .when(F.lower(line).rlike(rf"(^|[\x20\x09-\x0D])({BOILERPLATE})"), BOILER)
         .when(~line.rlike(SENTENCE_END), PUNCTUATION)
         .otherwise(OK)
     )
@@ -73,43 +72,45 @@ def with_repeats(rows: DataFrame, items: str, out: str) -> DataFrame:
     windows become neighbours; neighbours with one hash are then compared word by word. Texts of
     2^20 words or more give the position 31 bits.
     """
-    n = F.size(items)
-    bits = F.when(n < (1 << 20), 20).otherwise(31)
-    w = F.col(items)
+    n, w, p = F.size(items), F.col(items), F.col("_packed")
 
-    def packed(i: Column) -> Column:
-        mixed = F.xxhash64(at(w, i), at(w, i + 1), at(w, i + 2))
-        return F.call_function("shiftleft", F.call_function("shiftright", mixed, F.col("_bits")), F.col("_bits")).bitwiseOR(i.cast("long"))
+    def packed(bits: int) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            return F.shiftleft(F.xxhash64(x, at(w, i + 1), at(w, i + 2)), bits).bitwiseOR(i)
 
-    step = rows.withColumn("_bits", bits).withColumn(
-        "_packed",
-        F.sort_array(F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), packed)).otherwise(F.array().cast("array<bigint>"))),
-    )
-    p, b = F.col("_packed"), F.col("_bits")
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1
-
-    def place(x: Column) -> Column:
-        return x.bitwiseAND(low).cast("int")
-
-    def same(x: Column, i: Column) -> Column:
-        y = at(p, i)
-        q, r = place(x), place(y)
-        return F.coalesce(
-            (F.call_function("shiftright", x, b) == F.call_function("shiftright", y, b))
-            & (at(w, q) == at(w, r))
-            & (at(w, q + 1) == at(w, r + 1))
-            & (at(w, q + 2) == at(w, r + 2)),
-            F.lit(False),
-        )
-
-    def twice(x: Column, i: Column) -> Column:
-        return same(x, i - 1) | same(x, i + 1) | same(x, i - 2) | same(x, i + 2)
-
-    step = step.withColumn("_places", F.sort_array(F.transform(F.filter(p, twice), lambda x: x.bitwiseAND(low))))
+        return F.sort_array(F.slice(F.transform(w, one), F.lit(1), n - 2))
+
+    def repeated(bits: int) -> Column:
+        """Places of the windows that a neighbour equals."""
+
+        def place(x: Column) -> Column:
+            return x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+        def near(i: Column, by: int) -> Column:
+            return F.shiftright(at(p, i).bitwiseXOR(at(p, i + by)), bits) == 0
+
+        none = F.array().cast("array<int>")
+
+        def pair(i: Column, by: int) -> Column:
+            return let(
+                F.struct(place(at(p, i)).alias("q"), place(at(p, i + by)).alias("r")),
+                lambda x: F.when(
+                    (at(w, x["q"]) == at(w, x["r"])) & (at(w, x["q"] + 1) == at(w, x["r"] + 1)) & (at(w, x["q"] + 2) == at(w, x["r"] + 2)),
+                    F.array(x["q"], x["r"]),
+                ).otherwise(none),
+            )
+
+        equal = F.filter(F.transform(p, lambda x, i: F.when(F.shiftright(x.bitwiseXOR(at(p, i + 1)), bits) == 0, i)), lambda i: i.isNotNull())
+        pairs = F.flatten(F.transform(equal, lambda i: F.concat(pair(i, 1), F.when(near(i, 2), pair(i, 2)).otherwise(none))))
+        return F.sort_array(F.array_distinct(pairs))
+
+    long_text = n >= (1 << 20)
+    step = rows.withColumn("_packed", F.when(n < 3, F.array().cast("array<bigint>")).when(long_text, packed(31)).otherwise(packed(20)))
+    step = step.withColumn("_places", F.when(n < 4, F.array().cast("array<int>")).when(long_text, repeated(31)).otherwise(repeated(20)))
     s = F.col("_places")
-    spans = F.transform(s, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(at(s, i + 1) - x, F.lit(3).cast("long"))))
+    spans = F.transform(s, lambda x, i: F.least(F.lit(3), F.coalesce(at(s, i + 1) - x, F.lit(3))))
     total = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)
-    return step.withColumn(out, F.when(F.size(s) > 0, total).otherwise(F.lit(0).cast("long"))).drop("_bits", "_packed", "_places")
+    return step.withColumn(out, F.when(F.size(s) > 0, total).otherwise(F.lit(0).cast("long"))).drop("_packed", "_places")
 
 
 def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules(), prefix: str = "") -> DataFrame:
@@ -118,10 +119,10 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules(), prefix:
     A null text counts as empty: no words, not kept. Repeated rows are judged alike. Extra columns
     stay; a column that has the name of a measure is replaced.
     """
-    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", words(F.col("_text")))
-    rows = rows.withColumn("_lines", F.split(F.col("_text"), "\n"))
-    rows = rows.withColumn("_full", F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    rows = rows.withColumn("_codes", F.transform("_lines", lambda x: line_code(x, rules)))
+    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_lines", F.split(F.col("_text"), "\n"))
+    rows = rows.withColumn("_items", F.transform("_lines", words)).withColumn("_words", F.flatten("_items"))
+    rows = rows.withColumn("_full", F.filter("_lines", lambda x, i: F.size(at(F.col("_items"), i)) > 0))
+    rows = rows.withColumn("_codes", F.zip_with("_lines", "_items", lambda x, y: line_code(x, y, rules)))
     rows = with_repeats(rows, "_words", "_repeats")
     t, lines, codes = F.col("_text"), F.col("_lines"), F.col("_codes")
 
@@ -137,7 +138,7 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules(), prefix:
     rows = rows.withColumns(
         {
             "n_words": n_words,
-            "word_chars": visible(t),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": symbols(t),
             "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
             "n_repeat_words": F.col("_repeats"),
@@ -156,7 +157,7 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules(), prefix:
 
 def verdicts(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The measures of every document without the texts."""
-    return measure(docs, text, rules).drop("_text", "_words", "_lines", "_full", "_codes", "_repeats")
+    return measure(docs, text, rules).drop("_text", "_items", "_words", "_lines", "_full", "_codes", "_repeats")
 
 
 def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:

@@ -28,10 +28,9 @@ lc AS (
   SELECT doc_id, l, vis, len(it) AS n, CASE
     WHEN len(it) = 0 THEN 0
     WHEN sym * 100 > vis * 10 THEN CASE WHEN sep * 3 >= len(it) THEN 2 ELSE 4 END
-    WHEN len(it) >= 5 AND upper(l) = l AND lower(l) <> l THEN 4
-    WHEN len(it) >= 10 AND len(list_distinct(it)) * 100 < len(it) * 34 THEN 4
+    WHEN len(it) >= 5 AND NOT regexp_matches(l, '\p{Ll}') AND regexp_matches(l, '\p{Lu}') THEN 4
     WHEN sep >= 2 AND sep * 4 >= len(it) THEN 2
-    WHEN regexp_matches(lower(l), '__BOILER__') THEN 3
+    WHEN regexp_matches(lower(l), '(^|[\x20\x09-\x0D])(__BOILER__)') THEN 3
     WHEN NOT regexp_matches(l, '[.!?…。！？]["''”’»)\]]*([\x20\x09-\x0D]|$)') THEN 1
     ELSE 0 END AS code FROM lv),
 la AS (
