@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from . import chat, decontamination, mixing, near_duplicates, quality_rules, sharding, token_files, warc
+from . import chat, decontamination, katz, mixing, near_duplicates, quality_rules, sharding, token_files, warc
 from .common import parked, table
 from .registry import query
 
@@ -203,3 +203,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.select(docs, mix_plan(0.6))
     own = [F.coalesce(F.col("doc")[c], F.lit(mixing.NONE)).alias(c) for c in ("domain", "lang", "source")]
     return out.select(F.col("doc.doc_id").alias("doc_id"), *own, "n_tokens", "epoch")
+
+
+@query("op5_katz_scores")
+def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
