@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from . import chat, decontamination, katz, mixing, near_duplicates, quality_rules, sharding, token_files, warc
+from . import chat, decontamination, html_text, katz, mixing, near_duplicates, quality_rules, sharding, token_files, warc
 from .common import parked, table
 from .registry import query
 
@@ -208,3 +208,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_katz_scores")
 def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op3_html_text")
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.train(pages))
