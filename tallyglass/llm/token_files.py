@@ -24,6 +24,7 @@ PACKS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (
 ZEROS, RUN = 15, 240
 MAGIC = b"TKS8B\x00\x00\x01"
 SPACE_BYTES = {c: " " for c in range(9, 14)}
+CONTROLS = "\x1c\x1d\x1e\x1f"
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -127,41 +128,67 @@ def decode(words: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(file: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(file)
-
-
 class WordEncoder:
     """Encodes whole texts word by word and remembers words.
 
-    For tokenizers that drop white space and split at it, the ids of a text are those of its words.
+    For tokenizers that lower-case, drop white space and split at it, the ids of a text are those of its words.
     The memory is bounded: it is emptied when it holds ``most`` words.
     """
 
-    def __init__(self, file: str, most: int = 400_000) -> None:
-        self.tokenizer, self.most, self.known = _tokenizer(file), most, {}
+    def __init__(self, file: str, most: int = 1_000_000) -> None:
+        from tokenizers import Tokenizer
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.translate(SPACE_BYTES).split(" ") for t in texts]
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(file), most, {}
+
+    def _learn(self, new: list[str]) -> None:
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = tuple(e.ids)
-        get = known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, ws)), np.uint32) for ws in split]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            raw = np.array(found.ids, np.uint32).tobytes()
+            begins = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+            words = np.cumsum([0, *(len(w) + 1 for w in part)])
+            edges = (4 * np.searchsorted(begins, words)).tolist()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:]))))
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        if any(c in text for c in CONTROLS):  # str.split takes them for white space, tokenizers do not
+            return text.translate(SPACE_BYTES).split(" ")
+        if lower_is_safe(text):
+            text = text.lower()
+        return text.split()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.split(t) for t in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        self._learn([w for w in set(chain.from_iterable(split)) - self.known.keys() if w])
+        self.known.setdefault("", b"")
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in split]
+
+
+def lower_is_safe(text: str) -> bool:
+    """Whether lower case leaves the ids of a lower-casing tokenizer alone: plain Latin-1 without special tokens."""
+    if "<|" in text:
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+@lru_cache(maxsize=2)
+def word_encoder(file: str) -> WordEncoder:
+    """One for each worker process, whose tasks share its memory of words."""
+    return WordEncoder(file)
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, block: int, file_ids: int) -> Iterator[pa.RecordBatch]:
     """Files of this attempt alone: blocks, then the footer with the block and document tables, its size and the magic."""
     system, plain = open_folder(folder)
-    encoder = WordEncoder(tokenizer)
+    encoder = word_encoder(tokenizer)
     task = TaskContext.get().partitionId()
     state: dict = {"sink": None}
 
@@ -206,7 +233,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
                 state["pending"] += [ids, np.array([end_id], np.uint32)]
                 state["waiting"] += len(ids) + 1
                 state["ids"] += len(ids) + 1
-                if state["waiting"] >= 32 * block:
+                if state["waiting"] >= 8 * block:
                     flush(False)
                 if state["ids"] >= file_ids:
                     done += close()
@@ -221,7 +248,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
 MANIFEST = "task int, seq int, file string, bytes long, ids long, docs long"
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text", block: int = 4096, file_ids: int = 16 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text", block: int = 1 << 15, file_ids: int = 16 << 20) -> DataFrame:
     """Encodes every whole text and writes the ids, in ascending order of ``key``, as Simple-8b files.
 
     The documents are dealt to tasks by ranges of the key and sorted there, so that the files, in
@@ -280,7 +307,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, group: int) -> Iterato
     reader.close()
 
 
-def read_tokens(manifest: DataFrame, folder: str, group: int = 64) -> DataFrame:
+def read_tokens(manifest: DataFrame, folder: str, group: int = 8) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32.
 
     ``start`` adds the ids of the files before; the manifest has one row for each file. A task
