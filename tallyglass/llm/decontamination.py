@@ -82,17 +82,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     similarity; they are fingerprinted, looked up block by block among the items of their length,
     and those within the radius are compared run by run, each run weighted by its count. A row is
     the best window of a document for an item, the first one of equals. Texts and items that are
-    null or without a word match nothing. Shorter items count as one run. Repeated rows give one
-    row. The items' runs are broadcast only up to ``broadcast_shingles`` of them.
+    null or without a word match nothing. An item of fewer words is one run. Repeated rows give one
+    row. The items' runs are broadcast only up to ``broadcast_shingles`` words of items.
     """
     k = settings.shingle
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.lower(F.col(item_text))).alias("iw")).where(F.size("iw") > 0)
     items = items.withColumn("length", F.size("iw"))
-    runs = items.select("length", F.posexplode(shingle_hashes("iw", k)).alias("offset", "run")).distinct()
-    if runs.count() <= settings.broadcast_shingles:
-        runs = F.broadcast(runs)
     texts = docs.select(F.col(doc_id).alias("doc_id"), words(F.lower(F.col(text))).alias("w"))
-    seen = texts.select("doc_id", F.posexplode(shingle_hashes("w", k)).alias("place", "run"))
+    # items of fewer words than a run are looked up by runs of their own length
+    sizes = {r["n"]: r["count"] for r in items.groupBy(F.least("length", F.lit(k)).alias("n")).agg(F.sum(F.col("length")).alias("count")).collect()}
+    runs = seen = None
+    for n in sorted(sizes) or [k]:
+        own = items.where(F.least("length", F.lit(k)) == n).select("length", F.posexplode(shingle_hashes("iw", n)).alias("offset", "run"))
+        met = texts.select("doc_id", F.posexplode(shingle_hashes("w", n)).alias("place", "run"))
+        runs, seen = (own, met) if runs is None else (runs.unionByName(own), seen.unionByName(met))
+    runs = runs.distinct()
+    if sum(sizes.values()) <= settings.broadcast_shingles:
+        runs = F.broadcast(runs)
     hits = seen.join(runs, "run").select("doc_id", "length", F.greatest(F.col("place") - F.col("offset"), F.lit(0)).alias("start")).distinct()
     starts = hits.groupBy("doc_id").agg(F.collect_set(F.struct("length", "start")).alias("windows"))
     cut = texts.join(starts, "doc_id").select("doc_id", "w", F.explode("windows").alias("x"))
