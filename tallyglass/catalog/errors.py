@@ -47,7 +47,7 @@ P3 = r"""SELECT *, CASE WHEN lab LIKE '%parse%' THEN 'parse' WHEN lab LIKE '%fat
  WHEN lab LIKE '%strict%' THEN 'strict' ELSE 'notice' END AS severity, regexp_extract(origin_path, '([^/]*)$', 1) AS base,
  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(msg, ' in .+? on line \d+.*$', ''), '0x[0-9a-fA-F]+', '0xADDR', 'g'), '(?i)\bid[=: ]+\d+', 'id=N', 'g'), '\d+', 'N', 'g'), '\s+', ' ', 'g')) AS message FROM p2"""
 ENT = r"""SELECT ts, raw, severity, message, CASE WHEN base = '' THEN '(unknown)' ELSE concat(base, CASE WHEN line <> '' THEN concat(':', line) ELSE '' END) END AS file,
- substr(md5(concat_ws('|', severity, base, message)), 1, 12) AS signature, CASE WHEN length(msg) > 160 THEN concat(substr(msg, 1, 157), '...') ELSE msg END AS sample, origin_path,
+ md5(concat_ws('|', severity, base, message)) AS signature, CASE WHEN length(msg) > 160 THEN concat(substr(msg, 1, 157), '...') ELSE msg END AS sample, origin_path,
  (origin_path = '' OR starts_with(origin_path, '/srv/site/')) AND NOT contains(raw, 'wp-cli/eval-command') AS from_production FROM p3"""
 EC = {"raw": RAW, "p1": P1, "p2": P2, "p3": P3, "ent": ENT}
 

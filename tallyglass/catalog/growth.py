@@ -33,15 +33,15 @@ def orders(spark, sf):
 
 
 def _feed_sql(a: str, b: str, days: int) -> str:
-    return f"""SELECT h.host, coalesce(days, 0) AS days, CASE WHEN coalesce(rows, 0) < 10000 AND coalesce(days, 0) >= {days} THEN 'measured' ELSE 'not_instrumented' END AS status,
-    CASE WHEN coalesce(rows, 0) >= 10000 THEN 'row_limit' WHEN coalesce(days, 0) < {days} THEN 'truncated_series' ELSE '' END AS reason,
-    CASE WHEN coalesce(rows, 0) < 10000 AND coalesce(days, 0) >= {days} THEN sessions END AS sessions FROM (SELECT DISTINCT host FROM surf) h LEFT JOIN
-    (SELECT host, count(DISTINCT date) AS days, count(*) AS rows, CAST(sum(sessions) AS BIGINT) AS sessions FROM daily WHERE date BETWEEN DATE '{a}' AND DATE '{b}' GROUP BY 1) d ON d.host = h.host"""
+    return f"""SELECT h.host, coalesce(days, 0) AS days, CASE WHEN coalesce(days, 0) >= {days} THEN 'measured' ELSE 'not_instrumented' END AS status,
+    CASE WHEN coalesce(days, 0) < {days} THEN 'truncated_series' ELSE '' END AS reason,
+    CASE WHEN coalesce(days, 0) >= {days} THEN sessions END AS sessions FROM (SELECT DISTINCT host FROM surf) h LEFT JOIN
+    (SELECT host, count(DISTINCT date) AS days, CAST(sum(sessions) AS BIGINT) AS sessions FROM daily WHERE date BETWEEN DATE '{a}' AND DATE '{b}' GROUP BY 1) d ON d.host = h.host"""
 
 
-@query("io18_feed_completeness", B.duck(_feed_sql("1997-02-22", "1997-02-28", 7), "content", surf=SURF_SQL, daily=DAILY_SQL))
+@query("io18_feed_completeness", B.duck(_feed_sql("1997-02-01", "1997-02-28", 28), "content", surf=SURF_SQL, daily=DAILY_SQL))
 def _(spark, sf):
-    return G.check_feed(orders(spark, sf), surfaces(spark), date(1997, 2, 22), date(1997, 2, 28))
+    return G.check_feed(orders(spark, sf), surfaces(spark), date(1997, 2, 1), date(1997, 2, 28))
 
 
 SUPPLY_SQL = f"""SELECT surface, host, n AS new_in_window, p AS prior_total, {B.sql_round("n / 4.0", 2)} AS per_week,
@@ -55,7 +55,7 @@ def _(spark, sf):
     return G.surface_supply(B.content(spark, sf), surfaces(spark), B.AS_OF)
 
 
-DEMAND_SQL = f"""SELECT *, {B.sql_round("slope_pct / 1.0", 3)} AS pct_per_week, CASE WHEN measured THEN slope_pct IS NULL AND current_organic > 0 END AS is_new_traffic FROM
+DEMAND_SQL = f"""SELECT *, {B.sql_round("slope_pct / 4.0", 3)} AS pct_per_week, CASE WHEN measured THEN slope_pct IS NULL AND current_organic > 0 END AS is_new_traffic FROM
  (SELECT surface, host, ok AS measured, CASE WHEN ok THEN CASE WHEN src THEN 'organic' ELSE 'all_sessions' END END AS basis,
   CASE WHEN ok AND src THEN {B.sql_ratio("corg", "call", 4)} END AS organic_share, CASE WHEN ok THEN cs END AS current_sessions, CASE WHEN ok THEN ps END AS previous_sessions,
   CASE WHEN ok THEN c END AS current_organic, CASE WHEN ok THEN p END AS previous_organic, CASE WHEN ok AND p > 0 THEN {B.sql_round("CAST(c - p AS DOUBLE) / p * 100", 2)} END AS slope_pct FROM
@@ -64,15 +64,15 @@ DEMAND_SQL = f"""SELECT *, {B.sql_round("slope_pct / 1.0", 3)} AS pct_per_week,
      CAST(corg AS BIGINT) AS corg, CAST(porg AS BIGINT) AS porg, call FROM surf JOIN f1 ON f1.host = surf.host JOIN f0 ON f0.host = surf.host LEFT JOIN
     (SELECT host, count(*) FILTER (w = 'c') AS cr, count(*) FILTER (w = 'p') AS pr, coalesce(sum(sessions) FILTER (w = 'c' AND contains(lower(medium), 'organic')), 0) AS corg,
       coalesce(sum(sessions) FILTER (w = 'p' AND contains(lower(medium), 'organic')), 0) AS porg, sum(sessions) FILTER (w = 'c') AS call FROM
-     (SELECT *, CASE WHEN date BETWEEN DATE '1997-02-22' AND DATE '1997-02-28' THEN 'c' WHEN date BETWEEN DATE '1997-02-15' AND DATE '1997-02-21' THEN 'p' END AS w FROM traffic)
+     (SELECT *, CASE WHEN date BETWEEN DATE '1997-02-01' AND DATE '1997-02-28' THEN 'c' WHEN date BETWEEN DATE '1997-01-04' AND DATE '1997-01-31' THEN 'p' END AS w FROM traffic)
      WHERE w IS NOT NULL GROUP BY 1) t ON t.host = surf.host)))"""
-DM = {"surf": SURF_SQL, "daily": DAILY_SQL, "traffic": TRAFFIC_SQL, "f1": _feed_sql("1997-02-22", "1997-02-28", 7), "f0": _feed_sql("1997-02-15", "1997-02-21", 7)}
+DM = {"surf": SURF_SQL, "daily": DAILY_SQL, "traffic": TRAFFIC_SQL, "f1": _feed_sql("1997-02-01", "1997-02-28", 28), "f0": _feed_sql("1997-01-04", "1997-01-31", 28)}
 
 
 @query("r24_surface_growth__demand", B.duck(DEMAND_SQL, "content", **DM))
 def _(spark, sf):
     o = orders(spark, sf)
-    return G.surface_demand(o, o.filter("o_custkey % 3 <> 1"), surfaces(spark), GROWTH_AS_OF, weeks=1)
+    return G.surface_demand(o, o.filter("o_custkey % 3 <> 1"), surfaces(spark), GROWTH_AS_OF)
 
 
 RANK_SQL = """SELECT surface, pct_per_week, CASE WHEN pct_per_week IS NOT NULL THEN row_number() OVER (ORDER BY pct_per_week DESC NULLS LAST, surface) END AS position,

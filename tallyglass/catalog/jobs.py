@@ -334,8 +334,8 @@ def _(spark, sf):
 
 @query(
     "e21_email_minimiser",
-    """SELECT conv_id, turn, least(len(list_filter(string_split_regex(text, '\\s*,\\s*'), lambda x: x <> '')), 100) AS recipients,
-    substr(coalesce(nullif(regexp_replace(lower(text), '[^a-z0-9:_\\-]', '', 'g'), ''), 'unknown'), 1, 64) AS context FROM conversations""",
+    """SELECT conv_id, turn, len(list_filter(string_split_regex(text, '\\s*,\\s*'), lambda x: x <> ''))::INTEGER AS recipients,
+    coalesce(nullif(regexp_replace(lower(text), '[^a-z0-9:_\\-]', '', 'g'), ''), 'unknown') AS context FROM conversations""",
 )
 def _(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet")
@@ -345,7 +345,7 @@ def _(spark, sf):
 
 @query(
     "e16_revenue_normalisers",
-    r"""SELECT page_id, path, slug_key, number FROM (SELECT page_id, CASE WHEN p = '' THEN '/' ELSE concat('/', p, '/') END AS path, p AS slug_key, CAST(regexp_replace(html, '[^0-9]', '', 'g')[1:9] AS DOUBLE) AS number
+    r"""SELECT page_id, path, slug_key, number FROM (SELECT page_id, CASE WHEN p = '' THEN '/' ELSE concat('/', p, '/') END AS path, p AS slug_key, CAST(regexp_replace(html, '[^0-9]', '', 'g') AS DOUBLE) AS number
     FROM (SELECT *, trim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/') AS p FROM pages))""",
 )
 def _(spark, sf):
@@ -353,7 +353,7 @@ def _(spark, sf):
 
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rest = F.regexp_replace("url", r"^[a-z]+://[^/]+", "")
-    digits = F.substring(F.regexp_replace("html", r"[^0-9]", ""), 1, 9)
+    digits = F.regexp_replace("html", r"[^0-9]", "")
     return pages.select(
         "page_id", urls.frontend_path(rest).alias("path"), urls.slug_key(rest).alias("slug_key"),
         urls.clean_number(F.concat(F.lit("$ "), digits, F.lit(" USD"))).alias("number"),

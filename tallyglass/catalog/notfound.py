@@ -201,7 +201,7 @@ def _(spark, sf):
 # ---- search gaps ----------------------------------------------------------------------
 
 SEARCH = f"""SELECT * FROM e WHERE event_type = 'search' AND created_at >= {SINCE28} AND NOT coalesce(is_bot = 'true', false)
-AND search_term IS NOT NULL AND length(search_term) <= 60"""
+AND search_term IS NOT NULL"""
 TERMS = f"""SELECT term, {S.payload("raw", "clean", "pattern_name")} IS NOT NULL AND term <> '' AS attack FROM
 (SELECT search_term AS term, {S.unslash("search_term")} AS raw, {S.decoded("search_term")} AS clean
  FROM (SELECT DISTINCT search_term FROM s))"""

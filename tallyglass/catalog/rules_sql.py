@@ -99,7 +99,7 @@ def host(url: str) -> str:
 
 def canonical_url(url: str) -> str:
     t = f"trim(coalesce({url}, ''))"
-    path = lambda p: f"substr(regexp_replace(concat('/', {p}), '/+', '/', 'g'), 1, 512)"
+    path = lambda p: f"regexp_replace(concat('/', {p}), '/+', '/', 'g')"
     rel = path(f"regexp_extract({t}, '^([^?#]*)', 1)")
     absolute = path(f"regexp_extract({t}, '{SPLIT}', 3)")
     port = rf"regexp_extract(regexp_extract({t}, '{SPLIT}', 2), '(:\d+)$', 1)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
@@ -87,3 +87,8 @@ def lift(
         .when(inner, "measured")
         .otherwise("insufficient_data"),
     }
+
+
+def first_rows(rows: DataFrame, limit: int) -> DataFrame:
+    """The first rows; all of them where the limit is 0."""
+    return rows.limit(limit) if limit > 0 else rows

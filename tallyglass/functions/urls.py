@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 # scheme, authority, path
 SPLIT = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)"
-MAX_PATH = 512
 
 
 def authority(url: Column) -> Column:
@@ -35,12 +34,10 @@ def path(url: Column) -> Column:
 
 
 def route_path(route: Column) -> Column:
-    """Bounded query-free path with single slashes; '' when the input is blank."""
+    """Query-free path with single slashes; '' when the input is blank."""
     trimmed = F.trim(F.coalesce(route, F.lit("")))
     collapsed = F.regexp_replace(F.concat(F.lit("/"), path(trimmed)), r"/+", "/")
-    return F.when((trimmed == "") | trimmed.contains("\0"), "").otherwise(
-        F.substring(collapsed, 1, MAX_PATH)
-    )
+    return F.when((trimmed == "") | trimmed.contains("\0"), "").otherwise(collapsed)
 
 
 def canonical_url(url: Column) -> Column:
@@ -59,7 +56,7 @@ def canonical_url(url: Column) -> Column:
 
 def _rooted_path(url: Column) -> Column:
     raw = F.regexp_extract(url, SPLIT, 3)
-    return F.substring(F.regexp_replace(F.concat(F.lit("/"), raw), r"/+", "/"), 1, MAX_PATH)
+    return F.regexp_replace(F.concat(F.lit("/"), raw), r"/+", "/")
 
 
 def referrer_host(referrer: Column, own_host: Column) -> Column:

@@ -8,8 +8,6 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_EXACT_DAYS = 364
-
 
 @dataclass(frozen=True)
 class Window:
@@ -46,8 +44,6 @@ def exact(start: date | str, end: date | str) -> Window:
     days = (end - start).days + 1
     if days < 1:
         raise ValueError("start must not be after end")
-    if days > MAX_EXACT_DAYS:
-        raise ValueError(f"a window spans at most {MAX_EXACT_DAYS} days")
     midnight = datetime(start.year, start.month, start.day)
     return Window(midnight, midnight + timedelta(days=days), days)
 

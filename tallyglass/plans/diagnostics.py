@@ -16,7 +16,6 @@ STALE_DAYS = 45
 MAX_UNRESOLVED, MAX_UNCATEGORIZED, MAX_ZERO_REVENUE = 0.50, 0.30, 0.20
 RPM_DRIFT, MAX_DRIFT_ROWS, RPM_FLOOR = 0.20, 0.10, 1e-4
 HIGH_RATE, MAX_VIEWS, MAX_IMPRESSIONS = 1000, 1_000_000_000, 1000
-SAMPLES = 5
 MONTH = r"^\d{4}-\d{2}$"
 
 
@@ -221,12 +220,12 @@ class Diagnostics(Shared):
             ratio(n, total, 4, 0.0).alias("uncategorized_ratio"),
         ))
 
-    def zero_view_rows(self) -> DataFrame:
+    def zero_view_rows(self, limit: int = 5) -> DataFrame:
         """A few examples, largest revenue first."""
         rows = self.rows.filter((F.col("views") <= 0) & (F.col("revenue") > 0))
         return rows.select("slug", "period_label", "import_batch", "revenue").orderBy(
             F.desc("revenue"), "slug", "period_label", "import_batch"
-        ).limit(SAMPLES)
+        ).limit(limit)
 
     def zero_views(self) -> DataFrame:
         out = self.row_stats().select(

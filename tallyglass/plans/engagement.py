@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import predicates as P
 from ..functions import urls
-from ..functions.stats import ratio
+from ..functions.stats import first_rows, ratio
 from .traffic import in_scope, top_values
 
-MAX_TERM = 60
-
 
 def search_terms(
-    events: DataFrame, as_of: datetime, days: int = 28, max_results: int = 0, require_visitor: bool = False
+    events: DataFrame, as_of: datetime, days: int = 28, max_results: int = 0, require_visitor: bool = False, max_chars: int = 0
 ) -> DataFrame:
-    """Searches folded by term and source, with the attack verdict of each distinct term."""
+    """Searches folded by term and source, with the attack verdict of each distinct term; all lengths unless ``max_chars``."""
     rows = in_scope(events, as_of, days, "search").filter(
-        P.bot_is_not_true() & F.col("search_term").isNotNull() & (F.char_length("search_term") <= MAX_TERM)
+        P.bot_is_not_true() & F.col("search_term").isNotNull()
     )
+    if max_chars > 0:
+        rows = rows.filter(F.char_length("search_term") <= max_chars)
     if require_visitor:
         rows = rows.filter(P.identified())
     n = F.col("result_count")
@@ -48,23 +48,14 @@ def without_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
 
 def search_gaps(terms: DataFrame, limit: int = 25) -> DataFrame:
     """Terms that found nothing, by searches that found nothing."""
-    return (
-        _gap_terms(terms)
-        .filter(F.col("min_results") == 0)
-        .select("term", F.col("zero_cnt").alias("count"))
-        .orderBy(F.desc("count"), "term")
-        .limit(limit)
-    )
+    rows = _gap_terms(terms).filter(F.col("min_results") == 0).select("term", F.col("zero_cnt").alias("count"))
+    return first_rows(rows.orderBy(F.desc("count"), "term"), limit)
 
 
 def search_low_results(terms: DataFrame, limit: int = 25) -> DataFrame:
-    return (
-        _gap_terms(terms)
-        .filter(F.col("min_results") > 0)
-        .select("term", F.col("low_cnt").alias("count"), "min_results")
-        .orderBy(F.desc("count"), "term")
-        .limit(limit)
-    )
+    rows = _gap_terms(terms).filter(F.col("min_results") > 0)
+    rows = rows.select("term", F.col("low_cnt").alias("count"), "min_results")
+    return first_rows(rows.orderBy(F.desc("count"), "term"), limit)
 
 
 def _gap_terms(terms: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import half_up
+from ..functions.stats import first_rows, half_up
 
 ALARM_SEVERITIES = ("fatal", "parse")
 WINDOW, RECENCY, THRESHOLD, KEEP_DAYS = 3600, 600, 10, 7
@@ -54,12 +54,8 @@ def _covered_days(merged: DataFrame):
 
 def error_summary(merged: DataFrame, days: int = 7, limit: int = 25) -> DataFrame:
     span = F.lit(days) if days > 0 else _covered_days(merged)
-    return (
-        merged.withColumn("per_day", half_up(F.col("count") / span, 1))
-        .withColumn("active", F.col("active_count") > 0)
-        .orderBy(F.desc("count"), "signature")
-        .limit(limit)
-    )
+    rows = merged.withColumn("per_day", half_up(F.col("count") / span, 1)).withColumn("active", F.col("active_count") > 0)
+    return first_rows(rows.orderBy(F.desc("count"), "signature"), limit)
 
 
 def error_totals(merged: DataFrame, active_hours: int = 24, limit: int = 25) -> DataFrame:
@@ -70,7 +66,7 @@ def error_totals(merged: DataFrame, active_hours: int = 24, limit: int = 25) ->
         half_up(F.coalesce(F.sum("active_count"), F.lit(0)) / F.lit(active_days), 1).alias("active_per_day"),
         F.count_if(F.col("active_count") > 0).alias("active_signatures"),
         F.count("*").alias("distinct_signatures"),
-        (F.count("*") > limit).alias("truncated"),
+        (F.lit(limit > 0) & (F.count("*") > limit)).alias("truncated"),
     )
 
 

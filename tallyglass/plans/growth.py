@@ -10,21 +10,20 @@ from pyspark.sql import functions as F
 from ..functions.stats import half_up, ratio
 
 SEARCH_LAG_DAYS = 3
-FEED_ROW_LIMIT = 10_000
-LINK_RANGE_DAYS = 90
 
 
-def check_feed(feed: DataFrame, hosts: DataFrame, start: date, end: date, row_limit: int = FEED_ROW_LIMIT) -> DataFrame:
-    """Completeness of a daily feed per host: every day present, nothing cut off at the row limit."""
+def check_feed(feed: DataFrame, hosts: DataFrame, start: date, end: date) -> DataFrame:
+    """Completeness of a daily feed per host: every day present, and none that the feed marks as ``truncated``."""
     days = (end - start).days + 1
     inside = feed.filter(F.col("date").between(F.lit(start), F.lit(end)))
-    per_day = inside.groupBy("host", "date").agg(F.sum("sessions").alias("sessions"), F.count("*").alias("rows"))
+    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in feed.columns else F.lit(False)
+    per_day = inside.groupBy("host", "date").agg(F.sum("sessions").alias("sessions"), F.bool_or(cut).alias("cut"))
     seen = per_day.groupBy("host").agg(
-        F.count("*").alias("days"), F.sum("rows").alias("rows"), F.sum("sessions").alias("sessions")
+        F.count("*").alias("days"), F.bool_or("cut").alias("cut"), F.sum("sessions").alias("sessions")
     )
     out = hosts.select("host").join(seen, "host", "left")
-    n, rows = F.coalesce("days", F.lit(0)), F.coalesce("rows", F.lit(0))
-    reason = F.when(rows >= row_limit, "row_limit").when(n < days, "truncated_series")
+    n = F.coalesce("days", F.lit(0))
+    reason = F.when(F.col("cut"), "truncated_feed").when(n < days, "truncated_series")
     return out.select(
         "host",
         n.alias("days"),
@@ -160,7 +159,7 @@ def demand_totals(changes: DataFrame) -> DataFrame:
 
 def link_page_daily(views: DataFrame, clicks: DataFrame, end: date, days: int = 30) -> DataFrame:
     """Every date of the range for every page with a counter, zeros filled."""
-    start = end - timedelta(days=min(days, LINK_RANGE_DAYS) - 1)
+    start = end - timedelta(days=days - 1)
     inside = F.col("stat_date").between(F.lit(start), F.lit(end))
     v = views.filter(inside).groupBy("link_page_id", "stat_date").agg(F.sum("view_count").alias("views"))
     c = clicks.filter(inside).groupBy("link_page_id", "stat_date").agg(F.sum("click_count").alias("clicks"))
@@ -176,7 +175,7 @@ def link_page_totals(daily: DataFrame) -> DataFrame:
 
 def top_links(clicks: DataFrame, end: date, days: int = 30, limit: int = 20) -> DataFrame:
     """Most clicked links of every page. Spark trims each page's groups before it shuffles them."""
-    start = end - timedelta(days=min(days, LINK_RANGE_DAYS) - 1)
+    start = end - timedelta(days=days - 1)
     rows = clicks.filter(F.col("stat_date").between(F.lit(start), F.lit(end)))
     summed = rows.groupBy("link_page_id", "link_url", "link_text").agg(F.sum("click_count").alias("clicks"))
     order = Window.partitionBy("link_page_id").orderBy(F.desc("clicks"), "link_url", "link_text")

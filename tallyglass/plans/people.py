@@ -153,10 +153,11 @@ class ConversionMap(Shared):
     def overall(self) -> DataFrame:
         return self._rates(self.journeys())
 
-    def by_article(self, top: int = 25, min_entry_sessions: int = 1) -> DataFrame:
+    def by_article(self, top: int | None = 25, min_entry_sessions: int = 1) -> DataFrame:
         rates = self._rates(self.journeys(), "post_id").filter(F.col("entry_sessions") >= min_entry_sessions)
-        ranked = rates.orderBy(F.desc("entry_sessions"), "post_id").limit(top)
-        return self._titled(ranked)
+        if top is not None:
+            rates = rates.orderBy(F.desc("entry_sessions"), "post_id").limit(top)
+        return self._titled(rates)
 
     def _titled(self, rows: DataFrame) -> DataFrame:
         dim = self.posts.select("post_id", "title", "slug", F.concat(F.lit("/"), F.regexp_replace(

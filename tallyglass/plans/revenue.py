@@ -154,7 +154,6 @@ class RevenuePages(Shared):
 
 ALIGNED = (0.8, 1.2)
 EXTREME = (0.5, 1.5)
-GA_ROW_LIMIT = 10_000
 BLOCKED_REASONS = ["site_disabled", "route_blocked", "member_benefit"]
 
 
@@ -237,8 +236,7 @@ def delivery_coverage(ga: DataFrame, snapshots: DataFrame, policy: DataFrame, st
         sites.join(pick(ga_sum, "ga"), "blog_id", "left").join(pick(mv_sum, "net"), "blog_id", "left")
         .join(windows, "blog_id", "left")
     )
-    ga_ok = F.coalesce("ga_rows", F.lit(0)) < GA_ROW_LIMIT
-    ready = (F.col("status") == "applicable") & ga_ok & F.coalesce("exact", F.lit(False))
+    ready = (F.col("status") == "applicable") & F.coalesce("exact", F.lit(False))
     den, num = F.coalesce("ga_applicable", F.lit(0)), F.coalesce("net_applicable", F.lit(0))
     rate = F.when(ready, ratio(num, den, 4))
     out = out.withColumn("coverage_ratio", rate)

@@ -92,7 +92,7 @@ def with_error_signature(records: DataFrame) -> DataFrame:
         F.when(F.col("_base") == "", "(unknown)")
         .otherwise(F.concat("_base", F.when(F.col("_line") != "", F.concat(F.lit(":"), F.col("_line"))).otherwise("")))
         .alias("file"),
-        F.substring(F.md5(F.concat_ws("|", "severity", "_base", "message")), 1, 12).alias("signature"),
+        F.md5(F.concat_ws("|", "severity", "_base", "message")).alias("signature"),
         F.when(F.char_length(sample) > 160, F.concat(F.substring(sample, 1, 157), F.lit("..."))).otherwise(sample).alias("sample"),
         "origin_path",
     )

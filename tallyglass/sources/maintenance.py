@@ -55,11 +55,15 @@ def scrub_email_pii(rows: DataFrame, types: list[str] = EMAIL_TYPES) -> DataFram
     return rows.filter(~mine | good).withColumn("event_data", F.when(mine, clean).otherwise(F.col("event_data")))
 
 
-def minimize_email(recipients: Column, context: Column) -> tuple[Column, Column]:
-    """Recipient count up to 100 and a bounded context identifier."""
+def minimize_email(recipients: Column, context: Column, max_count: int = 0, max_chars: int = 0) -> tuple[Column, Column]:
+    """Recipient count and context identifier; bounded only where a bound is given."""
     parts = F.filter(F.split(F.coalesce(recipients, F.lit("")), r"\s*,\s*"), lambda x: x != "")
     name = F.regexp_replace(F.lower(F.coalesce(context, F.lit(""))), r"[^a-z0-9:_\-]", "")
-    return F.least(F.size(parts), F.lit(100)), F.substring(F.when(name == "", "unknown").otherwise(name), 1, 64)
+    count, label = F.size(parts), F.when(name == "", "unknown").otherwise(name)
+    return (
+        F.least(count, F.lit(max_count)) if max_count > 0 else count,
+        F.substring(label, 1, max_chars) if max_chars > 0 else label,
+    )
 
 
 EXPORTED = ["recipient_count", "context", "error_code"]
