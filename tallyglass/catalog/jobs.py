@@ -1,5 +1,7 @@
 """Scans, sinks and maintenance jobs: written to the scratch folder, read back and compared."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..operators import revenue as R
@@ -165,19 +167,20 @@ CUT = "TIMESTAMP '2024-01-21'"
 MAIL = ["newsletter_signup", "user_registration"]
 
 
-def stored(spark, sf):
-    """A partitioned bronze table in the scratch folder."""
+def stored(spark, sf, types, where="true"):
+    """A bronze table by day in the scratch folder, and before its first day one that holds rows of ``types`` alone."""
     path = scratch_dir(spark, "stored")
-    B.bronze(spark, sf).withColumn("event_date", F.to_date("created_at")).write.partitionBy("event_date").parquet(path)
-    return path, spark.read.parquet(path)
+    rows = B.bronze(spark, sf)
+    lone = rows.filter(F.col("event_type").isin(types)).filter(where).withColumn("created_at", F.to_timestamp(F.lit("2023-11-30")))
+    every = rows.unionByName(lone).withColumn("event_date", F.to_date("created_at"))
+    every.write.partitionBy("event_date").parquet(path)
+    return path
 
 
 @query("io11_retention_purge", B.duck(f"SELECT id, event_type, created_at FROM e WHERE NOT (event_type = '404_error' AND created_at < {CUT})"))
 def _(spark, sf):
-    path, rows = stored(spark, sf)
-    kept, _purged = M.purge_404(rows, B.AS_OF, days=10)
-    touched = kept.filter(F.col("event_date") < "2024-01-21")
-    M.rewrite_partitions(spark, touched, path, f"{path}-stage", ["event_date"])
+    path = stored(spark, sf, ["404_error"])
+    M.purge_days(spark, path, f"{path}-stage", ["404_error"], B.AS_OF - timedelta(days=10))
     return spark.read.parquet(path).select("id", "event_type", "created_at")
 
 
@@ -214,7 +217,9 @@ def _(spark, sf):
 
 @query("io14_subject_erase", B.duck(f"SELECT id, event_type FROM e WHERE NOT coalesce({types_in(MAIL)} AND user_id = 42, false)"))
 def _(spark, sf):
-    return M.erase_user_events(B.bronze(spark, sf), 42, MAIL).select("id", "event_type")
+    path = stored(spark, sf, MAIL, "user_id = 42")
+    M.erase_days(spark, path, f"{path}-stage", 42, MAIL)
+    return spark.read.parquet(path).select("id", "event_type")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,10 @@ class Window:
             cond = cond & (F.col(col) < F.lit(self.until))
         return cond
 
+    def rows_of(self, rows: DataFrame, col: str = "created_at") -> DataFrame:
+        """Rows of the window; on a table stored by day only the days it touches are read."""
+        return between(rows.filter(self.on(col)), self.since, self.until, col)
+
     def previous(self) -> "Window":
         """The equal window directly before this one."""
         if self.since is None or self.until is None:
@@ -32,6 +36,25 @@ class Window:
         return Window(self.since - (self.until - self.since), self.since, self.days)
 
 
+def between(
+    rows: DataFrame, since: datetime | int | None, until: datetime | int | None, col: str = "created_at"
+) -> DataFrame:
+    """Keeps what a window's own filter on times or epochs needs, in terms that reach the scan.
+
+    Both bounds are inclusive and may be times or epoch seconds. The bounds go to ``col`` and to
+    the partition column ``event_date``, where the rows have them; a bound that is no constant is left out.
+    """
+    for bound, low in ((since, True), (until, False)):
+        if bound is None or isinstance(bound, Column):
+            continue
+        at = F.timestamp_seconds(F.lit(bound)) if isinstance(bound, int) else F.lit(bound)
+        if col in rows.columns:
+            rows = rows.filter(F.col(col) >= at if low else F.col(col) <= (at + F.expr("INTERVAL 1 SECOND") if isinstance(bound, int) else at))
+        if "event_date" in rows.columns:
+            rows = rows.filter(F.col("event_date") >= F.to_date(at) if low else F.col("event_date") <= F.to_date(at))
+    return rows
+
+
 def relative(days: int, as_of: datetime) -> Window:
     """``created_at >= as_of - days``, open at the top; 0 days is all time."""
     return Window(as_of - timedelta(days=days) if days > 0 else None, None, days)

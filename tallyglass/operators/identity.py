@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from .skew import salted_lookup
 
 
 def effective_user() -> Column:
@@ -53,5 +54,5 @@ def with_person(rows: DataFrame, bridge: DataFrame, event_fallback: bool = False
         .when(P.identified(), F.concat(F.lit("visitor:"), F.col("visitor_id")))
         .otherwise(nobody)
     )
-    joined = rows.withColumn("_probe", probe).join(keyed, "_probe", "left")
+    joined = salted_lookup(rows.withColumn("_probe", probe), keyed, "_probe", how="left")
     return joined.withColumn("person", person).drop("_probe", "bridged_user")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+FEWEST_SALTS = 8
+
+
+def salt_count(rows: DataFrame) -> int:
+    """Grows with the cluster: a key is split further as there are more shuffle partitions."""
+    return max(FEWEST_SALTS, 2 * isqrt(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def salted_lookup(
-    big: DataFrame, small: DataFrame, key: str, spread: str = "id", how: str = "inner", salts: int = SALTS
+    big: DataFrame, small: DataFrame, key: str, spread: str = "id", how: str = "inner", salts: int | None = None
 ) -> DataFrame:
     """Equi-join where ``small`` has few rows per key; a hot key is split over ``salts`` tasks.
 
@@ -17,6 +24,7 @@ def salted_lookup(
     never meets in one place. Spark still broadcasts ``small`` when its measured size
     is below the session's threshold.
     """
+    salts = salts or salt_count(big)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import predicates as P
 from ..functions import rules
+from ..functions.windows import between
 from ..functions.stats import lift, ratio, wilson_interval
 from ..operators import anchors as A
 from ..operators import identity as ID
@@ -54,7 +55,7 @@ class Experiment(Shared):
         types = [ASSIGN, EXPOSE, VIEW, *([CLICK] if holdout else []), *outcomes]
         self.types = list(dict.fromkeys(types))
         since, until = epoch(as_of - timedelta(days=days)), epoch(as_of)
-        rows = events.filter(P.of_type(self.types) & F.col("ts").between(since, until)).select(*COLUMNS)
+        rows = between(events, since, until).filter(P.of_type(self.types) & F.col("ts").between(since, until)).select(*COLUMNS)
         self.loaded = rows
         if holdout:
             fits = (

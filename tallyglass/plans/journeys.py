@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import predicates as P
 from ..functions.stats import half_up, ratio
-from ..functions.windows import Window, relative, resolve
+from ..functions.windows import Window, between, relative, resolve
 from ..operators import sessions as S
 
 
@@ -54,7 +54,7 @@ class RouteReport:
         self.views = pageviews(events)
         self.scope = P.scoped(blog_id)
         family = C.route_family(F.col("route_family"), F.col("post_id"))
-        rows = known_pageviews(events).filter(
+        rows = between(known_pageviews(events), self.since - gap, self.until).filter(
             self.scope & F.col("ts").between(self.since - gap, self.until)
         ).select("id", "visitor_id", "blog_id", "ts", family.alias("route_family"))
         if recent is not None:
@@ -136,7 +136,7 @@ class RouteReport:
     def coverage(self) -> DataFrame:
         known, post, family = P.identified(), F.col("post_id") > 0, F.col("route_family")
         loaded = self.rows.agg(F.count("*")).scalar()
-        window = self.views.filter(self.scope & (F.col("ts") >= self.since) & (F.col("ts") <= self.until))
+        window = between(self.views, self.since, self.until).filter(self.scope & (F.col("ts") >= self.since) & (F.col("ts") <= self.until))
         out = window.agg(
             F.count("*").alias("total_pageviews"),
             F.count_if(known).alias("identified_pageviews"),

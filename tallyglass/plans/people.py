@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules, urls
+from ..functions.windows import between
 from ..functions.stats import half_up, ratio
 from ..operators import funnel as FN
 from ..operators import identity as ID
@@ -32,9 +33,10 @@ class ActivationFunnel(Shared):
         super().__init__()
         self.steps_of, self.friction, self.access = steps, friction, access
         cond = P.of_type([*steps, *friction, *access]) & P.scoped(blog_id) & (F.col("ts") <= epoch(as_of))
-        if days > 0:
-            cond = cond & (F.col("ts") >= epoch(as_of - timedelta(days=days)))
-        rows = events.filter(cond).select("id", "event_type", "ts", "visitor_id", "user_id", "payload_user_id")
+        since = epoch(as_of - timedelta(days=days)) if days > 0 else None
+        if since is not None:
+            cond = cond & (F.col("ts") >= since)
+        rows = between(events, since, epoch(as_of)).filter(cond).select("id", "event_type", "ts", "visitor_id", "user_id", "payload_user_id")
         self.rows = self.keep(
             "rows", lambda: ID.with_person(rows, ID.identity_bridge(rows)).filter(F.col("person") != "")
         )
@@ -91,11 +93,16 @@ class ConversionMap(Shared):
 
     def pageviews(self) -> DataFrame:
         """Known pageviews, one gap of context included, of visitors who touched the entry blog."""
-        rows = known_pageviews(self.events).filter(
-            (F.col("ts") >= self.since - self.gap) & (F.col("ts") < self.end)
-        ).select("id", "visitor_id", "ts", "blog_id", "post_id")
+        rows = self._views()
         touched = rows.filter(F.col("blog_id") == self.entry_blog).groupBy("visitor_id").agg(F.count("*").alias("_n"))
-        return rows.join(touched.select("visitor_id"), "visitor_id", "left_semi")
+        return salted_lookup(rows, touched.select("visitor_id"), "visitor_id", how="left_semi")
+
+    def _views(self) -> DataFrame:
+        """Known pageviews, one gap of context included."""
+        rows = between(known_pageviews(self.events), self.since - self.gap, self.end)
+        return rows.filter((F.col("ts") >= self.since - self.gap) & (F.col("ts") < self.end)).select(
+            "id", "visitor_id", "ts", "blog_id", "post_id"
+        )
 
     def journeys(self) -> DataFrame:
         """The first eligible, mature entry journey of every visitor."""
@@ -103,16 +110,17 @@ class ConversionMap(Shared):
 
     def _journeys(self) -> DataFrame:
         flags = {f"on_{name}": F.col("blog_id") == blog for name, blog in self.surfaces.items()}
-        sessions = S.session_table(self.pageviews(), self.gap, flags=flags, ends=["blog_id", "post_id"])
-        posts = self.eligible_posts.select(F.col("post_id").alias("first_post_id"), F.lit(True).alias("_post"))
-        entry = (
-            (F.col("first_blog_id") == self.entry_blog)
-            & F.col("session_start").between(self.since, self.mature)
-            & F.coalesce("_post", F.lit(False))
-        )
+        # visitors without an entry drop out below, so no filter by visitor is needed here
+        sessions = S.session_table(self._views(), self.gap, flags=flags, ends=["blog_id", "post_id"])
+        posts = self.eligible_posts.select(F.col("post_id").alias("_key"), F.lit(True).alias("_post"))
+        may = (F.col("first_blog_id") == self.entry_blog) & F.col("session_start").between(self.since, self.mature)
+        # sessions that cannot be entries, and those without a post, probe with keys of their own
+        own = -1 - F.pmod(F.xxhash64("visitor_id", "session_start"), F.lit(1 << 30))
+        probe = F.coalesce(F.when(may, F.col("first_post_id")), own)
+        entry = may & F.coalesce("_post", F.lit(False))
         per_visitor = Window.partitionBy("visitor_id")
         start = F.min(F.when(entry, F.col("session_start"))).over(per_visitor)
-        rows = sessions.join(posts, "first_post_id", "left").withColumn("entry_ts", start)
+        rows = salted_lookup(sessions.withColumn("_key", probe), posts, "_key", "visitor_id", "left").withColumn("entry_ts", start)
         rows = rows.filter(F.col("entry_ts").isNotNull())
         same, later = F.col("session_start") == F.col("entry_ts"), F.col("session_start") > F.col("entry_ts")
         hit = lambda cond, name: F.coalesce(F.max(cond & F.col(f"on_{name}")), F.lit(False))
@@ -189,7 +197,7 @@ class ConversionMap(Shared):
         return self.keep("outcomes", self._outcome_rows)
 
     def _outcome_rows(self) -> DataFrame:
-        rows = self.events.filter(
+        rows = between(self.events, self.since, self.end).filter(
             P.of_type(self.outcome_types) & (F.col("ts") >= self.since) & (F.col("ts") < self.end)
         ).select("id", "event_type", "ts", "visitor_id", "user_id", "payload_user_id", "source_url", "context")
         rows = rows.withColumn("excluded", P.automatic_signup())

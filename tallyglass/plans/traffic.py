@@ -17,10 +17,8 @@ SORTABLE = ("id", "event_type", "blog_id", "user_id", "created_at")
 def in_scope(
     events: DataFrame, as_of: datetime, days: int, event_type: str | None = None, blog_id: int = 0
 ) -> DataFrame:
-    cond = relative(days, as_of).on() & P.scoped(blog_id)
-    if event_type:
-        cond = cond & P.of_type(event_type)
-    return events.filter(cond)
+    rows = relative(days, as_of).rows_of(events).filter(P.scoped(blog_id))
+    return rows.filter(P.of_type(event_type)) if event_type else rows
 
 
 def analytics_summary(

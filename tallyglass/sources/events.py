@@ -38,14 +38,16 @@ def payload_field(name: str, kind: str = "string", col: str = "event_data") -> C
 def decode_events(bronze: DataFrame) -> DataFrame:
     """Typed event columns from the JSON payload."""
     fields = [payload_field(n, k).alias(RENAMED.get(n, n)) for n, k in PAYLOAD.items()]
+    day = ["event_date"] if "event_date" in bronze.columns else []
     return bronze.select(
-        "id", "event_type", "source_url", "blog_id", "user_id", "visitor_id", "created_at",
+        "id", "event_type", "source_url", "blog_id", "user_id", "visitor_id", "created_at", *day,
         F.unix_timestamp("created_at").alias("ts"), *fields,
     )
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return decode_events(spark.read.schema(BRONZE).parquet(path))
+    """Typed view of the table that :func:`append_events` writes; ``event_date`` stays, so windows prune days."""
+    return decode_events(spark.read.schema(f"{BRONZE}, event_date date").parquet(path))
 
 
 def canonical_type(col: Column) -> Column:

@@ -1,11 +1,12 @@
 """Retention, privacy and repair jobs over the stored (bronze) event table.
 
-Each job is a pure frame-to-frame step; :func:`rewrite_partitions` puts its result
-back by replacing only the days it touches.
+Each job is a pure frame-to-frame step; :func:`apply_to_days` applies one to a stored
+table, reading and replacing only the days it touches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,17 +15,47 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import urls
 from .events import payload_field
+from .folders import drop_folder
 
 EMAIL_TYPES = ["email_sent", "email_failed"]
 EMAIL_KEPT = "recipient_count bigint, context string, error_code string, user_id bigint, is_bot boolean"
 NOT_FOUND_DAYS, EMAIL_DAYS, LINK_PAGE_DAYS = 90, 30, 90
 
 
-def rewrite_partitions(spark: SparkSession, rows: DataFrame, path: str, staging: str, by: list[str]) -> None:
-    """Replaces the partitions present in ``rows``; staged first, since ``rows`` may read ``path``."""
-    rows.write.mode("overwrite").partitionBy(*by).parquet(staging)
+def apply_to_days(
+    spark: SparkSession, path: str, staging: str, hit: Column, change: Callable[[DataFrame], DataFrame], by: str = "event_date"
+) -> int:
+    """Rewrites the days of a stored table that hold rows of ``hit``, by ``change``; returns their number.
+
+    The days come from the old rows, so a day that loses its last row is removed and days without a
+    hit are neither read nor written. Days are bounded by the calendar.
+    """
+    rows = spark.read.parquet(path)
+    days = [r[0] for r in rows.filter(hit).select(by).distinct().collect()]
+    if not days:
+        return 0
+    change(rows.filter(F.col(by).isin(days))).write.mode("overwrite").partitionBy(by).parquet(staging)
     staged = spark.read.schema(rows.schema).parquet(staging)
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    left = {r[0] for r in staged.select(by).distinct().collect()}
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    for day in days:
+        if day not in left:
+            drop_folder(spark, f"{path}/{by}={day}")
+    return len(days)
+
+
+def purge_days(spark: SparkSession, path: str, staging: str, types: list[str], older_than: datetime) -> int:
+    old = F.coalesce(P.of_type(types) & (F.col("created_at") < F.lit(older_than)), F.lit(False))
+    return apply_to_days(spark, path, staging, old, lambda rows: rows.filter(~old))
+
+
+def scrub_days(spark: SparkSession, path: str, staging: str, types: list[str] = EMAIL_TYPES) -> int:
+    return apply_to_days(spark, path, staging, P.of_type(types), lambda rows: scrub_email_pii(rows, types))
+
+
+def erase_days(spark: SparkSession, path: str, staging: str, user_id: int, types: list[str] = EMAIL_TYPES) -> int:
+    mine = F.coalesce(P.of_type(types) & (F.col("user_id") == user_id), F.lit(False))
+    return apply_to_days(spark, path, staging, mine, lambda rows: rows.filter(~mine))
 
 
 def purge(rows: DataFrame, types: list[str], older_than: datetime) -> tuple[DataFrame, DataFrame]:

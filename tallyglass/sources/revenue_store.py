@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators.revenue import aggregate_metrics
+from .folders import folder_exists
 
 # CSV headers, lower-cased and stripped to letters and digits, and the field each names.
 HEADERS = {
@@ -171,8 +172,7 @@ def ingest_revenue(
 
 def stored_snapshot(spark: SparkSession, target: str, like: DataFrame, blog_id: int, label: str, batch: str) -> DataFrame:
     """Rows of one stored partition, or none where the table does not exist yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not folder_exists(spark, target):
         return like.limit(0)
     rows = spark.read.schema(like.schema).parquet(target)
     return rows.filter(

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.folders import folder_exists
+
 
 def put(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
@@ -22,9 +24,8 @@ def put(rows: DataFrame, path: str, batch_id: int) -> None:
 
 def get(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """All partitions, or none where no batch has written yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     full = StructType([*schema.fields, StructField("batch", LongType())])
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not folder_exists(spark, path):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).parquet(path)
 

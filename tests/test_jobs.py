@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from tallyglass.operators.quantiles import exact_median
 from tallyglass.operators.skew import salted_lookup
 from tallyglass.plans import errors as PE
+from tallyglass.functions import windows as P
 from tallyglass.plans import experiments as PX
+from tallyglass.plans import journeys as PJ
+from tallyglass.plans import traffic as PT
 from tallyglass.session import scratch_dir
 from tallyglass.sources import error_log as EL
+from tallyglass.sources import events as EV
 from tallyglass.sources import maintenance as M
 from tallyglass.sources import revenue_store as RS
 from tallyglass.streaming import batches as MB
@@ -67,14 +71,14 @@ def test_ingest_refusals(spark):
 def test_purge_rewrites_touched_days_only(spark):
     path = scratch_dir(spark, "events")
     rows = spark.createDataFrame(
-        [(1, "404_error", datetime(2024, 1, 1)), (2, "pageview", datetime(2024, 1, 1)), (3, "404_error", datetime(2024, 3, 1))],
+        [(1, "404_error", datetime(2024, 1, 1)), (2, "pageview", datetime(2024, 1, 1)), (3, "404_error", datetime(2024, 3, 1)), (4, "404_error", datetime(2024, 2, 2))],
         "id bigint, event_type string, created_at timestamp",
     ).withColumn("event_date", F.to_date("created_at"))
     rows.write.partitionBy("event_date").parquet(path)
-    kept, purged = M.purge(spark.read.parquet(path), ["404_error"], datetime(2024, 2, 1))
-    assert purged.first()["purged"] == 1
-    M.rewrite_partitions(spark, kept.filter("event_date < '2024-02-01'"), path, path + "-stage", ["event_date"])
-    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [2, 3]
+    assert M.purge(spark.read.parquet(path), ["404_error"], datetime(2024, 2, 15))[1].first()["purged"] == 2
+    assert M.purge_days(spark, path, path + "-stage", ["404_error"], datetime(2024, 2, 15)) == 2
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [2, 3]  # the day that held only row 4 is gone
+    assert M.purge_days(spark, path, path + "-stage", ["404_error"], datetime(2024, 2, 15)) == 0
 
 
 def test_backfill_keeps_json_types(spark):
@@ -97,7 +101,7 @@ def test_log_records_and_signatures(spark):
     rows = EL.parse_errors(EL.read_error_log(spark, path), ["/srv/site"]).orderBy("ts").collect()
     assert [(r["severity"], r["file"]) for r in rows] == [("fatal", "b.php:9"), ("warning", "c.php:1")]
     assert rows[0]["message"].startswith("Uncaught Error: id=N at NxADDR") and rows[1]["message"] == "bad thing N"
-    assert rows[0]["from_production"] and len(rows[0]["signature"]) == 12
+    assert rows[0]["from_production"] and len(rows[0]["signature"]) == 32
 
 
 def test_active_totals(spark):
@@ -185,3 +189,25 @@ def test_experiment_walk(spark):
     cover = exp.coverage().first()
     assert (cover["bot_rows_excluded"], cover["duplicate_assignment_events"], cover["conflicting_assignment_events"]) == (1, 1, 1)
     assert cover["pre_assignment_outcome_events"] == 1
+
+
+def test_reports_prune_days_of_the_stored_table(spark):
+    """Windows reach the scan of the table that append_events writes, as partition and row-group filters."""
+    path = scratch_dir(spark, "days")
+    rows = spark.createDataFrame(
+        [(i, "pageview", "{}", "", 1, 0, f"v{i}", datetime(2024, 1, 1 + i)) for i in range(20)],
+        "id bigint, event_type string, event_data string, source_url string, blog_id int, user_id bigint, visitor_id string, created_at timestamp",
+    )
+    EV.append_events(rows, path)
+    events, at = EV.read_events(spark, path), datetime(2024, 1, 20)
+    frames = {
+        "summary": PT.analytics_summary(events, at, 7),
+        "routes": PJ.RouteReport(events, at, days=7).rows,
+        "funnel": P.between(events, PJ.epoch(datetime(2024, 1, 13)), PJ.epoch(at)),
+    }
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    for name, frame in frames.items():
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        scan = plan[plan.index("PartitionFilters") :]
+        assert "event_date" in scan[: scan.index("PushedFilters")], name
+        assert "GreaterThanOrEqual(created_at" in scan, name
