@@ -31,11 +31,14 @@ _local_base: list[str] = []
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    The machine's own temporary folder is used only where the session names no
-    shared one, as in tests on one machine.
+    Only a session on one machine may go without one and then uses a temporary folder;
+    on a cluster executors would not see each other's files, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local_base:
             _local_base.append(tempfile.mkdtemp(prefix="tallyglass-"))
         base = _local_base[0]
