@@ -342,8 +342,10 @@ def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", sett
     Labels come from the names of tags, classes and ids, see ``silver``. Rows read: ``settings.pages``.
     """
     s = settings or Settings()
-    sample = pages.select(F.col(page_id).alias("k"), F.col(source).alias("h")).where("h is not null")
-    rows = sample.orderBy(F.xxhash64("k"), "h").limit(s.pages).collect()
+    sample = pages.select(F.col(page_id).alias("k"), F.col(source).alias("h")).where("k is not null and h is not null")
+    keys = [r["k"] for r in sample.select("k").distinct().orderBy(F.xxhash64("k")).limit(s.pages).collect()]
+    rows = sample.where(F.col("k").isin(keys)).groupBy("k").agg(F.min("h").alias("h")).collect()
+    rows.sort(key=lambda r: r["k"])
     rng = np.random.default_rng(s.seed)
     sources = [r["h"] for r in rows]
     for text in list(sources):

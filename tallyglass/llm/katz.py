@@ -139,8 +139,8 @@ class Stored:
         self.splits = np.maximum(1, -(-counts // settings.context_split))
         sub = (self.hashes[self.second] % self.splits[self.first].astype(np.uint64)).astype(np.int64)
         self.group = group_keys(self.hashes[self.first], sub)
-        # contexts whose left-over mass may be asked for: those of a pair that this chunk did not train on
-        asked = np.unique(self.first[self.local == 0])
+        # contexts whose left-over mass may matter: of pairs that this chunk did not train on, and split ones
+        asked = np.unique(self.first[(self.local == 0) | (self.splits[self.first] > 1)])
         times = self.splits[asked]
         self.asked = np.repeat(asked, times)
         self.asked_group = group_keys(self.hashes[self.asked], np.arange(len(self.asked)) - np.repeat(np.cumsum(times) - times, times))
@@ -332,14 +332,15 @@ def _score(table: pa.Table, folder: str, parts: int, settings: Settings, words:
         marked[chunk.pair_order[a:b]] = unpack(answers[p][0], np.uint32)
     for p, (a, b) in spans(chunk.ask_part, parts):
         stats[chunk.ask_order[a:b]] = unpack(answers[p][1], np.float64).reshape(-1, K + 1)
+    sums = np.zeros((len(chunk.hashes), K + 1))
+    np.add.at(sums, chunk.asked, stats)
     total, bare = (marked & ~NO_MASS).astype(np.int64), marked >= NO_MASS
+    bare |= (chunk.splits[chunk.first] > 1) & (sums[chunk.first, :K].sum(axis=1) == 0)
     context = counts[chunk.first]
     keep = pairs.factors()
     with np.errstate(divide="ignore", invalid="ignore"):
         own = keep[np.minimum(total, K + 1)] * total / np.where(bare, context + 1, context)
         # the weight of contexts: mass that discounts free, over the mass of words that never followed
-        sums = np.zeros((len(chunk.hashes), K + 1))
-        np.add.at(sums, chunk.asked, stats)
         freed = (sums[:, :K] * (np.arange(1, K + 1) * (1 - keep[1 : K + 1]))).sum(axis=1) / counts
         freed = np.where(sums[:, :K].sum(axis=1) * (keep[1 : K + 1] < 1).any() > 0, freed, 0.0)
         freed = np.where(freed > 0, freed, 1 / (counts + 1))
