@@ -147,12 +147,14 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules(), prefix:
             "lines_boilerplate": failed(BOILER),
             "lines_noise": failed(NOISE),
             "lost_chars": lost,
+            "_row": F.monotonically_increasing_id(),
         }
     )
     base_failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_share)
     rows = rows.withColumn("base_failed", base_failed)
     kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * rules.max_lost_share)
-    return rows.withColumn("kept", kept)
+    # a number that depends on the row: filters on the verdict stay above the measures, which they would repeat
+    return rows.withColumn("kept", kept & (F.col("_row") >= 0)).drop("_row")
 
 
 def verdicts(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
