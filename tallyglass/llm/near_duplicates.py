@@ -8,10 +8,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parked, partitions, words
+from .common import arrow_rows, parked, words
 
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
@@ -19,13 +19,14 @@ _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Settings:
     """``bands`` groups of ``rows`` signature places. Two texts at the threshold 0.8 share a band but for
-    (1 - 0.8 ** 6) ** 42, three in a million; those further apart meet less."""
+    (1 - 0.8 ** 5) ** 32, three in a million; those further apart meet less."""
 
     shingle: int = 5
     similarity: float = 0.8
-    bands: int = 42
-    rows: int = 6
-    small: int = 24
+    bands: int = 32
+    rows: int = 5
+    leaders: int = 64
+    batch_rows: int = 500
 
     @property
     def places(self) -> int:
@@ -83,8 +84,10 @@ def band_keys(signs: np.ndarray, settings: Settings) -> np.ndarray:
     return key.view(np.int64)
 
 
-def shingle_counts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(hashes.view(np.uint64), return_counts=True)
+def shingle_counts(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs and their counts, from sorted runs."""
+    heads = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+    return runs[heads], np.diff(np.append(heads, len(runs)))
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -94,6 +97,9 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     (sum of a_j with a_j / b_j >= r_i) / a_i + (sum of b_j with a_j / b_j < r_i) / b_i, so the
     elements are sorted by their ratio once.
     """
+    if a[1].max(initial=1) == 1 == b[1].max(initial=1):  # plain sets: common over all
+        common = len(np.intersect1d(a[0], b[0], assume_unique=True))
+        return common / (len(a[0]) + len(b[0]) - common)
     keys = np.union1d(a[0], b[0])
     x, y = np.zeros(len(keys)), np.zeros(len(keys))
     x[np.searchsorted(keys, a[0])], y[np.searchsorted(keys, b[0])] = a[1], b[1]
@@ -110,10 +116,10 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def _hashes(items: str, k: int) -> Column:
-    """64-bit number of each run of k words; fewer words make one run of all."""
+    """64-bit numbers of the runs of k words, sorted; fewer words make one run of all."""
     w = F.col(items)
     runs = F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(w, i + j) for j in range(1, k))))
-    return F.slice(runs, F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1)))
+    return F.sort_array(F.slice(runs, F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))))
 
 
 def _sign(batches: Iterator[pa.RecordBatch], settings: Settings, most: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -126,6 +132,7 @@ def _sign(batches: Iterator[pa.RecordBatch], settings: Settings, most: int = 100
             high = max(low + 1, int(np.searchsorted(ends, ends[low] + most, side="right")) - 1)
             counted = [shingle_counts(values[ends[i] : ends[i + 1]]) for i in range(low, high)]
             keys, weights = (np.concatenate(x) for x in zip(*counted))
+            keys = keys.view(np.uint64)
             sets = np.repeat(np.arange(high - low), [len(k) for k, _ in counted])
             out[low:high] = band_keys(signatures(keys, weights, sets, high - low, settings.places), settings)
             low = high
@@ -171,13 +178,30 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id")).unionByName(roots)
 
 
-def _scored(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Exact similarity of pairs (a, b); runs of words are made after the texts have met their pairs."""
-    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
-    both = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    cut = both.select("a", "b", words(F.col("left")).alias("lw"), words(F.col("right")).alias("rw"))
-    made = cut.select("a", "b", _hashes("lw", settings.shingle).alias("left"), _hashes("rw", settings.shingle).alias("right"))
-    return made.mapInArrow(_verify, "a long, b long, similarity double")
+def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Exact similarity of pairs (a, b) from the sorted runs of their texts."""
+    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("runs").alias("right")), "b")
+    both = right.join(texts.select(F.col("id").alias("a"), F.col("runs").alias("left")), "a")
+    return both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long, similarity double")
+
+
+def _own_shares(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, own): the share of runs of a text that no text of another class of ``rows`` has; 0 is left out."""
+    labelled = texts.join(rows.select("id", "class_id").distinct(), "id")
+    runs = labelled.select("id", "class_id", (1 / F.size("runs")).alias("w"), F.explode("runs").alias("run"))
+    lone = runs.groupBy("run").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo = hi").select("run")
+    return runs.join(lone, "run", "left_semi").groupBy("id").agg(F.sum("w").alias("own"))
+
+
+def _can_be_like(x: Column, y: Column, similarity: float) -> Column:
+    """Whether texts of two classes with shares x and y of runs of their own can reach the similarity.
+
+    For a common run i the sum over j of max(a_j / a_i, b_j / b_i) is at least 1 / a_i + y / b_i, so
+    the similarity is at most the sum of a_i b_i / (b_i + y a_i), and, as that function is concave,
+    at most its value at 1 - x and 1 - y; and the same the other way round.
+    """
+    a, b = 1 - x, 1 - y
+    return (a * b / (b + y * a) >= similarity - 1e-9) & (a * b / (a + x * b) >= similarity - 1e-9)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -190,11 +214,18 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", setting
     the class of equal texts if there are any. Rows that share a doc_id are one document, compared
     by the first of their texts. Texts of fewer than five words count as one run.
 
-    In every bucket of a band the document with the smallest id is compared with all others. A
-    bucket whose documents are then in one class is settled. In one that is not, the documents of
-    different classes are compared too: all pairs where it is small, else leader by leader in
-    further rounds, so no link is lost and no large bucket is paired out at once.
+    In every bucket of a band the document that meets most others in all its buckets, as the origin
+    of many copies does, is compared with all others. A bucket whose documents are then in one
+    class is settled. In one that is not, the documents outside its largest class, ``leaders`` of
+    them in a round, are compared with those of other classes, until every two documents of a bucket
+    have been compared, are in one class, or hold too many runs that the other's class lacks: no link
+    is lost, and no bucket is paired out.
     """
+    with arrow_rows(docs.sparkSession, settings.batch_rows):
+        return _classes(docs, doc_id, text, settings)
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(F.col(text)).alias("text"))
     rows = rows.withColumn("bare", F.array_join(words(F.col("text")), " "))
     keyed = rows.select(
@@ -208,36 +239,46 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", setting
     signed = cut.mapInArrow(partial(_sign, settings=settings), "id long, bands array<bigint>")
     signed = parked(signed.join(heads.select("id"), "id", "left_semi"), "signatures")
     buckets = signed.select("id", F.explode("bands").alias("bucket"))
-    full = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    held = parked(buckets.join(full, "bucket").select("bucket", "id", "leader"), "buckets")
+    full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = parked(buckets.join(full, "bucket").select("bucket", "id", "n"), "buckets")
+    ranks = parked(met.groupBy("id").agg(F.sum("n").alias("rank")), "ranks")
+    held = met.join(ranks, "id").select("bucket", "id", "rank")
+    lead = held.groupBy("bucket").agg(F.max_by("id", F.struct("rank", -F.col("id"))).alias("leader"))
+    held = parked(held.join(lead, "bucket"), "held")
     pairs = held.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    used = held.select("id").distinct()
-    single = parked(texts.join(used, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    scores = parked(_scored(pairs, single, settings), "scores")
+    used = ranks.select("id")
+    single = texts.join(used, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    single = parked(single.select("id", words(F.col("text")).alias("w")).select("id", _hashes("w", settings.shingle).alias("runs")), "runs")
+    scores = parked(_scored(pairs, single), "scores")
     links = scores.where(F.col("similarity") >= settings.similarity).select("a", "b")
     found = parked(components(links), "components")
-    held = held.where("id <> leader").select("bucket", "id")
-    done = scores.select("a", "b")
+    held = held.where("id <> leader").select("bucket", "id", "rank")
+    done = scores.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
         # documents still to be compared: those of buckets that hold more than one class
-        tagged = held.join(found, "id", "left").select("bucket", "id", F.coalesce("class_id", "id").alias("class_id"))
-        mixed = tagged.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count("*").alias("n"), F.min(F.struct("id", "class_id")).alias("head")).where("lo <> hi")
-        open_rows = parked(tagged.join(mixed.select("bucket", "n", "head"), "bucket"), "open")
-        small = open_rows.where(F.col("n") <= settings.small)
-        left = small.select("bucket", F.col("id").alias("a"), F.col("class_id").alias("ca"))
-        right = small.select("bucket", F.col("id").alias("b"), F.col("class_id").alias("cb"))
-        within = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b")
-        by_leader = open_rows.where((F.col("n") > settings.small) & (F.col("class_id") != F.col("head.class_id"))).select(F.col("head.id").alias("a"), F.col("id").alias("b"))
-        pairs = parked(within.unionByName(by_leader).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        held = open_rows.where((F.col("n") > settings.small) & (F.col("id") != F.col("head.id"))).select("bucket", "id")
+        tagged = held.join(found, "id", "left").select("bucket", "id", "rank", F.coalesce("class_id", "id").alias("class_id"))
+        sizes = tagged.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("bucket").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("main"), F.count("*").alias("n")).where("n > 1")
+        open_rows = parked(tagged.join(mixed.select("bucket", "main"), "bucket"), "open")
+        shares = parked(_own_shares(single, open_rows), "shares")
+        open_rows = open_rows.join(shares, "id", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+        open_rows = parked(open_rows.where(F.col("own") < 1 - settings.similarity + 1e-9), "open")
+        others = open_rows.where("class_id <> main")
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), "id"))
+        leaders = others.withColumn("place", place).where(F.col("place") <= settings.leaders).select("bucket", F.col("id").alias("x"), F.col("class_id").alias("cx"), F.col("own").alias("ox"))
+        like = _can_be_like(F.col("own"), F.col("ox"), settings.similarity)
+        across = open_rows.join(leaders, "bucket").where((F.col("class_id") != F.col("cx")) & like)
+        across = across.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+        pairs = parked(across.join(done, ["a", "b"], "left_anti"), "pairs")
+        held = open_rows.join(leaders, (open_rows["bucket"] == leaders["bucket"]) & (open_rows["id"] == leaders["x"]), "left_anti").select("bucket", "id", "rank")
         if not pairs.isEmpty():
-            fresh = parked(_scored(pairs, single, settings), "scores")
+            fresh = parked(_scored(pairs, single), "scores")
             done = done.unionByName(fresh.select("a", "b"))
             new = fresh.where(F.col("similarity") >= settings.similarity).select("a", "b")
             if not new.isEmpty():
                 links = links.unionByName(new)
                 found = parked(components(links), "components")
-        if held.isEmpty():
+        if open_rows.isEmpty():
             break
     labelled = heads.join(found, "id", "left").select("copy", F.coalesce("class_id", "id").alias("class_id"))
     out = members.join(labelled, "copy", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
