@@ -366,3 +366,28 @@ def _(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", N.urls.host(F.col("url")).alias("host"))
     own = spark.createDataFrame([("example.net",)], "host string")
     return G.filter_outbound(pages, "host", own)
+
+
+# ---- the same reports for one blog ----------------------------------------------------
+
+BLOG = 2
+
+
+def one_blog(sql: str) -> str:
+    """The text of a report over the events of one blog."""
+    return sql.replace("FROM e WHERE", f"FROM e WHERE blog_id = {BLOG} AND")
+
+
+@query("r06_patterns_404__one_blog", one_blog(PATTERNS))
+def _(spark, sf):
+    return N.patterns_404(B.events(spark, sf), redirects(spark, sf), B.AS_OF, blog_id=BLOG)
+
+
+@query("r09_top_ips_404__one_blog", one_blog(TOP_IPS))
+def _(spark, sf):
+    return N.top_ips_404(B.events(spark, sf), B.AS_OF, blog_id=BLOG)
+
+
+@query("r12_search_gaps__one_blog", one_blog(_gap_sql(0, False)))
+def _(spark, sf):
+    return G.search_gaps(G.search_terms(B.events(spark, sf), B.AS_OF, blog_id=BLOG))

@@ -281,10 +281,10 @@ def _(spark, sf):
 @query(
     "t05_sort_by_opportunity",
     B.duck("""SELECT page_key, benchmark_score, benchmark_opportunity FROM pb ORDER BY CASE WHEN benchmark_opportunity THEN 1000000.0 ELSE 0.0 END + benchmark_score
-    DESC NULLS LAST, page_key LIMIT 400""", *T4, **_pages_sql("all", 0)),
+    DESC NULLS LAST, page_key""", *T4, **_pages_sql("all", 0)),
 )
 def _(spark, sf):
-    rows = PR.RevenuePages(resolved(spark, sf), "all").ranked("benchmark_opportunity", limit=400)
+    rows = PR.RevenuePages(resolved(spark, sf), "all").ranked("benchmark_opportunity", limit=0)
     return rows.select("page_key", "benchmark_score", "benchmark_opportunity")
 
 

@@ -15,10 +15,11 @@ from .traffic import in_scope, top_values
 
 
 def search_terms(
-    events: DataFrame, as_of: datetime, days: int = 28, max_results: int = 0, require_visitor: bool = False, max_chars: int = 0
+    events: DataFrame, as_of: datetime, days: int = 28, max_results: int = 0, require_visitor: bool = False, max_chars: int = 0,
+    blog_id: int = 0,
 ) -> DataFrame:
     """Searches folded by term and source, with the attack verdict of each distinct term; all lengths unless ``max_chars``."""
-    rows = in_scope(events, as_of, days, "search").filter(
+    rows = in_scope(events, as_of, days, "search", blog_id).filter(
         P.bot_is_not_true() & F.col("search_term").isNotNull()
     )
     if max_chars > 0:
@@ -170,9 +171,10 @@ def bridge_coverage(events: DataFrame, as_of: datetime, days: int = 28, blog_id:
 
 
 def outbound_rows(
-    events: DataFrame, as_of: datetime, days: int = 28, category: str = "", include_bots: bool = False
+    events: DataFrame, as_of: datetime, days: int = 28, category: str = "", include_bots: bool = False,
+    blog_id: int = 0,
 ) -> DataFrame:
-    rows = in_scope(events, as_of, days, "outbound_click")
+    rows = in_scope(events, as_of, days, "outbound_click", blog_id)
     if not include_bots:
         rows = rows.filter(P.explicit_human())
     dest = F.lower(F.coalesce("dest_host", F.lit("")))

@@ -68,16 +68,19 @@ def daily_404(events: DataFrame, as_of: datetime, days: int = 7, blog_id: int =
 
 
 def top_urls_404(
-    events: DataFrame, redirects: DataFrame, as_of: datetime, days: int = 7, limit: int = 30, min_hits: int = 2
+    events: DataFrame, redirects: DataFrame, as_of: datetime, days: int = 7, limit: int = 30, min_hits: int = 2,
+    blog_id: int = 0,
 ) -> DataFrame:
-    rows = by_url(events, as_of, days).filter(F.col("hits") >= min_hits)
+    rows = by_url(events, as_of, days, blog_id).filter(F.col("hits") >= min_hits)
     ranked = without_redirects(rows, redirects).orderBy(F.desc("hits"), "url").limit(limit)
     return ranked.withColumn("category", C.not_found_category(F.col("url")))
 
 
-def patterns_404(events: DataFrame, redirects: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
+def patterns_404(
+    events: DataFrame, redirects: DataFrame, as_of: datetime, days: int = 7, blog_id: int = 0
+) -> DataFrame:
     """Hits per category with its share of all non-redirected hits."""
-    rows = without_redirects(by_url(events, as_of, days), redirects)
+    rows = without_redirects(by_url(events, as_of, days, blog_id), redirects)
     grouped = (
         rows.withColumn("category", C.not_found_category(F.coalesce("url", F.lit(""))))
         .groupBy("category")
@@ -101,9 +104,10 @@ def drill_404(
     category: str,
     days: int = 7,
     limit: int = 20,
+    blog_id: int = 0,
 ) -> DataFrame:
     """URLs of one category; redirectable categories also name the post they most likely meant."""
-    rows = without_redirects(by_url(events, as_of, days), redirects)
+    rows = without_redirects(by_url(events, as_of, days, blog_id), redirects)
     picked = (
         rows.filter(C.not_found_category(F.col("url")) == category).orderBy(F.desc("hits"), "url").limit(limit)
     )
@@ -122,9 +126,9 @@ def with_post_by_slug(rows: DataFrame, content: DataFrame) -> DataFrame:
     return rows.join(posts, "slug", "left").withColumn("fixable", F.col("post_id").isNotNull())
 
 
-def list_404(events: DataFrame, as_of: datetime, days: int = 7, limit: int = 50) -> DataFrame:
+def list_404(events: DataFrame, as_of: datetime, days: int = 7, limit: int = 50, blog_id: int = 0) -> DataFrame:
     return (
-        hits_404(events, as_of, days)
+        hits_404(events, as_of, days, blog_id)
         .select(
             "id",
             F.col("requested_url").alias("url"),
@@ -138,9 +142,9 @@ def list_404(events: DataFrame, as_of: datetime, days: int = 7, limit: int = 50)
     )
 
 
-def top_ips_404(events: DataFrame, as_of: datetime, days: int = 7, limit: int = 15) -> DataFrame:
+def top_ips_404(events: DataFrame, as_of: datetime, days: int = 7, limit: int = 15, blog_id: int = 0) -> DataFrame:
     """Busiest clients with their most frequent user agent, ties by agent."""
-    rows = hits_404(events, as_of, days)
+    rows = hits_404(events, as_of, days, blog_id)
     ranked = (
         rows.groupBy("ip_hash")
         .agg(
@@ -152,17 +156,19 @@ def top_ips_404(events: DataFrame, as_of: datetime, days: int = 7, limit: int =
         .orderBy(F.desc("hits"), F.asc_nulls_first("ip_hash"))
         .limit(limit)
     )
-    agents = rows.groupBy("ip_hash", "user_agent").agg(F.count("*").alias("n"))
+    # only the clients that are shown need their agents
+    shown = rows.join(ranked.select(F.col("ip_hash").alias("_ip")), F.col("ip_hash").eqNullSafe(F.col("_ip")), "left_semi")
+    agents = shown.groupBy("ip_hash", "user_agent").agg(F.count("*").alias("n"))
     common = agents.groupBy("ip_hash").agg(
         F.min(F.struct((-F.col("n")).alias("rank"), F.col("user_agent").alias("ua")))["ua"].alias("top_ua")
     )
     return ranked.join(common, "ip_hash", "left").withColumn("top_ua", F.coalesce("top_ua", F.lit("")))
 
 
-def scanner_hits(events: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
+def scanner_hits(events: DataFrame, as_of: datetime, days: int = 7, blog_id: int = 0) -> DataFrame:
     """Hits per URL, client and day, with the scanner verdict of the URL."""
     rows = (
-        hits_404(events, as_of, days)
+        hits_404(events, as_of, days, blog_id)
         .groupBy("requested_url", "ip_hash", F.to_date("created_at").alias("day"))
         .agg(F.coalesce(F.max("requested_url"), F.lit("")).alias("url"), F.count("*").alias("hits"))
         .drop("requested_url")
@@ -172,7 +178,7 @@ def scanner_hits(events: DataFrame, as_of: datetime, days: int = 7) -> DataFrame
 
 
 def scanner_404(
-    events: DataFrame, as_of: datetime, group_by: str = "category", days: int = 7, limit: int = 0
+    events: DataFrame, as_of: datetime, group_by: str = "category", days: int = 7, limit: int = 0, blog_id: int = 0
 ) -> DataFrame:
     keys = {
         "category": F.col("category"),
@@ -181,7 +187,7 @@ def scanner_404(
         "url": F.col("url"),
     }
     rows = (
-        scanner_hits(events, as_of, days)
+        scanner_hits(events, as_of, days, blog_id)
         .filter("scanner")
         .groupBy(keys[group_by].alias("key"))
         .agg(F.sum("hits").alias("count"))
@@ -192,13 +198,13 @@ def scanner_404(
 
 
 def scanner_404_totals(
-    events: DataFrame, as_of: datetime, group_by: str = "category", days: int = 7, limit: int = 0
+    events: DataFrame, as_of: datetime, group_by: str = "category", days: int = 7, limit: int = 0, blog_id: int = 0
 ) -> DataFrame:
     grouped = {"category": "category", "day": "day", "ip": "ip_hash", "url": "url"}[group_by]
     key = F.col(grouped)
     if group_by == "ip":
         key = F.coalesce(F.when(key != "", key), F.lit("(unknown)"))
-    totals = scanner_hits(events, as_of, days).agg(
+    totals = scanner_hits(events, as_of, days, blog_id).agg(
         F.coalesce(F.sum(F.when(F.col("scanner"), F.col("hits"))), F.lit(0)).alias("scanner_total"),
         F.coalesce(F.sum(F.when(~F.col("scanner"), F.col("hits"))), F.lit(0)).alias("benign_total"),
         F.count_distinct(F.when(F.col("scanner"), key)).alias("distinct"),
@@ -223,10 +229,10 @@ ATTACK_KEYS = {
 
 
 def attack_summary(
-    events: DataFrame, as_of: datetime, group_by: str = "pattern", days: int = 28, limit: int = 25
+    events: DataFrame, as_of: datetime, group_by: str = "pattern", days: int = 28, limit: int = 25, blog_id: int = 0
 ) -> DataFrame:
     rows = (
-        in_scope(events, as_of, days, "search_attack")
+        in_scope(events, as_of, days, "search_attack", blog_id)
         .groupBy(ATTACK_KEYS[group_by]().alias("key"))
         .agg(F.count("*").alias("count"))
         .withColumn("key", F.coalesce("key", F.lit("(null)")))
@@ -237,12 +243,12 @@ def attack_summary(
 
 
 def attack_summary_totals(
-    events: DataFrame, as_of: datetime, group_by: str = "pattern", days: int = 28, limit: int = 25
+    events: DataFrame, as_of: datetime, group_by: str = "pattern", days: int = 28, limit: int = 25, blog_id: int = 0
 ) -> DataFrame:
     """Totals; ``distinct`` skips rows without a key, ``truncated`` counts their group."""
     key = ATTACK_KEYS[group_by]()
     groups = F.count_distinct(key) + F.coalesce(F.max(key.isNull().cast("int")), F.lit(0))
-    return in_scope(events, as_of, days, "search_attack").agg(
+    return in_scope(events, as_of, days, "search_attack", blog_id).agg(
         F.count("*").alias("total"),
         F.count_distinct(key).alias("distinct"),
         (F.lit(limit > 0) & (groups > limit)).alias("truncated"),

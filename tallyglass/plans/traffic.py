@@ -148,15 +148,19 @@ def bot_filter_impact(
     )
 
 
-def bot_filter_totals(events: DataFrame, as_of: datetime, days: int = 28, blog_id: int = 0) -> DataFrame:
-    return _impact_rows(events, as_of, days, None, blog_id).agg(
+def bot_filter_totals(
+    events: DataFrame, as_of: datetime, days: int = 28, blog_id: int = 0, event_type: str | None = None
+) -> DataFrame:
+    return _impact_rows(events, as_of, days, event_type, blog_id).agg(
         F.count("*").alias("events"), F.count_distinct("effective_user").alias("users")
     )
 
 
-def bot_filter_examples(events: DataFrame, as_of: datetime, days: int = 28, examples: int = 10) -> DataFrame:
+def bot_filter_examples(
+    events: DataFrame, as_of: datetime, days: int = 28, examples: int = 10, blog_id: int = 0, event_type: str | None = None
+) -> DataFrame:
     return (
-        _impact_rows(events, as_of, days, None, 0)
+        _impact_rows(events, as_of, days, event_type, blog_id)
         .select("id", "event_type", "blog_id", "effective_user", "created_at")
         .orderBy(F.desc("created_at"), F.desc("id"))
         .limit(examples)
