@@ -16,6 +16,9 @@ from tallyglass.operators import sessions as S
 from tallyglass.plans import journeys as J
 from tallyglass.plans import revenue as PR
 from tallyglass.sources import revenue_store as RS
+from tallyglass.functions import urls as UR
+from tallyglass.plans import errors as ER
+from tallyglass.plans import growth as GR
 
 ROUTES = [
     ("", 1, "home", 90), ("v1", 1, "singular", 100), ("v1", 1, "singular", 110), ("v1", 7, "home", 120),
@@ -205,9 +208,9 @@ def test_windows():
     assert exact("2024-01-10", "2024-01-12").days == 3
     assert relative(0, datetime(2024, 1, 1)).since is None
     assert resolve(datetime(2024, 1, 31), 7, end_days_ago=7).until == datetime(2024, 1, 24)
-    for bad in (("2024-02-02", "2024-02-01"), ("2022-01-01", "2024-01-01")):
-        with pytest.raises(ValueError):
-            exact(*bad)
+    assert exact("2022-01-01", "2024-01-01").days == 731  # no window is too long
+    with pytest.raises(ValueError):
+        exact("2024-02-02", "2024-02-01")
     with pytest.raises(ValueError):
         resolve(datetime(2024, 1, 31), start="2024-01-01")
 
@@ -220,3 +223,21 @@ def test_bot_flag_readings(spark, flag, is_true, not_true, human, truthy):
     df = spark.createDataFrame([(flag,)], "is_bot string")
     got = df.select(P.bot_is_true(), P.bot_is_not_true(), P.explicit_human(), P.bot_is_truthy()).first()
     assert tuple(got) == (is_true, not_true, human, truthy)
+
+
+def test_no_cap_changes_results(spark):
+    """Large feeds, long ranges, long URLs and a limit of 0 give whole results."""
+    feed = spark.range(12_000).select(F.lit("h").alias("host"), F.expr("date_add(DATE'2024-01-01', CAST(id % 7 AS INT))").alias("date"), F.lit(1).alias("sessions"))
+    hosts = spark.createDataFrame([("h",)], "host string")
+    row = GR.check_feed(feed, hosts, date(2024, 1, 1), date(2024, 1, 7)).first()
+    assert (row["status"], row["sessions"]) == ("measured", 12_000)
+    cut = GR.check_feed(feed.withColumn("truncated", F.lit(True)), hosts, date(2024, 1, 1), date(2024, 1, 7)).first()
+    assert (cut["status"], cut["reason"]) == ("not_instrumented", "truncated_feed")
+    clicks = spark.createDataFrame([(1, date(2024, 1, 1), 5)], "link_page_id int, stat_date date, click_count long")
+    views = clicks.withColumnRenamed("click_count", "view_count")
+    assert GR.link_page_daily(views, clicks, date(2024, 4, 29), days=120).count() == 120
+    base = "https://a.example/" + "x" * 600
+    pair = spark.createDataFrame([(base + "1",), (base + "2",)], "u string").select(UR.canonical_url(F.col("u")).alias("u"))
+    assert pair.distinct().count() == 2
+    many = spark.range(40).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("signature"), F.lit(3).alias("count"), F.lit(1).alias("active_count"))
+    assert ER.error_summary(many, limit=0).count() == 40 and ER.error_totals(many, limit=0).first()["truncated"] is False
