@@ -218,8 +218,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", setting
     of many copies does, is compared with all others. A bucket whose documents are then in one
     class is settled. In one that is not, the documents outside its largest class, ``leaders`` of
     them in a round, are compared with those of other classes, until every two documents of a bucket
-    have been compared, are in one class, or hold too many runs that the other's class lacks: no link
-    is lost, and no bucket is paired out.
+    have been compared, are in one class, hold too many runs that the other's class lacks, or are too
+    unequally far from the first leader: no link is lost, and no bucket is paired out.
     """
     with arrow_rows(docs.sparkSession, settings.batch_rows):
         return _classes(docs, doc_id, text, settings)
@@ -252,11 +252,12 @@ def _classes(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> Dat
     scores = parked(_scored(pairs, single), "scores")
     links = scores.where(F.col("similarity") >= settings.similarity).select("a", "b")
     found = parked(components(links), "components")
-    held = held.where("id <> leader").select("bucket", "id", "rank")
+    far = scores.select(F.col("a").alias("leader"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("far"))
+    held = held.where("id <> leader").join(far, ["leader", "id"]).select("bucket", "id", "rank", "far")
     done = scores.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
         # documents still to be compared: those of buckets that hold more than one class
-        tagged = held.join(found, "id", "left").select("bucket", "id", "rank", F.coalesce("class_id", "id").alias("class_id"))
+        tagged = held.join(found, "id", "left").select("bucket", "id", "rank", "far", F.coalesce("class_id", "id").alias("class_id"))
         sizes = tagged.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("bucket").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("main"), F.count("*").alias("n")).where("n > 1")
         open_rows = parked(tagged.join(mixed.select("bucket", "main"), "bucket"), "open")
@@ -265,12 +266,13 @@ def _classes(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> Dat
         open_rows = parked(open_rows.where(F.col("own") < 1 - settings.similarity + 1e-9), "open")
         others = open_rows.where("class_id <> main")
         place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), "id"))
-        leaders = others.withColumn("place", place).where(F.col("place") <= settings.leaders).select("bucket", F.col("id").alias("x"), F.col("class_id").alias("cx"), F.col("own").alias("ox"))
-        like = _can_be_like(F.col("own"), F.col("ox"), settings.similarity)
+        leaders = others.withColumn("place", place).where(F.col("place") <= settings.leaders).select("bucket", F.col("id").alias("x"), F.col("class_id").alias("cx"), F.col("own").alias("ox"), F.col("far").alias("fx"))
+        # 1 - similarity is a distance, so two that are near have like distances to the first leader
+        like = _can_be_like(F.col("own"), F.col("ox"), settings.similarity) & (F.abs(F.col("far") - F.col("fx")) <= 1 - settings.similarity + 1e-9)
         across = open_rows.join(leaders, "bucket").where((F.col("class_id") != F.col("cx")) & like)
         across = across.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
         pairs = parked(across.join(done, ["a", "b"], "left_anti"), "pairs")
-        held = open_rows.join(leaders, (open_rows["bucket"] == leaders["bucket"]) & (open_rows["id"] == leaders["x"]), "left_anti").select("bucket", "id", "rank")
+        held = open_rows.join(leaders, (open_rows["bucket"] == leaders["bucket"]) & (open_rows["id"] == leaders["x"]), "left_anti").select("bucket", "id", "rank", "far")
         if not pairs.isEmpty():
             fresh = parked(_scored(pairs, single), "scores")
             done = done.unionByName(fresh.select("a", "b"))
