@@ -38,6 +38,7 @@ TOKEN = re.compile(
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
+DIGITS = re.compile(r"\d+")
 
 
 @dataclass
@@ -149,20 +150,31 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=100_000)
+def word_place(word: str) -> int:
+    """Place of a word in its vector; those from WORD_SIZE on count down."""
+    h = zlib.crc32(word.lower().encode())
+    return h % WORD_SIZE + (0 if h & 0x10000 else WORD_SIZE)
+
+
+def word_vector(words: list[str]) -> np.ndarray:
+    """Hashed words, all of them, in one size whatever their number."""
+    counts = np.bincount([word_place(w) for w in words], minlength=2 * WORD_SIZE)
+    return (counts[:WORD_SIZE] - counts[WORD_SIZE:]) * (0.5 / np.sqrt(len(words)))
+
+
 def features(blocks: list[Block]) -> np.ndarray:
-    """One row for each block: path, hashed words, and length, links, sentence end, place and digits."""
+    """One row for each block: path, all its words hashed, and length, links, sentence end, place and share of digits."""
     out = np.zeros((len(blocks), SIZE), np.float32)
     for i, block in enumerate(blocks):
         row, text = out[i], block.text
         row[:PATH_SIZE] = path_vector(block.path)
         words = text.split()
-        for word in words[:8] + words[-8:]:
-            h = zlib.crc32(word.lower().encode())
-            row[PATH_SIZE + h % WORD_SIZE] += 0.125 if h & 0x10000 else -0.125
+        row[PATH_SIZE : PATH_SIZE + WORD_SIZE] = word_vector(words)
         size = len(text)
         row[PATH_SIZE + WORD_SIZE :] = (
             np.log1p(size) / 6, min(len(words), 40) / 40, block.link_chars / size, SENTENCE.search(text) is not None,
-            i / len(blocks), len(blocks) < 8, sum(c.isdigit() for c in text[:64]) / 64, 1.0,
+            i / len(blocks), len(blocks) < 8, sum(map(len, DIGITS.findall(text))) / size, 1.0,
         )
     return out
 
@@ -221,14 +233,17 @@ class Lstm:
 
 @dataclass
 class Settings:
-    """``pages`` rows at most are read for training, the ones with the smallest hashes of their id."""
+    """``pages`` rows at most are read for training, the ones with the smallest hashes of their id.
+
+    All their blocks are learned; a page of more than ``steps`` blocks is read in parts of like length.
+    """
 
     pages: int = 240
     variants: int = 2
     hidden: int = 16
     epochs: int = 10
     batch: int = 32
-    steps: int = 96
+    steps: int = 512
     seed: int = 11
     rate: float = 0.01
 
@@ -336,10 +351,16 @@ def variant(texts: list[str], menu: list[str], rng: np.random.Generator) -> str:
     return f"<body>{top}{frame.format(''.join(body))}{''.join(pick(closing)() for _ in range(rng.integers(1, 4)))}</body>"
 
 
+def parts(rows: np.ndarray, steps: int) -> list[np.ndarray]:
+    """All rows of a page in order, in as few parts of like length as hold at most ``steps`` rows."""
+    return np.array_split(rows, -(-len(rows) // steps))
+
+
 def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", settings: Settings | None = None) -> Labeller:
     """Fits a labeller on a bounded sample of pages, and on their texts in other layouts.
 
-    Labels come from the names of tags, classes and ids, see ``silver``. Rows read: ``settings.pages``.
+    Labels come from the names of tags, classes and ids, see ``silver``. Rows read: ``settings.pages``,
+    each with all its blocks.
     """
     s = settings or Settings()
     sample = pages.select(F.col(page_id).alias("k"), F.col(source).alias("h")).where("k is not null and h is not null")
@@ -353,10 +374,12 @@ def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", sett
         kept, rest = [b.text for b in found if silver(b)], [b.text for b in found if not silver(b)]
         if kept and rest:
             sources += [variant(kept, [r[:40] for r in rest[:6]], rng) for _ in range(s.variants)]
-    pages_in = [b[: s.steps] for b in map(blocks_of, sources) if b]
+    pages_in = [b for b in map(blocks_of, sources) if b]
     model = Labeller(s)
     if pages_in:
-        model.fit([features(b) for b in pages_in], [np.array([silver(x) for x in b], np.float32) for b in pages_in])
+        # features are those of the whole page, so that places count from its start
+        rows_in = [x for b in pages_in for x in parts(features(b), s.steps)]
+        model.fit(rows_in, [y for b in pages_in for y in parts(np.array([silver(x) for x in b], np.float32), s.steps)])
     return model
 
 

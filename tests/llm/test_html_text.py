@@ -58,3 +58,27 @@ def test_labeller_on_pages_and_other_layouts(spark):
     assert got[2] == got[3] == got[4] == "" and got[6].count("\n") == 2999 and all(r["n_chars"] == len(r["text"]) for r in rows)
     empty = pages.limit(0)
     assert H.extract(empty, H.train(empty)).count() == 0
+
+
+def test_middle_words_and_late_digits_count():
+    edge, middle = [f"edge{i}" for i in range(8)], [f"middle{i}" for i in range(30)]
+    path = ("div",)
+    texts = [" ".join(edge + m + edge) for m in (middle, middle[::-1], ["comment"] * 30, middle[:-1] + ["2026"])]
+    plain, turned, other, digits = (H.features([H.Block(t, path, 0)])[0] for t in texts)
+    assert np.allclose(plain[H.PATH_SIZE : H.PATH_SIZE + H.WORD_SIZE], turned[H.PATH_SIZE : H.PATH_SIZE + H.WORD_SIZE])
+    assert not np.allclose(plain[H.PATH_SIZE : H.PATH_SIZE + H.WORD_SIZE], other[H.PATH_SIZE : H.PATH_SIZE + H.WORD_SIZE])
+    late = [H.features([H.Block("x" * 100 + t, path, 0)])[0] for t in ("abcd", "1234")]
+    assert late[0][-2] == 0 and abs(late[1][-2] - 4 / 104) < 1e-6
+
+
+def test_training_reads_all_blocks_of_a_page(spark, monkeypatch):
+    page = "<article>" + "<p>Plain article text stands here.</p>" * 250 + "</article><footer>" + "<p>Late words.</p>" * 50 + "</footer>"
+    seen = []
+    monkeypatch.setattr(H.Labeller, "fit", lambda self, rows, labels: seen.append((rows, labels)))
+    frame = spark.createDataFrame([(1, page)], "page_id long, html string")
+    whole = H.features(H.blocks_of(page))
+    for settings in (H.Settings(variants=0), H.Settings(variants=0, steps=70)):
+        H.train(frame, settings=settings)
+        rows, labels = seen.pop()
+        assert np.array_equal(np.concatenate(rows), whole) and max(map(len, rows)) <= settings.steps
+        assert np.concatenate(labels).tolist() == [1] * 250 + [0] * 50
