@@ -1,4 +1,4 @@
-"""Benchmark decontamination: item-sized windows, SimHash blocks, exact shingle similarity."""
+"""Benchmark decontamination: item-sized windows that share a run with an item, exact shingle similarity, SimHash distance."""
 
 from __future__ import annotations
 
@@ -12,20 +12,12 @@ from .common import at, words
 
 @dataclass(frozen=True)
 class Settings:
-    """``radius + 1`` blocks of a 64-bit fingerprint: two within the radius share one block."""
+    """A window and an item are alike from ``similarity`` on, by their runs of ``shingle`` words."""
 
     shingle: int = 5
     similarity: float = 0.8
-    radius: int = 15
     broadcast_shingles: int = 1_000_000
 
-    @property
-    def blocks(self) -> list[tuple[int, int]]:
-        """(first bit, bits) of every block."""
-        n = self.radius + 1
-        edges = [64 * i // n for i in range(n + 1)]
-        return [(a, b - a) for a, b in zip(edges, edges[1:])]
-
 
 def shingles(items: Column, k: int) -> Column:
     """Texts of the runs of k words; fewer words make one run of all."""
@@ -52,15 +44,6 @@ def simhash(items: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
 
 
-def block_keys(fingerprint: Column, settings: Settings) -> Column:
-    """(block number, its bits) of every block."""
-    parts = [
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << n) - 1).cast("long")).alias("bits"))
-        for i, (a, n) in enumerate(settings.blocks)
-    ]
-    return F.array(*parts)
-
-
 def as_set(runs: Column) -> Column:
     """Runs with their occurrence number, so that set operations count repeats; runs without repeats stay."""
     tagged = F.transform(runs, lambda x, i: F.concat(x, F.lit("\x00"), F.size(F.filter(F.slice(runs, F.lit(1), i), lambda y: y == x)).cast("string")))
@@ -78,39 +61,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     """Passages of documents that are like a benchmark item: doc_id, item_id, start, n_words, distance, similarity.
 
     Words are lower-cased. A window has as many words as an item. Only windows that share a run of
-    five words with an item of that length, in line with its place there, can reach the
-    similarity; they are fingerprinted, looked up block by block among the items of their length,
-    and those within the radius are compared run by run, each run weighted by its count. A row is
-    the best window of a document for an item, the first one of equals. Texts and items that are
-    null or without a word match nothing. An item of fewer words is one run. Repeated rows give one
-    row. The items' runs are broadcast only up to ``broadcast_shingles`` words of items.
+    five words with the item, in line with its place there, can reach the similarity; they are all
+    compared run by run, each run weighted by its count. The distance is that of the SimHash
+    fingerprints; it leaves out nothing, as like texts with repeated words can lie as far apart as
+    unlike ones. A row is the best window of a document for an item, the first one of equals. Texts
+    and items that are null or without a word match nothing. An item of fewer words is one run.
+    Repeated rows give one row. The items' runs are broadcast only up to ``broadcast_shingles`` words
+    of items.
     """
     k = settings.shingle
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.lower(F.col(item_text))).alias("iw")).where(F.size("iw") > 0)
-    items = items.withColumn("length", F.size("iw"))
+    items = items.withColumn("length", F.size("iw")).withColumn("item", F.unhex(F.sha2(F.array_join("iw", " "), 256)))
     texts = docs.select(F.col(doc_id).alias("doc_id"), words(F.lower(F.col(text))).alias("w"))
     # items of fewer words than a run are looked up by runs of their own length
     sizes = {r["n"]: r["count"] for r in items.groupBy(F.least("length", F.lit(k)).alias("n")).agg(F.sum(F.col("length")).alias("count")).collect()}
     runs = seen = None
     for n in sorted(sizes) or [k]:
-        own = items.where(F.least("length", F.lit(k)) == n).select("length", F.posexplode(shingle_hashes("iw", n)).alias("offset", "run"))
+        own = items.where(F.least("length", F.lit(k)) == n).select("item", "length", F.posexplode(shingle_hashes("iw", n)).alias("offset", "run"))
         met = texts.select("doc_id", F.posexplode(shingle_hashes("w", n)).alias("place", "run"))
         runs, seen = (own, met) if runs is None else (runs.unionByName(own), seen.unionByName(met))
     runs = runs.distinct()
     if sum(sizes.values()) <= settings.broadcast_shingles:
         runs = F.broadcast(runs)
-    hits = seen.join(runs, "run").select("doc_id", "length", F.greatest(F.col("place") - F.col("offset"), F.lit(0)).alias("start")).distinct()
-    starts = hits.groupBy("doc_id").agg(F.collect_set(F.struct("length", "start")).alias("windows"))
+    hits = seen.join(runs, "run").select("doc_id", "length", F.greatest(F.col("place") - F.col("offset"), F.lit(0)).alias("start"), "item")
+    hits = hits.groupBy("doc_id", "length", "start").agg(F.collect_set("item").alias("met"))
+    starts = hits.groupBy("doc_id").agg(F.collect_list(F.struct("length", "start", "met")).alias("windows"))
     cut = texts.join(starts, "doc_id").select("doc_id", "w", F.explode("windows").alias("x"))
-    windows = cut.select("doc_id", F.col("x.start").alias("start"), F.col("x.length").alias("length"), F.slice("w", F.col("x.start") + 1, F.col("x.length")).alias("ww"))
-    windows = windows.withColumn("mark", simhash(F.col("ww"))).withColumn("runs", as_set(shingles(F.col("ww"), k)))
-    marked = items.withColumn("item_mark", simhash(F.col("iw"))).withColumn("item_runs", as_set(shingles(F.col("iw"), k)))
-    left = windows.select("*", F.explode(block_keys(F.col("mark"), settings)).alias("key"))
-    right = marked.select("item_id", "length", "item_mark", "item_runs", F.explode(block_keys(F.col("item_mark"), settings)).alias("key"))
-    pairs = left.join(right, ["length", "key"]).withColumn("distance", F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))))
-    first_block = F.array_position(F.transform(F.arrays_zip(block_keys(F.col("mark"), settings).alias("a"), block_keys(F.col("item_mark"), settings).alias("b")), lambda x: x["a"] == x["b"]), True)
-    pairs = pairs.where((F.col("distance") <= settings.radius) & (first_block == F.col("key.block") + 1))
-    scored = pairs.withColumn("similarity", similarity(F.col("runs"), F.col("item_runs"))).where(F.col("similarity") >= settings.similarity)
+    windows = cut.select("doc_id", F.col("x.start").alias("start"), F.slice("w", F.col("x.start") + 1, F.col("x.length")).alias("ww"), F.col("x.met").alias("met"))
+    windows = windows.withColumn("runs", as_set(shingles(F.col("ww"), k)))
+    left = windows.select("doc_id", "start", "ww", "runs", F.explode("met").alias("item"))
+    right = items.select("item_id", "item", "iw", as_set(shingles(F.col("iw"), k)).alias("item_runs"))
+    scored = left.join(right, "item").withColumn("similarity", similarity(F.col("runs"), F.col("item_runs"))).where(F.col("similarity") >= settings.similarity)
+    scored = scored.withColumn("distance", F.bit_count(simhash(F.col("ww")).bitwiseXOR(simhash(F.col("iw")))))
     best = F.max_by(F.struct("start", F.size("ww").alias("n_words"), "distance", "similarity"), F.struct("similarity", -F.col("start")))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.start", "b.n_words", "b.distance", "b.similarity")
 

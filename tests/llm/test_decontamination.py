@@ -1,8 +1,10 @@
 from collections import Counter
 
+import duckdb
 from fixtures import odd_documents, prose, words
 
 from tallyglass.llm import decontamination as D
+from tallyglass.llm.queries import OP1_SQL
 
 
 def similarity(a, b):
@@ -39,3 +41,22 @@ def test_odd_rows(spark):
     kept = D.drop_leaks(docs, bench)
     assert kept.columns == docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12]
     assert D.drop_leaks(docs, bench.limit(0)).count() == docs.count() and D.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_cut_items_of_any_fingerprint_are_found(spark):
+    items = {i: prose(100 + i, 24 + i % 30) for i in range(60)}
+    texts = {}
+    for i, t in items.items():
+        v = words(t)
+        n = len(v) // 10
+        texts |= {4 * i: " ".join(v[n:] + ["filler"] * n), 4 * i + 1: " ".join(["filler"] * n + v[:-n]), 4 * i + 2: " ".join(v[n:]), 4 * i + 3: " ".join(["filler"] * n + v[n:])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in D.find_leaks(docs, bench).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(texts.items()))
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", list(items.items()))
+    want = {(d, i): s for d, i, _, s in con.execute(OP1_SQL).fetchall()}
+    assert got.keys() == want.keys() and all(abs(got[k]["similarity"] - want[k]) < 1e-9 for k in want)
+    assert max(r["distance"] for r in got.values()) > 22
