@@ -137,7 +137,7 @@ def _sign(batches: Iterator[pa.RecordBatch], settings: Settings, most: int = 100
             out[low:high] = band_keys(signatures(keys, weights, sets, high - low, settings.places), settings)
             low = high
         bands = pa.ListArray.from_arrays(np.arange(0, out.size + 1, settings.bands, dtype=np.int32), pa.array(out.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), bands], names=["id", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), bands], names=["copy", "bands"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +208,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", setting
     """(doc_id, class_id, n_words, kept) of every document.
 
     A class is a connected component of the texts whose weighted runs of five lower-cased words
-    have a probability Jaccard similarity of 0.8 or more; class_id is its smallest doc_id, and that
-    document is kept. Equal texts are one class before all else and are compared once. Texts without
-    a word, null ones too, are like nothing: a class each. A null doc_id is kept, with
-    the class of equal texts if there are any. Rows that share a doc_id are one document, compared
-    by the first of their texts. Texts of fewer than five words count as one run.
+    have a probability Jaccard similarity of 0.8 or more; class_id is the smallest doc_id of its
+    rows, null if they have none, and the rows of that doc_id are kept. Every distinct text has an
+    identity of its own, whatever the ids of its rows: equal texts are one class before all else and
+    are compared once, texts of null doc_ids are compared like others, and two texts of one doc_id
+    are two texts, in the class of each. Texts without a word, null ones too, are like nothing: a
+    class each. Texts of fewer than five words count as one run.
 
     In every bucket of a band the document that meets most others in all its buckets, as the origin
     of many copies does, is compared with all others. A bucket whose documents are then in one
@@ -222,22 +223,31 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", setting
     unequally far from the first leader: no link is lost, and no bucket is paired out.
     """
     with arrow_rows(docs.sparkSession, settings.batch_rows):
-        return _classes(docs, doc_id, text, settings)
+        return _classes(docs, doc_id, text, settings).select("doc_id", "class_id", "n_words", "kept")
+
+
+def _bare(text: Column) -> Column:
+    """Lower-cased words with one space between."""
+    return F.array_join(words(F.lower(text)), " ")
+
+
+def _copy(bare: Column) -> Column:
+    """Digest that equal texts share; null without a word."""
+    return F.when(bare != "", F.unhex(F.sha2(bare, 256)))
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataFrame:
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(F.col(text)).alias("text"))
-    rows = rows.withColumn("bare", F.array_join(words(F.col("text")), " "))
-    keyed = rows.select(
-        "doc_id", F.when(F.col("bare") != "", F.sha2("bare", 256)).alias("copy"), F.col("bare").alias("text")
-    )
-    members = parked(keyed.select("doc_id", "copy", F.size(F.split("text", " ")).alias("n_words")), "copies")
-    heads = members.where("copy is not null and doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("id"))
-    heads = parked(heads, "heads")
-    texts = rows.where("bare <> '' and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("bare").alias("text"))
-    cut = texts.select("id", words(F.col("text")).alias("w")).select("id", _hashes("w", settings.shingle).alias("runs"))
-    signed = cut.mapInArrow(partial(_sign, settings=settings), "id long, bands array<bigint>")
-    signed = parked(signed.join(heads.select("id"), "id", "left_semi"), "signatures")
+    """The columns of ``classes`` with copy, the digest of a text, and root, the identity of its class; both null without a word."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _bare(F.col(text)).alias("text"))
+    rows = rows.withColumn("copy", _copy(F.col("text")))
+    members = parked(rows.select("doc_id", "copy", F.size(F.split("text", " ")).alias("n_words")), "copies")
+    heads = members.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("head"))
+    heads = parked(heads.withColumn("id", F.monotonically_increasing_id()), "heads")
+    texts = rows.where("copy is not null")
+    cut = texts.select("copy", words(F.col("text")).alias("w")).select("copy", _hashes("w", settings.shingle).alias("runs"))
+    signed = cut.mapInArrow(partial(_sign, settings=settings), "copy binary, bands array<bigint>")
+    signed = signed.groupBy("copy").agg(F.first("bands").alias("bands"))
+    signed = parked(signed.join(heads, "copy").select("id", "bands"), "signatures")
     buckets = signed.select("id", F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = parked(buckets.join(full, "bucket").select("bucket", "id", "n"), "buckets")
@@ -246,8 +256,9 @@ def _classes(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> Dat
     lead = held.groupBy("bucket").agg(F.max_by("id", F.struct("rank", -F.col("id"))).alias("leader"))
     held = parked(held.join(lead, "bucket"), "held")
     pairs = held.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    used = ranks.select("id")
-    single = texts.join(used, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    used = heads.join(ranks.select("id"), "id", "left_semi").withColumnRenamed("copy", "own")
+    single = texts.join(used, (F.col("copy") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head")))
+    single = single.groupBy("id").agg(F.min("text").alias("text"))
     single = parked(single.select("id", words(F.col("text")).alias("w")).select("id", _hashes("w", settings.shingle).alias("runs")), "runs")
     scores = parked(_scored(pairs, single), "scores")
     links = scores.where(F.col("similarity") >= settings.similarity).select("a", "b")
@@ -282,12 +293,48 @@ def _classes(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> Dat
                 found = parked(components(links), "components")
         if open_rows.isEmpty():
             break
-    labelled = heads.join(found, "id", "left").select("copy", F.coalesce("class_id", "id").alias("class_id"))
-    out = members.join(labelled, "copy", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    return out.select("doc_id", "class_id", F.when(F.col("copy").isNull(), 0).otherwise(F.col("n_words")).alias("n_words"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    tops = found.join(heads, "id").groupBy("class_id").agg(F.min("head").alias("top"))
+    named = found.join(tops, "class_id").select("id", F.col("class_id").alias("root"), "top")
+    top = F.when(F.col("root").isNull(), F.col("head")).otherwise(F.col("top"))
+    labelled = heads.join(named, "id", "left").select("copy", F.coalesce("root", "id").alias("root"), top.alias("top"))
+    out = members.join(labelled, "copy", "left").withColumn("class_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("top")))
+    n_words = F.when(F.col("copy").isNull(), 0).otherwise(F.col("n_words")).alias("n_words")
+    return out.select("doc_id", "class_id", n_words, F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "copy", "root")
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Whole rows with their id and the digest of their text."""
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    return docs.select(row.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), _copy(_bare(F.col(text))).alias("copy"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """One document of each class: the rows whose id is that of their class, one of them if rows repeat it."""
-    gone = classes(docs.select(doc_id, text), doc_id, text, settings).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    """The rows whose id is that of their class; rows that repeat its id all stay, see ``one_of_each_class``."""
+    with arrow_rows(docs.sparkSession, settings.batch_rows):
+        gone = _classes(docs.select(doc_id, text), doc_id, text, settings).where("not kept")
+        gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("copy").alias("gone_copy")).distinct()
+    same = (F.col("copy") == F.col("gone_copy")) & F.col("doc_id").eqNullSafe(F.col("gone_id"))
+    return _rows(docs, doc_id, text).join(gone, same, "left_anti").select("row.*")
+
+
+def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """Exactly one row of each class, whatever the ids are: of the smallest doc_id, nulls last, and then of the first text.
+
+    Rows without a word are a class each and stay.
+    """
+    with arrow_rows(docs.sparkSession, settings.batch_rows):
+        found = _classes(docs.select(doc_id, text), doc_id, text, settings).where("root is not null")
+        same_row = found.groupBy("root", "doc_id", "copy").agg(F.count("*").alias("n"))
+        first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "copy", "n")
+        winners = same_row.groupBy("root").agg(F.min(first).alias("x"))
+        winners = parked(winners.select(F.col("x.doc_id").alias("won_id"), F.col("x.copy").alias("won_copy"), F.col("x.n").alias("n")), "winners")
+    rows = _rows(docs, doc_id, text)
+    same = (F.col("copy") == F.col("won_copy")) & F.col("doc_id").eqNullSafe(F.col("won_id"))
+    out = rows.join(winners.where("n = 1"), same, "left_semi").select("row.*")
+    repeated = winners.where("n > 1")
+    if not repeated.isEmpty():
+        plain = [F.col("row")[f.name] for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+        order = F.struct(F.col("row")[text].alias("text"), F.xxhash64(*plain).alias("rest"))
+        again = rows.join(repeated, same, "left_semi").groupBy("copy").agg(F.min_by("row", order).alias("row"))
+        out = out.unionByName(again.select("row.*"))
+    return out.unionByName(rows.where("copy is null").select("row.*"))

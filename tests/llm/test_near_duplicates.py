@@ -76,3 +76,19 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 9, 9, 10, 11]
     assert N.classes(docs.limit(0)).count() == 0
+
+
+def test_repeated_null_and_shared_ids(spark):
+    a, b, c, d = (prose(40 + i, 120) for i in range(4))
+    near_b = b.replace(b.split(" ")[50], "changed", 1)
+    rows = [(9, a), (9, a), (None, a), (None, b), (None, near_b), (None, c), (None, c), (5, a), (5, d), (6, d.upper()), (2, c), (3, None), (3, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in N.classes(docs).select("doc_id", "class_id", "kept").collect()]
+    want = [(9, 5, False), (9, 5, False), (None, 5, False), (None, None, True), (None, None, True), (None, 2, False), (None, 2, False), (5, 5, True), (5, 5, True), (6, 5, False), (2, 2, True), (3, 3, True), (3, 3, True), (None, None, True)]
+    assert Counter(found) == Counter(want)
+    kept = [tuple(r) for r in N.one_of_each_class(docs).collect()]
+    left = [x for x in kept if x not in ((None, b), (None, near_b))]
+    assert Counter(left) == Counter([(5, a), (5, d), (2, c), (3, None), (3, None), (None, "")]) and len(kept) == len(left) + 1
+    again = [(9, a), (9, a), (None, b), (None, b), (3, "x"), (4, " X")]
+    one = N.one_of_each_class(spark.createDataFrame(again, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, one)) == Counter([(9, a), (None, b), (3, "x")])
