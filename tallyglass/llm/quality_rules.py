@@ -24,13 +24,23 @@ OK, PUNCTUATION, NAVIGATION, BOILER, NOISE = range(5)
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds; shares are in hundredths so that all arithmetic stays in integers."""
+    """Thresholds; shares are in hundredths so that all arithmetic stays in integers.
+
+    With ``phrase_share`` 0 one phrase of site furniture fails its line, also as the start of longer
+    words, as in OP2_SQL. Above 0 only whole phrases count, and a line fails when they make up that
+    share of its words.
+    """
 
     min_words: int = 50
     max_repeat_share: int = 50
     max_lost_share: int = 30
     max_symbol_share: int = 10
     shout_words: int = 5
+    phrase_share: int = 0
+
+
+#: Rules of ``clean``: a phrase in a long line does not fail it.
+CLEANING = Rules(phrase_share=20)
 
 
 def visible(text: Column) -> Column:
@@ -42,6 +52,17 @@ def symbols(text: Column) -> Column:
     return F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long")
 
 
+def boilerplate(line: Column, n: Column, rules: Rules) -> Column:
+    """Whether a line of n words is site furniture by its phrases."""
+    pattern = rf"(^|[\x20\x09-\x0D])({BOILERPLATE})"
+    low = F.lower(line)
+    if not rules.phrase_share:
+        return low.rlike(pattern)
+    phrases = F.regexp_extract_all(low, F.lit(pattern + r"(?![\p{L}\p{M}\p{N}_])"), F.lit(2))
+    in_phrases = F.aggregate(phrases, F.lit(0), lambda a, x: a + F.size(F.split(x, " ")))
+    return low.rlike(pattern) & (in_phrases > 0) & (in_phrases * 100 >= n * rules.phrase_share)
+
+
 def line_code(line: Column, items: Column, rules: Rules) -> Column:
     """Which rule a line with these words fails: the first of noise, navigation, boilerplate and punctuation.
 
@@ -59,7 +80,7 @@ def line_code(line: Column, items: Column, rules: Rules) -> Column:
         .when(many_symbols, F.when(separators() * 3 >= n, NAVIGATION).otherwise(NOISE))
         .when((n >= rules.shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"), NOISE)
         .when(line.rlike(f"[{SEPARATORS}]") & (separators() >= 2) & (separators() * 4 >= n), NAVIGATION)
-        .when(F.lower(line).rlike(rf"(^|[\x20\x09-\x0D])({BOILERPLATE})"), BOILER)
+        .when(boilerplate(line, n, rules), BOILER)
         .when(~line.rlike(SENTENCE_END), PUNCTUATION)
         .otherwise(OK)
     )
@@ -162,8 +183,8 @@ def verdicts(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> Dat
     return measure(docs, text, rules).drop("_text", "_items", "_words", "_lines", "_full", "_codes", "_repeats")
 
 
-def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """Documents that are kept, without their failed lines; ``n_chars`` follows where the table has it."""
+def clean(docs: DataFrame, text: str = "text", rules: Rules = CLEANING) -> DataFrame:
+    """Documents that are kept by ``rules``, without their failed lines; ``n_chars`` follows where the table has it."""
     whole_row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), F.col(text).alias("_raw"))
     rows = measure(whole_row, "_raw", rules).where("kept")
     lines = F.filter("_lines", lambda x, i: at(F.col("_codes"), i) == OK)

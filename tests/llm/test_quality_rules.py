@@ -51,3 +51,16 @@ def test_clean_keeps_columns_and_whole_texts(spark):
     assert Q.clean(docs.limit(0)).count() == 0
     lost = "\n".join(["home | news | sport | more"] * 2 + [f"no end number {i} of a line that runs on" for i in range(20)] + [prose(9, 60)])
     assert Q.verdicts(odd_documents(spark, [(1, lost)]).select("doc_id", "text")).first()["kept"] is False
+
+
+def test_a_phrase_in_a_long_line_does_not_fail_it(spark):
+    long_line = " ".join(prose(10, 150).split())
+    inner = ["a sign in the window", "a sign indicating rain", "he read moreover", "a log in the river", "we read more of it"]
+    texts = [long_line + f" {x}, as they said." for x in inner]
+    rows = Q.clean(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in rows) == sorted(texts)
+    words_only = ["A sign indicating.", "Readers read moreover."]
+    furniture = ["All rights reserved, click here.", "Sign in | Log in to see.", "Read more: our privacy policy.", "© 2026 Some Name Ltd. All rights reserved."]
+    mixed = "\n".join([long_line, *words_only, *furniture])
+    row = Q.clean(spark.createDataFrame([(1, mixed)], "doc_id long, text string")).first()
+    assert row["text"] == "\n".join([long_line, *words_only])
