@@ -79,11 +79,17 @@ def read_revenue_csv(spark: SparkSession, path: str, period: str, blog_id: int)
 
 
 def normalize_revenue(rows: DataFrame) -> DataFrame:
-    """One row per slug: pages named by slug or URL, duplicates folded."""
+    """One row per slug: pages named by slug or URL, duplicates folded to their lowest positive post_id.
+
+    A name without a slug is dropped, but for the path of the home page.
+    """
     named = F.coalesce(F.when(F.trim("slug") != "", F.col("slug")), F.col("url"))
     kept = rows.withColumn("_raw", named).filter(F.trim(F.coalesce("_raw", F.lit(""))) != "")
-    keyed = kept.withColumn("slug", urls.slug_key(F.col("_raw"))).drop("_raw")
-    posts = keyed.groupBy("slug").agg(F.max("post_id").alias("post_id"))
+    keyed = kept.withColumn("slug", urls.slug_key(F.col("_raw")))
+    home = F.coalesce(urls.frontend_path(F.col("_raw")) == "/", F.lit(False))
+    keyed = keyed.filter((F.col("slug") != "") | home).drop("_raw")
+    lowest = F.coalesce(F.min(F.when(F.col("post_id") > 0, F.col("post_id"))), F.max("post_id"))
+    posts = keyed.groupBy("slug").agg(lowest.alias("post_id"))
     return aggregate_metrics(keyed, "slug").join(posts, "slug")
 
 

@@ -211,3 +211,12 @@ def test_reports_prune_days_of_the_stored_table(spark):
         scan = plan[plan.index("PartitionFilters") :]
         assert "event_date" in scan[: scan.index("PushedFilters")], name
         assert "GreaterThanOrEqual(created_at" in scan, name
+
+
+def test_revenue_names_without_slug_and_lowest_post(spark):
+    rows = [("?utm=x", 5, 1), ("/", 7, 2), ("/?utm=y", 1, 2), ("/a/", 2, 9), ("a?x=1", 3, 4), ("a", 4, 0), ("b", 1, None)]
+    rates = {c: 0.0 for c in RS.RATES}
+    data = [{"slug": s, "url": None, "views": v, "revenue": 1.0, "post_id": p, **rates} for s, v, p in rows]
+    schema = "slug string, url string, views long, revenue double, post_id long, " + ", ".join(f"{c} double" for c in RS.RATES)
+    got = {r["slug"]: (r["views"], r["post_id"]) for r in RS.normalize_revenue(spark.createDataFrame(data, schema)).collect()}
+    assert got == {"": (8, 2), "a": (9, 4), "b": (1, None)}
