@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from . import chat, decontamination, html_text, katz, mixing, near_duplicates, quality_rules, sharding, token_files, warc
+from . import alignment, chat, decontamination, html_text, katz, mixing, near_duplicates, quality_rules, sharding, token_files, toxicity, warc, whitening
 from .common import parked, table
 from .registry import query
 
@@ -214,3 +214,25 @@ def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract(pages, html_text.train(pages))
+
+
+@query("op11_whitened_embeddings")
+def op11_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(remainder != 1).select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.train(docs.where("NOT held_out"), labels))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
