@@ -1,16 +1,21 @@
 """Streaming jobs over the test tables, run until everything available is processed."""
 
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
 from ..sources import bind as B
+from ..sources import counters as C
+from ..streaming import alarm as SA
 from ..streaming import counters as SC
 from ..streaming import errors as SE
 from ..streaming import ingest as SI
+from ..streaming import late as SL
+from ..streaming import tail as ST
 from . import jobs, query
 from .errors import ALARM_AT, BODY, CAND, DAY, EC, ROOTS
-from .growth import LV
+from .growth import LC, LV
 
 HALF = "created_at < '2024-01-16'"
 
@@ -145,3 +150,103 @@ def _(spark, sf):
     )
     on, late = spark.read.parquet(f"{base}/on"), spark.read.parquet(f"{base}/late")
     return on.select("id", F.lit(False).alias("late")).unionByName(late.select("id", F.lit(True).alias("late")))
+
+
+LOGS = 8
+
+
+def grow_logs(spark, sf, path, until):
+    """Eight logs up to a time, each in order of time: a later call writes the same bytes and more after them."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr("*", f"{B.SPARK['k']} AS k").filter(until)
+    line = rows.selectExpr(f"concat('[', date_format(ts, 'dd-MMM-yyyy HH:mm:ss'), ' UTC', {BODY}) AS value", f"k % {LOGS} AS log", "ts", "k")
+    dealt = line.repartition(LOGS, "log").sortWithinPartitions("log", "ts", "k", "value")
+    dealt.select("value", "log").write.mode("overwrite").partitionBy("log").text(path)
+
+
+@query("st02_byte_tail", B.duck(DAY.format(src="ent"), "content", **EC))
+def _(spark, sf):
+    """Logs grow and get other names between runs; the rollup is folded into a layer on the way."""
+    base = scratch_dir(spark, "st02b")
+    table = SE.daily_table(spark, f"{base}/daily")
+
+    def tail():
+        SE.rollup_tail(ST.tail_bytes(spark, f"{base}/logs", f"{base}/memory", split=1 << 20), table, f"{base}/ckpt", ROOTS)
+
+    for until in ("ts < TIMESTAMP_NTZ '2024-01-10'", CUT, "true"):
+        grow_logs(spark, sf, f"{base}/logs", until)
+        tail()
+        table.compact()
+    tail()  # the last record of each log, which has not grown since
+    return table.read()
+
+
+KEYED = {
+    **EC,
+    "t0": f"SELECT TIMESTAMP '{FIRST_CUT}' AS t",
+    "t1": f"SELECT TIMESTAMP '{ALARM_AT}' AS t",
+    **{k: ALARMS[k] for k in ("s0", "c0", "s1", "c1")},
+}
+
+
+@query("st04_keyed_alarm", B.duck("SELECT *, (SELECT t FROM t0) AS as_of FROM c0 UNION ALL SELECT *, (SELECT t FROM t1) FROM c1", "content", **KEYED))
+def _(spark, sf):
+    """Two runs at given times over one keyed state; the second must know the alarms of the first."""
+    base = scratch_dir(spark, "st04k")
+    for moment, where in (
+        (FIRST_CUT, f"ts < TIMESTAMP_NTZ '{FIRST_CUT}'"),
+        (str(ALARM_AT), f"ts >= TIMESTAMP_NTZ '{FIRST_CUT}' AND ts < TIMESTAMP_NTZ '{ALARM_AT}'"),
+    ):
+        land_log(spark, sf, f"{base}/logs", where)
+        SA.watch_keyed(
+            SE.tail_log(spark, f"{base}/logs"), f"{base}/out", f"{base}/ckpt", ROOTS,
+            window=12 * 3600, recency=2 * 3600, threshold=1, at=datetime.fromisoformat(moment),
+        )
+    return spark.read.parquet(f"{base}/out")
+
+
+LATE_BY = 86400 * 10
+LATE_COLUMNS = ["id", "event_type", "visitor_id", "post_id", "dest_url", "dest_host", "created_at", "ts"]
+
+
+def split_late(spark, sf, base):
+    """The newer half lands first; of the older half, what is ten days behind is late. Returns on-time and late rows."""
+    frame = B.events(spark, sf).select(*LATE_COLUMNS)
+    run_both(
+        spark, frame,
+        lambda s: SI.route_late(s, f"{base}/on", f"{base}/late", f"{base}/marks", f"{base}/route", LATE_BY),
+        halves=(f"NOT ({HALF})", HALF),
+    )
+    on = spark.read.parquet(f"{base}/on")
+    return spark.readStream.schema(on.schema).parquet(f"{base}/on"), spark.read.schema(on.schema).parquet(f"{base}/late")
+
+
+@query("st03_late_counters__views", B.duck("SELECT * FROM lv", lv=LV))
+def _(spark, sf):
+    base = scratch_dir(spark, "st03v")
+    on, late = split_late(spark, sf, base)
+    SC.count_link_views(on, f"{base}/out", f"{base}/ckpt", f"{LATE_BY} seconds")
+    return SL.add_late_counts(SC.link_views(spark, f"{base}/out"), C.rollup_link_views(late), C.VIEW_KEYS, "view_count")
+
+
+@query("st03_late_counters__clicks", B.duck("SELECT * FROM lc", lc=LC))
+def _(spark, sf):
+    base = scratch_dir(spark, "st03c")
+    on, late = split_late(spark, sf, base)
+    SC.count_link_clicks(on, f"{base}/out", f"{base}/ckpt", f"{LATE_BY} seconds")
+    return SL.add_late_counts(SC.link_clicks(spark, f"{base}/out"), C.rollup_link_clicks(late), C.CLICK_KEYS, "click_count")
+
+
+@query("st05_late_sessions", B.duck(SESSIONS[: SESSIONS.index(" HAVING")]))
+def _(spark, sf):
+    """A row of a far day closes all sessions; then the late rows are merged in."""
+    base = scratch_dir(spark, "st05l")
+    on, late = split_late(spark, sf, base)
+    SC.stream_sessions(on, f"{base}/out", f"{base}/ckpt", B.GAP_12H, f"{LATE_BY} seconds")
+    spark.range(1).selectExpr(
+        "id", "'pageview' AS event_type", "'(end)' AS visitor_id", "id AS post_id", "'' AS dest_url", "'' AS dest_host",
+        "TIMESTAMP '2030-01-01' AS created_at", "unix_seconds(TIMESTAMP '2030-01-01') AS ts", "1000000L AS batch",
+    ).write.mode("append").partitionBy("batch").parquet(f"{base}/on")
+    SC.stream_sessions(on, f"{base}/out", f"{base}/ckpt", B.GAP_12H, f"{LATE_BY} seconds")
+    SL.store_sessions(spark.read.parquet(f"{base}/out"), f"{base}/sessions")
+    SL.merge_late_sessions(spark, f"{base}/sessions", late, f"{base}/staging", B.GAP_12H)
+    return spark.read.parquet(f"{base}/sessions").drop("session_day")

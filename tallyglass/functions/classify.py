@@ -98,7 +98,7 @@ def decoded_term(term: Column) -> Column:
 
 
 def unslash(term: Column) -> Column:
-    return F.regexp_replace(term, r"\\(.)", "$1")
+    return F.regexp_replace(term, r"(?s)\\(.)", "$1")
 
 
 def search_payload(term: Column, catalogue: Sequence[tuple] = rules.SEARCH_PAYLOAD_RULES) -> Column:

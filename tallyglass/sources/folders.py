@@ -18,3 +18,9 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
 def drop_folder(spark: SparkSession, path: str) -> None:
     system, folder = _folder(spark, path)
     system.delete(folder, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none where there is no folder."""
+    system, folder = _folder(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(folder)) if system.exists(folder) else []

@@ -19,6 +19,8 @@ from .folders import drop_folder
 
 EMAIL_TYPES = ["email_sent", "email_failed"]
 EMAIL_KEPT = "recipient_count bigint, context string, error_code string, user_id bigint, is_bot boolean"
+#: Where Spark keeps the rows whose partition column is null.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 NOT_FOUND_DAYS, EMAIL_DAYS, LINK_PAGE_DAYS = 90, 30, 90
 
 
@@ -28,19 +30,21 @@ def apply_to_days(
     """Rewrites the days of a stored table that hold rows of ``hit``, by ``change``; returns their number.
 
     The days come from the old rows, so a day that loses its last row is removed and days without a
-    hit are neither read nor written. Days are bounded by the calendar.
+    hit are neither read nor written. Days are bounded by the calendar; rows without one have a day of their own.
     """
     rows = spark.read.parquet(path)
     days = [r[0] for r in rows.filter(hit).select(by).distinct().collect()]
     if not days:
         return 0
-    change(rows.filter(F.col(by).isin(days))).write.mode("overwrite").partitionBy(by).parquet(staging)
+    known = [d for d in days if d is not None]
+    mine = F.col(by).isin(known) if None not in days else F.col(by).isin(known) | F.col(by).isNull()
+    change(rows.filter(mine)).write.mode("overwrite").partitionBy(by).parquet(staging)
     staged = spark.read.schema(rows.schema).parquet(staging)
     left = {r[0] for r in staged.select(by).distinct().collect()}
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     for day in days:
         if day not in left:
-            drop_folder(spark, f"{path}/{by}={day}")
+            drop_folder(spark, f"{path}/{by}={NULL_FOLDER if day is None else day}")
     return len(days)
 
 
@@ -50,7 +54,7 @@ def purge_days(spark: SparkSession, path: str, staging: str, types: list[str], o
 
 
 def scrub_days(spark: SparkSession, path: str, staging: str, types: list[str] = EMAIL_TYPES) -> int:
-    return apply_to_days(spark, path, staging, P.of_type(types), lambda rows: scrub_email_pii(rows, types))
+    return apply_to_days(spark, path, staging, F.coalesce(P.of_type(types), F.lit(False)), lambda rows: scrub_email_pii(rows, types))
 
 
 def erase_days(spark: SparkSession, path: str, staging: str, user_id: int, types: list[str] = EMAIL_TYPES) -> int:

@@ -21,6 +21,24 @@ def count_link_views(stream: DataFrame, target: str, checkpoint: str, delay: str
     MB.run(out, lambda rows, batch_id: MB.put(rows, target, batch_id), checkpoint, mode="update")
 
 
+def count_link_clicks(stream: DataFrame, target: str, checkpoint: str, delay: str = "2 days") -> None:
+    """Counts per page, day, address and text of outbound links, as :func:`count_link_views`."""
+    rows = stream.filter(P.of_type("outbound_click") & (F.col("post_id") > 0)).select(
+        "created_at", F.col("post_id").alias("link_page_id"), F.col("dest_url").alias("link_url"),
+        F.coalesce("dest_host", F.lit("")).alias("link_text"),
+    )
+    counted = rows.withWatermark("created_at", delay).groupBy(
+        "link_page_id", "link_url", "link_text", F.window("created_at", "1 day").alias("w")
+    ).agg(F.count("*").alias("click_count"))
+    out = counted.select("link_page_id", F.to_date("w.start").alias("stat_date"), "link_url", "link_text", "click_count")
+    MB.run(out, lambda rows, batch_id: MB.put(rows, target, batch_id), checkpoint, mode="update")
+
+
+def link_clicks(spark: SparkSession, target: str) -> DataFrame:
+    stored = spark.read.parquet(target)
+    return stored.groupBy("link_page_id", "stat_date", "link_url", "link_text").agg(F.max_by("click_count", "batch").alias("click_count"))
+
+
 def link_views(spark: SparkSession, target: str) -> DataFrame:
     """Current totals: those of the last batch that touched each counter."""
     stored = spark.read.parquet(target)

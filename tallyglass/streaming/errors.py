@@ -32,12 +32,31 @@ def daily_errors(spark: SparkSession, partials: str) -> DataFrame:
     return EL.rollup_errors(_no_entries(spark), stored)
 
 
+DAILY = (
+    "snapshot_day date, signature string, severity string, file_line string, sample_message string, count bigint, "
+    "first_seen timestamp, last_seen timestamp"
+)
+
+
+def daily_table(spark: SparkSession, path: str) -> MB.Folded:
+    """Daily rollups of batches, folded into layers by day."""
+    schema = spark.createDataFrame([], DAILY).schema
+    return MB.Folded(spark, path, schema, lambda rows: EL.rollup_errors(_no_entries(spark), rows), by="snapshot_day")
+
+
+def rollup_tail(stream: DataFrame, table: MB.Folded, checkpoint: str, roots: list[str]) -> None:
+    """As :func:`rollup_log`, into a table that can be compacted."""
+    MB.run(stream, lambda chunks, batch_id: table.put(EL.rollup_errors(EL.parse_errors(EL.split_records(chunks), roots)), batch_id), checkpoint)
+
+
 def _no_entries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "ts timestamp, signature string, severity string, file string, sample string")
 
 
 def watch_fatals(stream: DataFrame, base: str, checkpoint: str, roots: list[str], **rules) -> None:
-    """Evaluates the alarm after every batch, at the newest time the batch contains.
+    """Evaluates the alarm after every batch, at the newest time the batch contains: for replays of a recorded log.
+
+    A line with a wrong date moves this clock; live logs are watched by :func:`.alarm.watch_keyed`.
 
     Entries, alarms and state are tables under ``base`` with one partition per batch;
     a batch reads the state of the batch before it.
@@ -48,6 +67,12 @@ def watch_fatals(stream: DataFrame, base: str, checkpoint: str, roots: list[str]
 
     def handle(chunks: DataFrame, batch_id: int) -> None:
         fresh = EL.parse_errors(EL.split_records(chunks), roots).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            evaluate(fresh, batch_id)
+        finally:
+            fresh.unpersist()
+
+    def evaluate(fresh: DataFrame, batch_id: int) -> None:
         as_of = fresh.agg(F.max("ts").alias("t")).first()["t"]
         state = MB.get(spark, f"{base}/state", state_schema)
         last = state.filter(F.col("batch") < batch_id)
@@ -61,9 +86,10 @@ def watch_fatals(stream: DataFrame, base: str, checkpoint: str, roots: list[str]
             (F.col("batch") <= batch_id) & (F.col("ts") >= F.lit(since))
         )
         found = PE.alarm_candidates(recent, last, as_of, **rules).persist(StorageLevel.MEMORY_AND_DISK)
-        MB.put(found.withColumn("as_of", F.lit(as_of)), f"{base}/candidates", batch_id)
-        MB.put(PE.next_state(found, last, as_of), f"{base}/state", batch_id)
-        found.unpersist()
-        fresh.unpersist()
+        try:
+            MB.put(found.withColumn("as_of", F.lit(as_of)), f"{base}/candidates", batch_id)
+            MB.put(PE.next_state(found, last, as_of), f"{base}/state", batch_id)
+        finally:
+            found.unpersist()
 
     MB.run(stream, handle, checkpoint)

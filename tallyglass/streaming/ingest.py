@@ -10,15 +10,21 @@ from ..sources import events as EV
 from . import batches as MB
 
 
+#: Marks that a batch reads; batches follow each other, so one would do.
+MARKS = 3
+
+
 def ingest_events(stream: DataFrame, sites: DataFrame, accepted: str, rejected: str, checkpoint: str) -> None:
     """Admitted rows to one table, refused rows with their reason to another."""
 
     def handle(rows: DataFrame, batch_id: int) -> None:
         rows.persist(StorageLevel.MEMORY_AND_DISK)
-        ok, bad = EV.admit_events(rows, sites)
-        MB.put(ok, accepted, batch_id)
-        MB.put(bad, rejected, batch_id)
-        rows.unpersist()
+        try:
+            ok, bad = EV.admit_events(rows, sites)
+            MB.put(ok, accepted, batch_id)
+            MB.put(bad, rejected, batch_id)
+        finally:
+            rows.unpersist()
 
     MB.run(stream, handle, checkpoint)
 
@@ -40,12 +46,15 @@ def route_late(
 
     def handle(rows: DataFrame, batch_id: int) -> None:
         rows.persist(StorageLevel.MEMORY_AND_DISK)
-        before = MB.get(spark, marks, mark_schema).filter(F.col("batch") < batch_id)
-        high = before.agg(F.max("high")).scalar()
-        is_late = F.coalesce(F.col("ts") < high - delay_secs, F.lit(False))
-        MB.put(rows.filter(is_late), late, batch_id)
-        MB.put(rows.filter(~is_late), on_time, batch_id)
-        MB.put(rows.agg(F.max("ts").alias("high")), marks, batch_id)
-        rows.unpersist()
+        try:
+            # Each mark holds the highest time up to its batch, so the one before is enough.
+            before = MB.get(spark, marks, mark_schema).filter(F.col("batch").between(batch_id - MARKS, batch_id - 1))
+            high = before.agg(F.max("high")).scalar()
+            is_late = F.coalesce(F.col("ts") < high - delay_secs, F.lit(False))
+            MB.put(rows.filter(is_late), late, batch_id)
+            MB.put(rows.filter(~is_late), on_time, batch_id)
+            MB.put(rows.agg(F.greatest(F.max("ts"), high).alias("high")), marks, batch_id)
+        finally:
+            rows.unpersist()
 
     MB.run(stream, handle, checkpoint)
