@@ -145,10 +145,10 @@ def _bags(batches: Iterator[pa.RecordBatch], settings: Settings, buckets: np.nda
     for batch, block in blocks(batches, 0, settings.block):
         sentence, bucket = block.hits(settings.grams, settings.bits, keep)
         feature, text = np.searchsorted(buckets, bucket), block.text[sentence]
-        ends = np.searchsorted(text, np.arange(block.texts + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (sentence, feature)]
+        ends = np.searchsorted(text, np.arange(block.texts + 1))
+        packed = [pa.array([v[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()) for v in (sentence, feature)]
         totals = np.bincount(block.text, minlength=block.texts)
-        yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(totals), *lists], names=["toxic", "sentences", "sentence", "feature"])
+        yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(totals), *packed], names=["toxic", "sentences", "sentence", "feature"])
 
 
 def fit(labels: np.ndarray, plain: np.ndarray, owner: np.ndarray, starts: np.ndarray, features: np.ndarray, width: int, settings: Settings) -> tuple[np.ndarray, float]:
@@ -212,16 +212,18 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
     ratio = term(F.col("toxic"), share * n1) + term(F.col("clean"), share * n0) + term(n1 - F.col("toxic"), (1 - share) * n1) + term(n0 - F.col("clean"), (1 - share) * n0)
     best = counts.where(met >= settings.least).select("bucket", ratio.alias("ratio")).orderBy(F.desc("ratio"), "bucket").limit(settings.features)
     buckets = np.array(sorted(r["bucket"] for r in best.collect()), np.int64)
-    bags = rows.mapInArrow(partial(_bags, settings=settings, buckets=buckets), "toxic int, sentences long, sentence array<long>, feature array<long>")
-    owner, lengths, features, plain, marks = [], [], [], [], []
-    for i, (total, toxic, sentence, feature) in enumerate(sorted((r["sentences"], r["toxic"], r["sentence"], r["feature"]) for r in bags.collect())):
-        _, times = np.unique(np.array(sentence, np.int64), return_counts=True)
-        owner += [i] * len(times)
-        lengths += times.tolist()
-        features += feature
+    bags = rows.mapInArrow(partial(_bags, settings=settings, buckets=buckets), "toxic int, sentences long, sentence binary, feature binary")
+    lengths, counts, features, plain, marks = [], [], [], [], []
+    for total, toxic, sentence, feature in sorted((r["sentences"], r["toxic"], bytes(r["sentence"]), bytes(r["feature"])) for r in bags.collect()):
+        _, times = np.unique(np.frombuffer(sentence, "<i4"), return_counts=True)
+        lengths.append(times)
+        counts.append(len(times))
+        features.append(np.frombuffer(feature, "<i4"))
         plain.append(float(total - len(times)))
         marks.append(toxic)
-    weights, bias = fit(np.array(marks), np.array(plain), np.array(owner, np.int64), np.cumsum([0, *lengths]), np.array(features, np.int64), len(buckets), settings)
+    owner = np.repeat(np.arange(len(marks)), counts)
+    starts = np.r_[0, np.cumsum(np.concatenate(lengths))].astype(np.int64)
+    weights, bias = fit(np.array(marks), np.array(plain), owner, starts, np.concatenate(features), len(buckets), settings)
     return Model(buckets, weights, bias, settings.grams, settings.bits, settings.block)
 
 
