@@ -86,48 +86,73 @@ def snapshot_rows(spark, sf, where):
 
 
 RCOLS = "slug, views, CAST(revenue AS DOUBLE) AS revenue, import_batch, period_label"
-AGG = """SELECT slug, CAST(sum(views) AS BIGINT) AS views, CAST(sum(revenue) AS DOUBLE) AS revenue FROM revenue WHERE {} GROUP BY 1"""
-OLD, NEW = "period_label = '1997-03' AND post_id % 4 <> 0", "period_label = '1997-03' AND (post_id % 3 <> 0 OR post_id IS NULL)"
-COUNTS = """SELECT count(*) FILTER (o.slug IS NULL) AS inserts, count(*) FILTER (o.slug IS NOT NULL AND n.slug IS NOT NULL) AS replaces, count(*) FILTER (n.slug IS NULL) AS deletes
- FROM n FULL JOIN o ON o.slug = n.slug"""
-BATCH = f"concat('feed-site1examplecom-b1-1997-03-', substr(sha256(concat_ws(chr(0), 'feed', 'site1.example.com', '1', '1997-03', '1997-03-01', '1997-03-31')), 1, 12))"
-SCOPE = dict(blog_id=1, period="1997-03", source="Feed", site="Site1.example.com")
+AGG = """SELECT slug, period_label, CAST(sum(views) AS BIGINT) AS views, CAST(sum(revenue) AS DOUBLE) AS revenue FROM revenue WHERE {} GROUP BY 1, 2"""
+OLD, NEW = "post_id % 4 <> 0", "post_id % 3 <> 0 OR post_id IS NULL"
+# Every period of the first run comes again in the second, so stale rows of all of them are known.
+BOTH = "n FULL JOIN (SELECT * FROM o WHERE period_label IN (SELECT period_label FROM n)) o ON o.slug = n.slug AND o.period_label = n.period_label"
+COUNTS = f"""SELECT coalesce(n.period_label, o.period_label) AS period_label, count(*) FILTER (o.slug IS NULL) AS inserts,
+ count(*) FILTER (o.slug IS NOT NULL AND n.slug IS NOT NULL) AS replaces, count(*) FILTER (n.slug IS NULL) AS deletes FROM {BOTH} GROUP BY 1"""
+FIRST = "try_cast(concat(period_label, '-01') AS DATE)"  # of a month; other periods have no dates
+BATCH = f"""concat('feed-site1examplecom-b1-', period_label, '-', substr(sha256(concat_ws(chr(0), 'feed', 'site1.example.com', '1', period_label,
+ coalesce(CAST({FIRST} AS STRING), ''), coalesce(CAST(last_day({FIRST}) AS STRING), ''))), 1, 12))"""
+SCOPE = dict(blog_id=1, source="Feed", site="Site1.example.com", period="period_label", imported_at=B.AS_OF)
 
 
-@query("io05_replace_snapshot", B.duck(f"SELECT *, {BATCH} AS import_batch, '1997-03' AS period_label FROM n", "revenue", n=AGG.format(NEW)))
+def ingest(spark, sf, target, stage, where, **more):
+    rows = snapshot_rows(spark, sf, where).withColumn("period", F.col("period_label"))
+    return RS.ingest_periods(rows, B.content(spark, sf), target, f"{target}-stage{stage}", **{**SCOPE, "period": "period", **more})
+
+
+@query("io05_replace_snapshot", B.duck(f"SELECT slug, views, revenue, {BATCH} AS import_batch, period_label FROM n", "revenue", n=AGG.format(NEW)))
 def _(spark, sf):
     target = scratch_dir(spark, "revenue")
     for i, where in enumerate((OLD, NEW)):
-        RS.ingest_revenue(snapshot_rows(spark, sf, where), target, f"{target}-stage{i}", **SCOPE)
+        ingest(spark, sf, target, i, where)
     return spark.read.parquet(target).selectExpr(*RCOLS.split(", "))
 
 
 @query("io05_replace_snapshot__counts", B.duck(COUNTS, "revenue", o=AGG.format(OLD), n=AGG.format(NEW)))
 def _(spark, sf):
     target = scratch_dir(spark, "revenue")
-    RS.ingest_revenue(snapshot_rows(spark, sf, OLD), target, f"{target}-stage0", **SCOPE)
-    return RS.ingest_revenue(snapshot_rows(spark, sf, NEW), target, f"{target}-stage1", dry_run=True, **SCOPE)
+    ingest(spark, sf, target, 0, OLD)
+    return ingest(spark, sf, target, 1, NEW, dry_run=True)
 
 
 @query(
     "io06_additive_snapshot",
-    B.duck("""SELECT coalesce(n.slug, o.slug) AS slug, coalesce(n.views, o.views) AS views, coalesce(n.revenue, o.revenue) AS revenue, 'extra-1' AS import_batch, '1997-03' AS period_label
-    FROM n FULL JOIN o ON o.slug = n.slug""", "revenue", o=AGG.format(OLD), n=AGG.format(NEW)),
+    B.duck(f"""SELECT coalesce(n.slug, o.slug) AS slug, coalesce(n.views, o.views) AS views, coalesce(n.revenue, o.revenue) AS revenue, 'extra-1' AS import_batch,
+    coalesce(n.period_label, o.period_label) AS period_label FROM {BOTH}""", "revenue", o=AGG.format(OLD), n=AGG.format(NEW)),
 )
 def _(spark, sf):
     target = scratch_dir(spark, "revenue")
     for i, where in enumerate((OLD, NEW)):
-        RS.ingest_revenue(snapshot_rows(spark, sf, where), target, f"{target}-stage{i}", mode="additive", snapshot="extra-1", **SCOPE)
+        ingest(spark, sf, target, i, where, mode="additive", snapshot="extra-1")
     return spark.read.parquet(target).selectExpr(*RCOLS.split(", "))
 
 
+@query(
+    "io05_resolved_content",
+    B.duck(f"""SELECT slug, n.period_label, CASE WHEN pid > 0 THEN pid WHEN m = 1 THEN fid ELSE pid END AS post_id, CASE WHEN pid > 0 THEN 1 WHEN m = 1 THEN fbid END AS content_blog_id, page AS url, link AS canonical_url FROM
+    (SELECT slug, period_label, coalesce(min(post_id) FILTER (post_id > 0), max(post_id)) AS pid, min(coalesce(nullif(slug, ''), '')) AS page FROM revenue GROUP BY 1, 2) n
+    LEFT JOIN (SELECT trim(regexp_extract(url, '{S.SPLIT}', 3), '/') AS cp, count(*) AS m, min(post_id) AS fid, min(blog_id) AS fbid FROM content WHERE status = 'publish' GROUP BY 1) f ON f.cp = n.slug AND n.slug <> '' AND coalesce(pid, 0) <= 0
+    LEFT JOIN (SELECT post_id AS lp, blog_id AS lb, min(url) AS link FROM content WHERE status = 'publish' GROUP BY 1, 2) l
+      ON lp = CASE WHEN pid > 0 THEN pid WHEN m = 1 THEN fid END AND lb = CASE WHEN pid > 0 THEN 1 WHEN m = 1 THEN fbid END""", "revenue", "content"),
+)
+def _(spark, sf):
+    """What the ingest resolves itself: the stored rows name their content and its address."""
+    target = scratch_dir(spark, "revenue")
+    ingest(spark, sf, target, 0, "true")
+    return spark.read.parquet(target).select("slug", "period_label", "post_id", "content_blog_id", "url", "canonical_url")
+
+
 @query(
     "j11_snapshot_plan",
-    B.duck("""SELECT coalesce(n.slug, o.slug) AS slug, CASE WHEN n.slug IS NULL THEN 'delete' WHEN o.slug IS NULL THEN 'insert' ELSE 'replace' END AS action FROM n FULL JOIN o ON o.slug = n.slug""",
-           "revenue", o=AGG.format(OLD), n=AGG.format(NEW)),
+    B.duck(f"""SELECT coalesce(n.period_label, o.period_label) AS period_label, coalesce(n.slug, o.slug) AS slug, CASE WHEN n.slug IS NULL THEN 'delete' WHEN o.slug IS NULL THEN 'insert' ELSE 'replace' END AS action
+    FROM n FULL JOIN o ON o.slug = n.slug AND o.period_label = n.period_label""", "revenue", o=AGG.format(OLD), n=AGG.format(NEW)),
 )
 def _(spark, sf):
-    return RS.ingestion_plan(RS.normalize_revenue(snapshot_rows(spark, sf, NEW)), RS.normalize_revenue(snapshot_rows(spark, sf, OLD)))
+    old, new = (RS.normalize_revenue(snapshot_rows(spark, sf, w), "period_label") for w in (OLD, NEW))
+    return RS.ingestion_plan(new, old, by=("period_label",))
 
 
 PATHS = "SELECT DISTINCT CASE WHEN pk % 9 = 0 THEN '/' ELSE concat('/post-', CAST(pk AS STRING), '/') END AS path FROM (SELECT l_partkey AS pk FROM lineitem)"

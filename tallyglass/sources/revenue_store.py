@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,8 +79,8 @@ def read_revenue_csv(spark: SparkSession, path: str, period: str, blog_id: int)
     ).filter(F.coalesce(F.col("slug"), F.lit("")) != "")
 
 
-def normalize_revenue(rows: DataFrame) -> DataFrame:
-    """One row per slug: pages named by slug or URL, duplicates folded to their lowest positive post_id.
+def normalize_revenue(rows: DataFrame, *by: str) -> DataFrame:
+    """One row per slug, within each value of ``by``: pages named by slug or URL, duplicates folded to their lowest positive post_id.
 
     A name without a slug is dropped, but for the path of the home page.
     """
@@ -87,10 +88,11 @@ def normalize_revenue(rows: DataFrame) -> DataFrame:
     kept = rows.withColumn("_raw", named).filter(F.trim(F.coalesce("_raw", F.lit(""))) != "")
     keyed = kept.withColumn("slug", urls.slug_key(F.col("_raw")))
     home = F.coalesce(urls.frontend_path(F.col("_raw")) == "/", F.lit(False))
-    keyed = keyed.filter((F.col("slug") != "") | home).drop("_raw")
+    keyed = keyed.filter((F.col("slug") != "") | home)
     lowest = F.coalesce(F.min(F.when(F.col("post_id") > 0, F.col("post_id"))), F.max("post_id"))
-    posts = keyed.groupBy("slug").agg(lowest.alias("post_id"))
-    return aggregate_metrics(keyed, "slug").join(posts, "slug")
+    shown = F.min(F.coalesce(urls.frontend_path(F.col("_raw")), F.trim("_raw")))
+    posts = keyed.groupBy(*by, "slug").agg(lowest.alias("post_id"), shown.alias("page_url"))
+    return aggregate_metrics(keyed.drop("_raw"), *by, "slug").join(posts, [*by, "slug"])
 
 
 def resolve_paths(rows: DataFrame, content: DataFrame) -> DataFrame:
@@ -113,17 +115,19 @@ def require_complete(paths: DataFrame, resolved: DataFrame) -> None:
         raise ValueError("path resolution is incomplete; nothing was written")
 
 
-def ingestion_plan(incoming: DataFrame, existing: DataFrame, mode: str = "replace") -> DataFrame:
-    """insert / replace / delete per slug; additive runs never delete."""
-    new = incoming.select("slug", F.lit(True).alias("_new"))
-    old = existing.select("slug", F.lit(True).alias("_old")).distinct()
-    both = new.join(old, "slug", "full_outer" if mode == "replace" else "left")
+def ingestion_plan(incoming: DataFrame, existing: DataFrame, mode: str = "replace", by: tuple[str, ...] = ()) -> DataFrame:
+    """insert / replace / delete per slug, within each value of ``by``; additive runs never delete."""
+    keys = [*by, "slug"]
+    new = incoming.select(*keys, F.lit(True).alias("_new"))
+    old = existing.select(*keys, F.lit(True).alias("_old")).distinct()
+    both = new.join(old, keys, "full_outer" if mode == "replace" else "left")
     action = F.when(F.col("_new").isNull(), "delete").when(F.col("_old").isNull(), "insert").otherwise("replace")
-    return both.select("slug", action.alias("action"))
+    return both.select(*keys, action.alias("action"))
 
 
-def plan_counts(plan: DataFrame) -> DataFrame:
-    return plan.agg(*[F.count_if(F.col("action") == a).alias(f"{a}s") for a in ("insert", "replace", "delete")])
+def plan_counts(plan: DataFrame, *by: str) -> DataFrame:
+    counts = [F.count_if(F.col("action") == a).alias(f"{a}s") for a in ("insert", "replace", "delete")]
+    return plan.groupBy(*by).agg(*counts) if by else plan.agg(*counts)
 
 
 def ingest_revenue(
@@ -184,3 +188,102 @@ def stored_snapshot(spark: SparkSession, target: str, like: DataFrame, blog_id:
     return rows.filter(
         (F.col("blog_id") == blog_id) & (F.col("period_label") == label) & (F.col("import_batch") == batch)
     )
+
+
+PERIOD_SCHEMA = (
+    "slug string, post_id bigint, views bigint, revenue decimal(18,4), rpm double, cpm double, viewability double, "
+    "fill_rate double, impressions_per_pageview double, url string, content_blog_id int, canonical_url string, "
+    "imported_at timestamp, period_start date, period_end date, blog_id int, period_label string, import_batch string"
+)
+
+
+def with_content(rows: DataFrame, content: DataFrame, blog_id: int) -> DataFrame:
+    """Adds ``content_blog_id`` and ``canonical_url``, and the post of rows that name none.
+
+    A post that a row names itself belongs to the snapshot's blog. The paths of the others are
+    resolved once each; the home page stays without a post. An answer that misses a path, or gives
+    it twice, stops the ingest before anything is written.
+    """
+    pages = content.filter(F.col("status") == "publish").select(
+        F.col("post_id").alias("_post"), F.col("blog_id").cast("int").alias("_blog"), F.col("url").alias("_link")
+    )
+    path = F.when((F.coalesce("post_id", F.lit(0)) <= 0) & (F.col("slug") != ""), urls.frontend_path(F.concat(F.lit("/"), F.col("slug"))))
+    asked = rows.withColumn("path", path)
+    paths = asked.filter(F.col("path").isNotNull()).select("path").distinct()
+    answers = resolve_paths(paths, content)
+    require_complete(paths, answers)
+    found = answers.filter(F.col("status") == "resolved").select(
+        "path", F.col("post_id").alias("_found"), F.col("content_blog_id").cast("int").alias("_found_blog")
+    )
+    out = asked.join(found, "path", "left")
+    own = F.coalesce("post_id", F.lit(0)) > 0
+    out = out.withColumns({
+        "content_blog_id": F.when(own, F.lit(blog_id)).otherwise(F.col("_found_blog")),
+        "post_id": F.when(own, F.col("post_id")).otherwise(F.coalesce("_found", "post_id")),
+    })
+    named = pages.groupBy("_post", "_blog").agg(F.min("_link").alias("canonical_url"))
+    out = out.join(named, (F.col("post_id") == F.col("_post")) & (F.col("content_blog_id") == F.col("_blog")), "left")
+    return out.withColumnRenamed("page_url", "url").drop("path", "_found", "_found_blog", "_post", "_blog")
+
+
+def by_period(rows: DataFrame) -> DataFrame:
+    """Rows of a period side by side, so that each writes few files; a large period is split over tasks."""
+    return rows.hint("rebalance", "period_label")
+
+
+def ingest_periods(
+    rows: DataFrame,
+    content: DataFrame,
+    target: str,
+    staging: str,
+    blog_id: int,
+    source: str,
+    site: str,
+    imported_at: datetime,
+    period: str = "period",
+    mode: str = "replace",
+    snapshot: str | None = None,
+    dry_run: bool = False,
+) -> DataFrame:
+    """Writes the snapshots of all periods in ``rows`` at once; returns inserts, replaces and deletes per ``period_label``.
+
+    The column ``period`` holds the period of each row. Every period is a partition with the identity
+    :func:`ingest_revenue` would give it, and follows the same rules for replace and additive runs; periods that
+    ``rows`` does not hold stay as they are. Names, posts and canonical addresses are resolved inside, before the
+    store is opened. Plan and stored rows come from one staged table, which is then swapped in by partition.
+    """
+    spark = rows.sparkSession
+    if mode not in ("replace", "additive"):
+        raise ValueError("mode is replace or additive")
+    if mode == "additive" and (not snapshot or not re.match(SNAPSHOT, snapshot)):
+        raise ValueError("additive ingestion needs an explicit snapshot label")
+    dated = rows.withColumn("period_label", period_range(F.col(period))[0]).drop("period_start", "period_end", "import_batch", "blog_id")
+    named = normalize_revenue(dated, "period_label")
+    _, start, end = period_range(F.col("period_label"))
+    identity = snapshot_identity(F.lit(source), F.lit(site), F.lit(blog_id), F.col("period_label"))
+    if mode == "additive" and not named.filter(identity == snapshot).isEmpty():
+        raise ValueError("an additive snapshot must differ from the replace identity")
+    batch = identity if mode == "replace" else F.lit(snapshot)
+    schema = spark.createDataFrame([], PERIOD_SCHEMA).schema
+    full = with_content(named, content, blog_id).withColumns(
+        {"blog_id": F.lit(blog_id), "import_batch": batch, "imported_at": F.lit(imported_at), "period_start": start, "period_end": end}
+    )
+    full.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("overwrite").parquet(f"{staging}/incoming")
+    incoming = spark.read.schema(schema).parquet(f"{staging}/incoming")
+    if incoming.isEmpty():
+        raise ValueError("an empty snapshot is refused")
+    scope = ["period_label", "import_batch"]
+    periods = incoming.select(*scope).distinct()
+    old = spark.read.schema(schema).parquet(target) if folder_exists(spark, target) else incoming.limit(0)
+    existing = old.filter(F.col("blog_id") == blog_id).join(F.broadcast(periods), scope, "left_semi")  # one row for each period
+    counts = plan_counts(ingestion_plan(incoming, existing, mode, ("period_label",)), "period_label")
+    if dry_run:
+        return counts
+    counts.write.mode("overwrite").parquet(f"{staging}/counts")  # before the swap changes what is there
+    final = incoming
+    if mode == "additive":
+        kept = existing.join(incoming.select("period_label", "slug"), ["period_label", "slug"], "left_anti")
+        incoming.unionByName(kept.select(*incoming.columns)).write.mode("overwrite").parquet(f"{staging}/final")
+        final = spark.read.schema(schema).parquet(f"{staging}/final")
+    by_period(final).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(target)
+    return spark.read.schema(counts.schema).parquet(f"{staging}/counts")

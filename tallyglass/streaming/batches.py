@@ -88,8 +88,8 @@ class Folded:
             if low >= first and (last is None or high <= last):
                 out = out.unionByName(self.spark.read.schema(self.schema).parquet(self._layer(low, high)).select(names))
                 at = high + 1
-        deltas = get(self.spark, f"{self.path}/delta", self.schema).filter(F.col("batch") >= at)
-        return out.unionByName((deltas if last is None else deltas.filter(F.col("batch") <= last)).select(names))
+        later = [f"{self.path}/delta/batch={b}" for b in self.batches() if b >= at and (last is None or b <= last)]
+        return out.unionByName(self.spark.read.schema(self.schema).parquet(*later)) if later else out
 
     def read(self, where: Column | None = None) -> DataFrame:
         """The table as of now. ``where`` is asked before folding and must be on keys of the fold, as its day."""

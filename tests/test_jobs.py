@@ -220,3 +220,55 @@ def test_revenue_names_without_slug_and_lowest_post(spark):
     schema = "slug string, url string, views long, revenue double, post_id long, " + ", ".join(f"{c} double" for c in RS.RATES)
     got = {r["slug"]: (r["views"], r["post_id"]) for r in RS.normalize_revenue(spark.createDataFrame(data, schema)).collect()}
     assert got == {"": (8, 2), "a": (9, 4), "b": (1, None)}
+
+
+PERIODS = dict(blog_id=1, source="feed", site="example.org", imported_at=datetime(2026, 6, 1))
+CONTENT = "status string, url string, post_id bigint, blog_id int"
+
+
+def test_all_periods_in_one_ingest(spark):
+    pages = [("publish", "https://x.org/resolved/", 50, 3), ("publish", "https://x.org/twice/", 60, 3), ("publish", "https://y.org/twice/", 61, 4),
+             ("draft", "https://x.org/hidden/", 70, 3), ("publish", "https://e.org/a/", 1, 1)]
+    content = spark.createDataFrame(pages, CONTENT)
+    target = scratch_dir(spark, "rev")
+
+    def rows(*data):
+        frame = revenue_rows(spark, [d[1:] for d in data])
+        return frame.withColumn("period", F.element_at(F.create_map(*[F.lit(x) for d in data for x in (d[1], d[0])]), F.col("slug")))
+
+    first = rows(("2026-04", "a", 1, 10, 1, 2.0), ("2026-04", "/a/", 2, 30, 3, 2.0), ("2026-04", "resolved", None, 5, 2, 1.0), ("2026", "twice", None, 1, 1, 1.0), ("", "/", None, 7, 1, 1.0))
+    counts = RS.ingest_periods(first, content, target, target + "-s0", **PERIODS)
+    assert {r["period_label"]: tuple(r)[1:] for r in counts.collect()} == {"2026-04": (2, 0, 0), "2026": (1, 0, 0), "all-time": (1, 0, 0)}
+    stored = {r["slug"]: r for r in spark.read.parquet(target).collect()}
+    assert (stored["a"]["views"], stored["a"]["post_id"], stored["a"]["content_blog_id"], stored["a"]["canonical_url"], stored["a"]["url"]) == (40, 1, 1, "https://e.org/a/", "/a/")
+    assert (stored["resolved"]["post_id"], stored["resolved"]["content_blog_id"], stored["resolved"]["canonical_url"]) == (50, 3, "https://x.org/resolved/")
+    assert stored["twice"]["post_id"] is None and stored["twice"]["content_blog_id"] is None and stored[""]["period_start"] is None
+    second = rows(("2026-04", "b", 2, 9, 9, 1.0), ("2026-04", "resolved", None, 6, 2, 1.0))
+    dry = RS.ingest_periods(second, content, target, target + "-s1", dry_run=True, **PERIODS)
+    assert [tuple(r) for r in dry.collect()] == [("2026-04", 1, 1, 1)] and spark.read.parquet(target).count() == 4
+    RS.ingest_periods(second, content, target, target + "-s2", **PERIODS)
+    assert sorted((r["period_label"], r["slug"]) for r in spark.read.parquet(target).collect()) == [("2026", "twice"), ("2026-04", "b"), ("2026-04", "resolved"), ("all-time", "")]
+    same = RS.snapshot_identity(F.lit("feed"), F.lit("example.org"), F.lit(1), F.lit("2026-04"))
+    assert spark.read.parquet(target).filter(F.col("period_label") == "2026-04").filter(F.col("import_batch") != same).count() == 0
+
+
+def test_additive_periods_and_refusals(spark, monkeypatch):
+    content = spark.createDataFrame([], CONTENT)
+    target = scratch_dir(spark, "rev")
+    one = revenue_rows(spark, [("a", 1, 1, 1, 1.0)]).withColumn("period", F.lit("2026-05"))
+    two = revenue_rows(spark, [("b", None, 1, 1, 1.0)]).withColumn("period", F.lit("2026-05"))
+    add = dict(mode="additive", snapshot="extra-1", **PERIODS)
+    RS.ingest_periods(one, content, target, target + "-s0", **add)
+    assert [tuple(r) for r in RS.ingest_periods(two, content, target, target + "-s1", **add).collect()] == [("2026-05", 1, 0, 0)]
+    assert {r["slug"] for r in spark.read.parquet(target).collect()} == {"a", "b"}
+    own = spark.range(1).select(RS.snapshot_identity(F.lit("feed"), F.lit("example.org"), F.lit(1), F.lit("2026-05"))).first()[0]
+    for label in (None, "Bad Label", own):
+        with pytest.raises(ValueError):
+            RS.ingest_periods(one, content, target, target + "-s2", **{**add, "snapshot": label})
+    with pytest.raises(ValueError):
+        RS.ingest_periods(one.filter("false"), content, target, target + "-s3", **PERIODS)
+    whole = RS.resolve_paths
+    monkeypatch.setattr(RS, "resolve_paths", lambda rows, pages: whole(rows, pages).filter("false"))
+    with pytest.raises(ValueError, match="incomplete"):
+        RS.ingest_periods(two, content, target, target + "-s4", **PERIODS)
+    assert {r["slug"] for r in spark.read.parquet(target).collect()} == {"a", "b"}
