@@ -39,7 +39,7 @@ class Csr:
     @classmethod
     def of_places(cls, columns: np.ndarray, width: int) -> Csr:
         """One entry of 1 in each row."""
-        return cls(np.arange(len(columns) + 1), columns, np.ones(len(columns), np.int64), width)
+        return cls(np.arange(len(columns) + 1), columns, np.ones(len(columns), np.int8), width)
 
     def turned(self) -> Csr:
         """The transpose, by counting entries per column."""
@@ -65,13 +65,13 @@ def row_products(left: Csr, right: Csr, rows: int = 1 << 16) -> Csr:
         first = np.repeat(right.starts[middle] - (np.cumsum(take) - take), take)
         at = first + np.arange(take.sum())
         place = np.repeat(row, take) * right.width + right.columns[at]
-        amount = np.repeat(left.values[inner], take) * right.values[at]
+        amount = np.repeat(left.values[inner], take).astype(np.int64) * right.values[at]
         if (np.diff(place) < 0).any():
             order = np.argsort(place, kind="stable")
             place, amount = place[order], amount[order]
         heads = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
         columns.append(place[heads] % right.width)
-        values.append(np.add.reduceat(amount, heads) if len(heads) else amount)
+        values.append(np.add.reduceat(amount, heads, dtype=np.int64) if len(heads) else amount)
         counts.append(np.bincount(place[heads] // right.width, minlength=high - low))
     whole = np.concatenate
     return Csr(np.cumsum(whole(counts)), whole([np.zeros(0, np.int64), *columns]), whole([np.zeros(0, np.int64), *values]), right.width)
@@ -111,36 +111,81 @@ class Tokenizers:
         self.blank = self.b.piece_to_id(BLANK)
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both for chunks that begin with a space or line break.
+    def one(self, chunk: str) -> tuple[list[int], list[int]]:
+        """Ids of both for a chunk, which begins with a space or line break.
 
         The second tokenizer puts a space before every text: it stands for that of the chunk, or is dropped
         again before a line break.
         """
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        b = [(ids or [self.blank]) if c[0] == " " else ids[1:] for c, ids in zip(chunks, b)]
-        return a, b
+        a = self.a.encode(chunk, add_special_tokens=False).ids
+        b = self.b.encode(chunk[1:] if chunk[0] == " " else chunk)
+        return a, (b or [self.blank]) if chunk[0] == " " else b[1:]
+
+    def counted(self, ids: list[int], sides: list[bytes], sizes: np.ndarray, raw: bytes, ends: np.ndarray) -> np.ndarray | None:
+        """How many of the ids of joined chunks belong to each; None if they do not give back all bytes."""
+        if b"".join([sides[i] for i in ids]) != raw:
+            return None
+        at = np.searchsorted(np.cumsum(sizes[np.array(ids, np.int64)]), ends, "right")
+        return np.diff(at, prepend=0)
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids and counts per chunk of the first, of the second, whether a chunk's bytes are whole).
+
+        Chunks that end in a word are joined to long texts, which encode faster than many short ones and
+        give the same ids.
+        """
+        ids: tuple[list, list] = ([], [])
+        counts: tuple[list, list] = ([], [])
+        whole: list[bool] = []
+        low = 0
+        while low < len(chunks):
+            high, length = low, 0
+            while high < len(chunks) and length < 1 << 14 and not chunks[high][-1].isspace():
+                length += len(chunks[high])
+                high += 1
+            found = self.joined(chunks[low:high]) if high > low else None
+            if found is None:
+                high = max(high, low + 1)
+                found = self.apart(chunks[low:high])
+            for side in (0, 1):
+                ids[side].append(np.array(found[side], np.int64))
+                counts[side].append(found[2 + side])
+            whole += found[4]
+            low = high
+        flat = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (*ids, *counts)]
+        return flat[0], flat[2], flat[1], flat[3], np.array(whole, bool)
+
+    def joined(self, chunks: list[str]) -> tuple | None:
+        text = "".join(chunks)
+        raw = text.encode("utf-8", "surrogatepass")
+        ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in chunks])
+        a, b = self.one(text)
+        n_a, n_b = self.counted(a, self.a_bytes, self.a_sizes, raw, ends), self.counted(b, self.b_bytes, self.b_sizes, raw, ends)
+        return None if n_a is None or n_b is None else (a, b, n_a, n_b, [True] * len(chunks))
+
+    def apart(self, chunks: list[str]) -> tuple:
+        pairs = [self.one(c) for c in chunks]
+        raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
+        whole = [b"".join([self.a_bytes[i] for i in a]) == r == b"".join([self.b_bytes[i] for i in b]) for (a, b), r in zip(pairs, raw)]
+        pairs = [p if ok else ([], []) for p, ok in zip(pairs, whole)]
+        sides = [[i for p in pairs for i in p[k]] for k in (0, 1)]
+        return (*sides, *(np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1)), whole)
 
 
 class Aligned:
     """Alignment of a list of chunks: for each chunk tokens, groups, links, and its groups as text."""
 
     def __init__(self, tokenizers: Tokenizers, chunks: list[str]):
-        a, b = tokenizers.encode(chunks)
-        raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
-        self.whole = np.array([b"".join([tokenizers.a_bytes[i] for i in x]) == r == b"".join([tokenizers.b_bytes[i] for i in y]) for x, y, r in zip(a, b, raw)], bool)
-        a = [x if ok else [] for x, ok in zip(a, self.whole)]
-        b = [x if ok else [] for x, ok in zip(b, self.whole)]
-        self.n_a, self.n_b = (np.array([len(x) for x in t], np.int64) for t in (a, b))
-        a_ids, b_ids = (np.array([i for x in t for i in x], np.int64) for t in (a, b))
-        a_sizes, b_sizes = tokenizers.a_sizes[a_ids], tokenizers.b_sizes[b_ids]
-        a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+        a_ids, self.n_a, b_ids, self.n_b, self.whole = tokenizers.encode(chunks)
+        a_ends, b_ends = np.cumsum(tokenizers.a_sizes[a_ids]), np.cumsum(tokenizers.b_sizes[b_ids])
         total = int(a_ends[-1]) if len(a_ends) else 0
-        a_byte = Csr(np.r_[0, a_ends], np.arange(total), np.ones(total, np.int64), total)
-        b_byte = Csr(np.r_[0, b_ends], np.arange(total), np.ones(total, np.int64), total)
+        a_byte = Csr(np.r_[0, a_ends], np.arange(total), np.ones(total, np.int8), total)
+        b_byte = Csr(np.r_[0, b_ends], np.arange(total), np.ones(total, np.int8), total)
         overlap = row_products(a_byte, b_byte.turned())
-        cuts = np.intersect1d(a_ends, b_ends)
+        both = np.zeros(total + 1, np.int8)
+        both[a_ends] += 1
+        both[b_ends] += 1
+        cuts = np.flatnonzero(both == 2)
         a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
         shared = row_products(Csr.of_places(a_group, len(cuts)), Csr.of_places(b_group, len(cuts)).turned())
         owner = np.repeat(np.arange(len(chunks)), self.n_a)
@@ -236,7 +281,7 @@ def _summed(key: tuple, docs: pa.Table, pairs: pa.Table) -> pa.Table:
     return out.append_column("n_best", pa.array(bests, pa.int64())).append_column("count_sum", pa.array(sums, pa.int64()))
 
 
-def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: str = "text", block: int = 8 << 20) -> DataFrame:
+def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: str = "text", block: int = 4 << 20) -> DataFrame:
     """Token groups and links of two tokenizers for every whole text.
 
     ``first`` is a byte-level tokenizer file, ``second`` a piece model; the first encodes a space and the text,
