@@ -230,7 +230,7 @@ class ConversionMap(Shared):
         here = urls.host_without_www(F.col("source_url")) == self.entry_host
         # Rows of other hosts probe with a key of their own, so they do not pile up in one task.
         probe = F.when(here, key(F.col("source_url"))).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))
-        out = rows.withColumn("_path", probe).join(posts, "_path", "left").drop("_path")
+        out = salted_lookup(rows.withColumn("_path", probe), posts, "_path", how="left").drop("_path")
         return out.withColumn("direct_post", F.when(F.col("_mine"), F.col("resolved_post"))).withColumn(
             "outside", F.lit(self.author_id > 0) & F.col("resolved_post").isNotNull() & F.col("direct_post").isNull()
         ).drop("_mine")

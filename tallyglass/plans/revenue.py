@@ -217,25 +217,24 @@ def route_views(rows: DataFrame, path_col: str) -> DataFrame:
     )
 
 
+def blog_views(rows: DataFrame, views: str, prefix: str) -> DataFrame:
+    return rows.groupBy("blog_id").agg(
+        F.sum(F.greatest(F.col(views), F.lit(0))).alias(f"{prefix}_applicable"), F.count("*").alias(f"{prefix}_rows")
+    )
+
+
 def delivery_coverage(ga: DataFrame, snapshots: DataFrame, policy: DataFrame, start: date, end: date) -> DataFrame:
     """Ad-network views over analytics views per site; unknown is never read as zero."""
     sites = policy.withColumn("status", delivery_policy_status())
-    side = sites.select("blog_id", "status")
-    ga_sum = source_summary(ga.join(side, "blog_id").withColumn("resolved", F.lit(None).cast("boolean")))
     inside = snapshots.filter((F.col("period_start") >= F.lit(start)) & (F.col("period_end") <= F.lit(end)))
-    resolved = F.coalesce((F.col("post_id") > 0) & (F.col("content_blog_id") > 0), F.lit(False))
-    mv_rows = inside.join(side, "blog_id").select(
-        "blog_id", "status", F.col("views").alias("pageviews"), F.lit(0).alias("sessions"), resolved.alias("resolved")
-    )
-    mv_sum = source_summary(mv_rows)
     windows = snapshot_windows(snapshots, start, end)
-    pick = lambda df, p: df.select(
-        "blog_id", F.col("applicable_views").alias(f"{p}_applicable"), F.col("rows").alias(f"{p}_rows")
-    )
     out = (
-        sites.join(pick(ga_sum, "ga"), "blog_id", "left").join(pick(mv_sum, "net"), "blog_id", "left")
+        sites.join(blog_views(ga, "pageviews", "ga"), "blog_id", "left").join(blog_views(inside, "views", "net"), "blog_id", "left")
         .join(windows, "blog_id", "left")
     )
+    # A site has one status, so its views are folded before they meet it.
+    for name in ("ga_applicable", "net_applicable"):
+        out = out.withColumn(name, F.when(F.col("status") == "applicable", F.col(name)).when(F.col(name).isNotNull(), 0))
     ready = (F.col("status") == "applicable") & F.coalesce("exact", F.lit(False))
     den, num = F.coalesce("ga_applicable", F.lit(0)), F.coalesce("net_applicable", F.lit(0))
     rate = F.when(ready, ratio(num, den, 4))

@@ -11,6 +11,7 @@ from ..functions import classify as C
 from ..functions import predicates as P
 from ..functions import urls
 from ..operators.anchors import IDENTIFIER, MAX_VERSION
+from ..operators.skew import heavy_lookup
 
 BRONZE = (
     "id bigint, event_type string, event_data string, source_url string, blog_id int, user_id bigint, "
@@ -132,9 +133,10 @@ def admission(rows: DataFrame, sites: DataFrame) -> DataFrame:
     rows = rows.withColumn("_json", F.try_parse_json("event_data")).withColumn(
         "_keys", F.json_object_keys("event_data")
     ).withColumn("_dest", _value("dest_site")).withColumn("_canonical", urls.canonical_url(F.col("source_url")))
-    rows = rows.join(hosts, F.lower(F.col("origin_host")) == F.col("_host"), "left").join(
-        keys, F.col("_dest") == F.col("_site"), "left"
-    )
+    # Most browser events come from a handful of hosts: only those are split over tasks.
+    any_row = [F.monotonically_increasing_id()]
+    rows = rows.withColumn("_host", F.lower("origin_host")).withColumn("_site", F.col("_dest"))
+    rows = heavy_lookup(heavy_lookup(rows, hosts, "_host", any_row, "left"), keys, "_site", any_row, "left")
     typ = F.col("event_type")
     allowed, bad = F.lit(None).cast("array<string>"), F.lit(False)
     for name, contract in CONTRACTS.items():
