@@ -155,11 +155,12 @@ def positive_pivots(matrix: np.ndarray) -> int:
         if width == 1:
             positive += bool(block[0, 0] > 0)
             if block[0, 0] != 0:
-                a[k + 1 :, k + 1 :] -= np.outer(side[:, 0], side[:, 0] / block[0, 0])
+                a[k + 1 :, k + 1 :] -= np.outer(side[:, 0], side[:, 0]) / block[0, 0]  # stays symmetric to the last bit
         else:
-            determinant = block[0, 0] * block[1, 1] - block[0, 1] ** 2
-            positive += 1 if determinant < 0 else 2 * bool(block[0, 0] > 0)
-            a[k + 2 :, k + 2 :] -= side @ np.linalg.solve(block, side.T)
+            # The choice of the pivot makes its determinant negative: one eigenvalue on either side.
+            positive += 1
+            gone = side @ np.linalg.solve(block, side.T)
+            a[k + 2 :, k + 2 :] -= (gone + gone.T) / 2
         k += width
     return positive
 
