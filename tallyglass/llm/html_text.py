@@ -20,7 +20,9 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table "
     "tbody td tfoot th thead tr ul video audio object button textarea label".split()
 )
-HIDDEN = frozenset("script style noscript template title svg math iframe canvas".split())
+HIDDEN = frozenset("script style noscript template title svg iframe canvas".split())
+#: Those of them that end with the page where they are not closed; the others then hide nothing.
+RAW = frozenset("script style".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_ITS_LIKE = frozenset("li dd dt option tr td th p".split())
 #: Names of site furniture and of article text in tags, classes and ids.
@@ -32,9 +34,12 @@ FURNITURE = frozenset(
     "search widget pagination pager tags meta toc copyright legal disclaimer".split()
 )
 ARTICLE = frozenset("article main content post entry story body text".split())
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S
-)
+OPENING = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+#: What can still begin behind the last ``>`` of a page.
+ENDLESS = re.compile(r"<(?:!--|!\[CDATA\[)")
+#: A tag; a quote opens a string only right behind an equals sign.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>", re.S)
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
@@ -56,7 +61,11 @@ def names(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def blocks_of(source: str) -> list[Block]:
-    """Leaf blocks of a page in order: text with one space for white space, and the names above it."""
+    """Leaf blocks of a page in order: text with one space for white space, and the names above it.
+
+    Every character is looked at a bounded number of times, whatever is left open: a tag without an end is text,
+    an unclosed comment, script or style takes the rest of the page, other unclosed elements hide nothing.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -78,25 +87,47 @@ def blocks_of(source: str) -> list[Block]:
             parts.clear()
         links = 0
 
-    n = len(source)
+    n, last = len(source), source.rfind(">")
+    strings_end, never_closed = True, set()
     while at < n:
-        found = TOKEN.search(source, at)
+        found = (OPENING if at <= last else ENDLESS).search(source, at)
         if found is None:
             text(source[at:])
             break
-        if found.start() > at:
-            text(source[at : found.start()])
-        at = found.end()
-        tag = found[2]
-        if tag is None:
-            if found[0].startswith("<![CDATA["):
-                parts.append(found[0][9:].removesuffix("]]>"))
+        begin, opening = found.start(), found[0]
+        if begin > at:
+            text(source[at:begin])
+        if opening == "<!--":
+            end = source.find("-->", found.end())
+            at = n if end < 0 else end + 3
             continue
-        tag = tag.lower()
+        if opening == "<![CDATA[":
+            end = source.find("]]>", found.end())
+            parts.append(source[found.end() : n if end < 0 else end])
+            at = n if end < 0 else end + 3
+            continue
+        if begin > last:  # nothing closes any more: plain text
+            parts.append(source[begin])
+            at = begin + 1
+            continue
+        if opening in ("<!", "<?"):
+            at = source.index(">", begin) + 1
+            continue
+        found = TAG.match(source, begin) if strings_end else None
+        if found is None:  # a string that never ends: from here on quotes hide no ">"
+            strings_end = False
+            found = LOOSE_TAG.match(source, begin)
+        at = found.end()
+        tag = found[2].lower()
         if tag in HIDDEN:
-            if not found[1] and not found[3].endswith("/"):
+            if not found[1] and not found[3].endswith("/") and tag not in never_closed:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    at = n
+                else:
+                    never_closed.add(tag)
             continue
         if tag == "a":
             link_depth = 0 if found[1] else 1

@@ -19,6 +19,28 @@ def test_blocks():
     assert H.blocks_of("<script>never closed <p>x") == [] and H.blocks_of("a" * 10 + "<!-- open")[0].text == "a" * 10
 
 
+def test_broken_pages():
+    texts = lambda page: [b.text for b in H.blocks_of(page)]
+    assert texts("<p title=it's>Hello world first.</p><p>second para don't lose me</p><p>third</p>") == ["Hello world first.", "second para don't lose me", "third"]
+    for tag in ("svg", "noscript", "title", "template", "iframe"):
+        assert texts(f"<p>one</p><{tag}><p>two</p><{tag}><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>E = <math><mi>m</mi><msup>c2</msup></math> holds</p>") == ["E = mc2 holds"]
+    assert texts('<p>a</p><a href="x>y</a><p>b</p><p class="c">d</p>')[-1] == "d" and texts("x <! y <? z <b") == ["x <! y <? z <b"]
+    assert texts("<p a=\"1>2\" b='3>4' c=5>t</p>") == ["t"] and texts("a < b <c <!-- open") == ["a < b <c"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a href="x ', "<a href='x", '<a href=">" ', "<! ", "<!-", "</", "<svg>", "<title><p>x", '<p class="', "<p q='>"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    start = time.perf_counter()
+    H.blocks_of(piece * (2_000_000 // len(piece)))
+    assert time.perf_counter() - start < 20
+    start = time.perf_counter()
+    H.blocks_of(piece * (1_000_000 // len(piece)) + ">")
+    assert time.perf_counter() - start < 20
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     lstm = H.Lstm(rng, 4, 3)
