@@ -91,25 +91,36 @@ class Diagnostics(Shared):
         )
 
     def _page_stats(self) -> DataFrame:
+        """Sums per page first: counting pages then counts rows, without a distinct count that expands them."""
         content, n = F.col("is_content"), F.col("rows")
         known = F.col("serve_ads").isNotNull()
-        add = lambda cond, col: F.coalesce(F.sum(F.when(cond, col)), F.lit(0))
-        return self.pages().agg(
-            F.coalesce(F.sum(n), F.lit(0)).alias("raw_rows"),
-            F.count_distinct("page_key").alias("total_pages"),
-            F.count_distinct(F.when(content, F.col("page_key"))).alias("resolved_pages"),
-            F.count_distinct(F.when(~content, F.col("page_key"))).alias("unresolved_pages"),
-            add(content, n).alias("content_rows"),
-            add(~content, n).alias("unresolved_rows"),
-            add(~content & (F.col("stored_post_id") > 0), n).alias("stale_post_id_rows"),
-            F.coalesce(F.sum("views"), F.lit(0)).alias("partition_views"),
+        zero = lambda col: F.coalesce(F.sum(col), F.lit(0))
+        per_page = self.pages().groupBy("page_key", "is_content").agg(
+            F.sum(n).alias("n"),
+            F.sum(F.when(~content & (F.col("stored_post_id") > 0), n)).alias("stale"),
+            F.sum("views").alias("views"),
+            F.sum("revenue").alias("revenue"),
+            F.sum(F.when(known, n)).alias("known"),
+            F.sum(F.when(~known, n)).alias("unknown"),
+            F.sum("conflict_rows").alias("conflicts"),
+            F.sum(F.when(~F.col("serve_ads"), F.col("positive_revenue"))).alias("conflict_revenue"),
+        )
+        return per_page.agg(
+            zero("n").alias("raw_rows"),
+            F.count("page_key").alias("total_pages"),  # a page is content or not, never both
+            F.count(F.when(content, F.col("page_key"))).alias("resolved_pages"),
+            F.count(F.when(~content, F.col("page_key"))).alias("unresolved_pages"),
+            zero(F.when(content, F.col("n"))).alias("content_rows"),
+            zero(F.when(~content, F.col("n"))).alias("unresolved_rows"),
+            zero("stale").alias("stale_post_id_rows"),
+            zero("views").alias("partition_views"),
             _money(F.sum("revenue")).alias("partition_revenue"),
-            add(content, F.col("views")).alias("resolved_views"),
-            add(~content, F.col("views")).alias("unresolved_views"),
-            add(known, n).alias("instrumented_rows"),
-            add(~known, n).alias("unknown_rows"),
-            F.coalesce(F.sum("conflict_rows"), F.lit(0)).alias("conflict_rows"),
-            _money(F.sum(F.when(~F.col("serve_ads"), F.col("positive_revenue")))).alias("conflict_revenue"),
+            zero(F.when(content, F.col("views"))).alias("resolved_views"),
+            zero(F.when(~content, F.col("views"))).alias("unresolved_views"),
+            zero("known").alias("instrumented_rows"),
+            zero("unknown").alias("unknown_rows"),
+            zero("conflicts").alias("conflict_rows"),
+            _money(F.sum("conflict_revenue")).alias("conflict_revenue"),
         )
 
     def freshness(self) -> DataFrame:
@@ -133,10 +144,10 @@ class Diagnostics(Shared):
         ))
 
     def missing(self) -> DataFrame:
-        gaps = missing_periods(self.rows).agg(
+        gaps = missing_periods(self.periods()).agg(
             F.count("*").alias("missing_periods"), F.array_join(F.array_sort(F.collect_list("period_label")), ",").alias("missing")
         )
-        dated = self.rows.filter(F.col("period_label").rlike(MONTH)).agg(F.count_distinct("period_label")).scalar()
+        dated = self.periods().filter(F.col("period_label").rlike(MONTH)).agg(F.count_distinct("period_label")).scalar()
         return _named("missing_periods", gaps.select(
             _warn(F.col("missing_periods") > 0).alias("status"), dated.alias("dated_periods"), "missing_periods", "missing"
         ))

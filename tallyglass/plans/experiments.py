@@ -137,8 +137,9 @@ class Experiment(Shared):
         return self.events.sparkSession.createDataFrame([(v,) for v in self.variants], "variant string")
 
     def _instrumented(self) -> DataFrame:
-        """Event types ever stored, over all history."""
-        return self.events.filter(P.of_type(self.types)).groupBy("event_type").agg(F.lit(True).alias("instrumented"))
+        """Event types ever stored, over all history, which is scanned once."""
+        stored = self.events.filter(P.of_type(self.types)).groupBy("event_type")
+        return self.keep("instrumented", lambda: stored.agg(F.max(F.lit(True)).alias("instrumented")))
 
     def _has(self, event_type: str) -> Column:
         return self._instrumented().agg(F.count_if(F.col("event_type") == event_type) > 0).scalar()
