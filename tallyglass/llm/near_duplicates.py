@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, parked, words
 
+#: 64-bit words of the bit set that sums up how a text differs from its leader.
+WORDS = 16
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
 
@@ -25,7 +27,6 @@ class Settings:
     similarity: float = 0.8
     bands: int = 32
     rows: int = 5
-    leaders: int = 64
     batch_rows: int = 500
 
     @property
@@ -140,17 +141,34 @@ def _sign(batches: Iterator[pa.RecordBatch], settings: Settings, most: int = 100
         yield pa.RecordBatch.from_arrays([batch.column(0), bands], names=["copy", "bands"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def difference(a: np.ndarray, b: np.ndarray) -> tuple[int, list[int]]:
+    """Number of runs that one of two texts has and the other lacks, and the set of their hashed bits."""
+    apart = np.setxor1d(a, b, assume_unique=True)
+    bit = mix(apart.view(np.uint64)) & np.uint64(64 * WORDS - 1)
+    out = np.zeros(WORDS, np.uint64)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return len(apart), out.view(np.int64).tolist()
+
+
+def _verify(batches: Iterator[pa.RecordBatch], differing: bool) -> Iterator[pa.RecordBatch]:
     last, left = None, None
     for batch in batches:
         a, b, x, y = (batch.column(c) for c in ("a", "b", "left", "right"))
         xs, xe, ys, ye = x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy(), y.values.to_numpy(zero_copy_only=False), y.offsets.to_numpy()
-        score = np.empty(batch.num_rows)
+        score, apart, bits = np.empty(batch.num_rows), [], []
         for i, key in enumerate(a.to_pylist()):
             if key != last:
                 last, left = key, shingle_counts(xs[xe[i] : xe[i + 1]])
-            score[i] = probability_jaccard(left, shingle_counts(ys[ye[i] : ye[i + 1]]))
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(score)], names=["a", "b", "similarity"])
+            right = shingle_counts(ys[ye[i] : ye[i + 1]])
+            score[i] = probability_jaccard(left, right)
+            if differing:
+                n, words = difference(left[0], right[0])
+                apart.append(n)
+                bits.append(words)
+        columns = [a, b, pa.array(score)]
+        if differing:
+            columns += [pa.array(np.diff(ye)[: batch.num_rows].astype(np.int64)), pa.array(apart, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "similarity", "n", "apart", "bits"][: len(columns)])
 
 
 def components(links: DataFrame, label: str = "links") -> DataFrame:
@@ -178,30 +196,93 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id")).unionByName(roots)
 
 
-def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Exact similarity of pairs (a, b) from the sorted runs of their texts."""
+def _scored(pairs: DataFrame, texts: DataFrame, differing: bool = False) -> DataFrame:
+    """Exact similarity of pairs (a, b) from the sorted runs of their texts; with ``differing`` also how b differs from a."""
     right = pairs.join(texts.select(F.col("id").alias("b"), F.col("runs").alias("right")), "b")
     both = right.join(texts.select(F.col("id").alias("a"), F.col("runs").alias("left")), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long, similarity double")
+    schema = "a long, b long, similarity double" + ", n long, apart long, bits array<long>" * differing
+    return both.select("a", "b", "left", "right").mapInArrow(partial(_verify, differing=differing), schema)
+
+
+def references(scores: DataFrame) -> DataFrame:
+    """(id, ref, n, apart, extra, bits): how each text differs from the leader of its that most texts met."""
+    followers = scores.groupBy("a").agg(F.count("*").alias("followers"))
+    best = F.max_by(F.struct("a", "n", "apart", "bits"), F.struct("followers", -F.col("a"))).alias("r")
+    rows = scores.join(followers, "a").groupBy(F.col("b").alias("id")).agg(best)
+    filled = F.aggregate("r.bits", F.lit(0), lambda total, word: total + F.bit_count(word))
+    return rows.select("id", F.col("r.a").alias("ref"), "r.n", "r.apart", (F.col("r.apart") - filled).alias("extra"), "r.bits")
+
+
+def _may_agree(similarity: float) -> Column:
+    """Whether two texts, the second with names ending in _x, can reach the similarity, by how they differ from one leader.
+
+    What tells two texts apart is what tells just one of them from the leader. Each such run takes 1 / n of a
+    text at least, n being its number of runs; and x + y, the shares of two texts that the other lacks, may not
+    exceed 2 (1 - s) / (1 + s), by the bound of ``_reaches``. At most ``common`` runs tell both from the leader:
+    their common bits, and those that share a bit; nor more than either has. Without one leader nothing is known.
+    """
+    both = F.zip_with("bits", "bits_x", lambda a, b: F.bit_count(a.bitwiseAND(b)))
+    common = F.aggregate(both, F.lit(0), lambda total, word: total + word) + F.least("extra", "extra_x")
+    bound = 2 * (1 - similarity) / (1 + similarity) * F.greatest("n", "n_x") + 1e-6
+    apart = F.col("apart") + F.col("apart_x")
+    quick = apart - 2 * F.least("apart", "apart_x") <= bound
+    return (F.col("ref") != F.col("ref_x")) | (quick & (apart - 2 * common <= bound))
 
 
-def _own_shares(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, own): the share of runs of a text that no text of another class of ``rows`` has; 0 is left out."""
-    labelled = texts.join(rows.select("id", "class_id").distinct(), "id")
-    runs = labelled.select("id", "class_id", (1 / F.size("runs")).alias("w"), F.explode("runs").alias("run"))
-    lone = runs.groupBy("run").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo = hi").select("run")
-    return runs.join(lone, "run", "left_semi").groupBy("id").agg(F.sum("w").alias("own"))
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, class_id, run, w): the share of each distinct run in the runs of its text."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column(2)
+        values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        counted = [shingle_counts(values[ends[i] : ends[i + 1]]) for i in range(batch.num_rows)]
+        rows = np.repeat(np.arange(batch.num_rows), [len(k) for k, _ in counted])
+        keys, shares = (np.concatenate(x) for x in zip(*((k, n / n.sum()) for k, n in counted)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(keys), pa.array(shares)], names=["id", "class_id", "run", "w"])
 
 
-def _can_be_like(x: Column, y: Column, similarity: float) -> Column:
-    """Whether texts of two classes with shares x and y of runs of their own can reach the similarity.
+def _reaches(x: Column, y: Column, similarity: float) -> Column:
+    """Whether texts with shares x and y of their weight outside their common runs can reach the similarity.
 
-    For a common run i the sum over j of max(a_j / a_i, b_j / b_i) is at least 1 / a_i + y / b_i, so
-    the similarity is at most the sum of a_i b_i / (b_i + y a_i), and, as that function is concave,
-    at most its value at 1 - x and 1 - y; and the same the other way round.
+    For a common run i the sum over j of max(a_j / a_i, b_j / b_i) is at least 1 / a_i + y / b_i, so the
+    similarity is at most the sum of a_i b_i / (b_i + y a_i), and, as that function is concave, at most
+    its value at a = 1 - x and b = 1 - y, which is ab / (a + b - ab).
     """
     a, b = 1 - x, 1 - y
-    return (a * b / (b + y * a) >= similarity - 1e-9) & (a * b / (a + x * b) >= similarity - 1e-9)
+    return a * b >= (similarity - 1e-9) * (a + b - a * b)
+
+
+def across_classes(texts: DataFrame, rows: DataFrame, similarity: float, known: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of texts of different classes, among which are all that reach the similarity.
+
+    The runs that no text of another class has come first in every text, then the others from the
+    rarest to the most frequent. The first run that two texts share comes, in both, after runs
+    that they do not share; the weight before it bounds their similarity. So in one of them less than
+    (1 - s) / (1 + s) of the weight lies before it, in the other no more than 1 - s, and only those prefixes are
+    joined: a line that most texts share lies behind them, and pairs nobody. ``known`` tells how texts differ from
+    their leader (``references``): copies of one text, each edited elsewhere, are then no candidates of each other.
+    """
+    labelled = texts.join(rows.select("id", "class_id").distinct(), "id").select("id", "class_id", "runs")
+    weights = parked(labelled.mapInArrow(_weigh, "id long, class_id long, run long, w double"), "weights")
+    counts = weights.groupBy("run").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count("*").alias("df"))
+    counts = parked(counts.where("lo <> hi").select("run", "df"), "frequencies")
+    met = weights.join(counts, "run").select("id", "class_id", "run", "w", "df")
+    by_id = Window.partitionBy("id")
+    earlier = by_id.orderBy("df", "run").rowsBetween(Window.unboundedPreceding, -1)
+    before = 1 - F.sum("w").over(by_id) + F.coalesce(F.sum("w").over(earlier), F.lit(0.0))
+    ranked = met.withColumn("before", before).where(F.col("before") <= 1 - similarity + 1e-9)
+    prefixes = ranked.select("id", "class_id", "run", "before")
+    like = _reaches(F.col("before"), F.col("before_x"), similarity)
+    if known is not None:
+        alone = F.monotonically_increasing_id()  # a text that has met no leader: a reference of its own
+        prefixes = prefixes.join(known, "id", "left").withColumn("ref", F.coalesce("ref", -1 - alone))
+        like = like & _may_agree(similarity)
+    prefixes = parked(prefixes, "prefixes")
+    short = prefixes.where(F.col("before") <= (1 - similarity) / (1 + similarity) + 1e-9)
+    short = short.select("run", *(F.col(c).alias(f"{c}_x") for c in prefixes.columns if c != "run"))
+    both = short.join(prefixes, "run").where((F.col("class_id") != F.col("class_id_x")) & like)
+    return both.select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -217,10 +298,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", setting
 
     In every bucket of a band the document that meets most others in all its buckets, as the origin
     of many copies does, is compared with all others. A bucket whose documents are then in one
-    class is settled. In one that is not, the documents outside its largest class, ``leaders`` of
-    them in a round, are compared with those of other classes, until every two documents of a bucket
-    have been compared, are in one class, hold too many runs that the other's class lacks, or are too
-    unequally far from the first leader: no link is lost, and no bucket is paired out.
+    class is settled. Documents of the other buckets are compared across classes, where the rarest runs of both
+    leave room for the similarity (``across_classes``): no link is lost, and no bucket is paired out.
     """
     with arrow_rows(docs.sparkSession, settings.batch_rows):
         return _classes(docs, doc_id, text, settings).select("doc_id", "class_id", "n_words", "kept")
@@ -260,39 +339,20 @@ def _classes(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> Dat
     single = texts.join(used, (F.col("copy") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head")))
     single = single.groupBy("id").agg(F.min("text").alias("text"))
     single = parked(single.select("id", words(F.col("text")).alias("w")).select("id", _hashes("w", settings.shingle).alias("runs")), "runs")
-    scores = parked(_scored(pairs, single), "scores")
+    scores = parked(_scored(pairs, single, differing=True), "scores")
     links = scores.where(F.col("similarity") >= settings.similarity).select("a", "b")
     found = parked(components(links), "components")
-    far = scores.select(F.col("a").alias("leader"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("far"))
-    held = held.where("id <> leader").join(far, ["leader", "id"]).select("bucket", "id", "rank", "far")
+    # Texts still to be compared: those of buckets that hold more than one class beside the leader, who has met all.
+    tagged = held.where("id <> leader").join(found, "id", "left").select("bucket", "id", F.coalesce("class_id", "id").alias("class_id"))
+    mixed = tagged.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi").select("bucket")
+    open_rows = parked(tagged.join(mixed, "bucket").select("id", "class_id").distinct(), "open")
     done = scores.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    while True:
-        # documents still to be compared: those of buckets that hold more than one class
-        tagged = held.join(found, "id", "left").select("bucket", "id", "rank", "far", F.coalesce("class_id", "id").alias("class_id"))
-        sizes = tagged.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("main"), F.count("*").alias("n")).where("n > 1")
-        open_rows = parked(tagged.join(mixed.select("bucket", "main"), "bucket"), "open")
-        shares = parked(_own_shares(single, open_rows), "shares")
-        open_rows = open_rows.join(shares, "id", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
-        open_rows = parked(open_rows.where(F.col("own") < 1 - settings.similarity + 1e-9), "open")
-        others = open_rows.where("class_id <> main")
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), "id"))
-        leaders = others.withColumn("place", place).where(F.col("place") <= settings.leaders).select("bucket", F.col("id").alias("x"), F.col("class_id").alias("cx"), F.col("own").alias("ox"), F.col("far").alias("fx"))
-        # 1 - similarity is a distance, so two that are near have like distances to the first leader
-        like = _can_be_like(F.col("own"), F.col("ox"), settings.similarity) & (F.abs(F.col("far") - F.col("fx")) <= 1 - settings.similarity + 1e-9)
-        across = open_rows.join(leaders, "bucket").where((F.col("class_id") != F.col("cx")) & like)
-        across = across.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-        pairs = parked(across.join(done, ["a", "b"], "left_anti"), "pairs")
-        held = open_rows.join(leaders, (open_rows["bucket"] == leaders["bucket"]) & (open_rows["id"] == leaders["x"]), "left_anti").select("bucket", "id", "rank", "far")
-        if not pairs.isEmpty():
-            fresh = parked(_scored(pairs, single), "scores")
-            done = done.unionByName(fresh.select("a", "b"))
-            new = fresh.where(F.col("similarity") >= settings.similarity).select("a", "b")
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                found = parked(components(links), "components")
-        if open_rows.isEmpty():
-            break
+    pairs = parked(across_classes(single, open_rows, settings.similarity, references(scores)).join(done, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        fresh = parked(_scored(pairs, single), "scores")
+        new = fresh.where(F.col("similarity") >= settings.similarity).select("a", "b")
+        if not new.isEmpty():
+            found = parked(components(links.unionByName(new)), "components")
     tops = found.join(heads, "id").groupBy("class_id").agg(F.min("head").alias("top"))
     named = found.join(tops, "class_id").select("id", F.col("class_id").alias("root"), "top")
     top = F.when(F.col("root").isNull(), F.col("head")).otherwise(F.col("top"))

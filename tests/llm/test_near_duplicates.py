@@ -2,7 +2,9 @@ from collections import Counter
 
 import numpy as np
 from fixtures import odd_documents, odd_rows, prose, words
+from pyspark.sql import functions as F
 
+from tallyglass.llm import common as C
 from tallyglass.llm import near_duplicates as N
 
 
@@ -61,7 +63,7 @@ def test_classes_match_brute_force(spark):
                 texts[k] = " ".join(w)
                 k += 1
     texts |= {k + i: b for i, b in enumerate(base * 2)}
-    found = N.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), settings=N.Settings(leaders=2)).collect()
+    found = N.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["class_id"] for r in found} == components(texts)
     assert len(found) == len(texts) and all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in found)
 
@@ -92,3 +94,55 @@ def test_repeated_null_and_shared_ids(spark):
     again = [(9, a), (9, a), (None, b), (None, b), (3, "x"), (4, " X")]
     one = N.one_of_each_class(spark.createDataFrame(again, "doc_id long, text string")).collect()
     assert Counter(map(tuple, one)) == Counter([(9, a), (None, b), (3, "x")])
+
+
+def test_a_line_that_most_texts_share_pairs_nobody(spark):
+    """Texts of a common line and words of their own lie below the threshold, some pairs above; no link is lost."""
+    line, rng = prose(70, 90), np.random.default_rng(5)
+    texts = {}
+    for i in range(60):
+        own = " ".join(f"own{i}x{rng.integers(10_000)}" for _ in range(24))
+        texts[3 * i] = line + " " + own
+        if i % 4 == 0:
+            texts[3 * i + 1] = line + " " + own + f" tail{i}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in N.classes(docs).collect()} == components(texts)
+    runs = docs.select(F.col("doc_id").alias("id"), C.words(F.lower("text")).alias("w")).select("id", N._hashes("w", 5).alias("runs"))
+    open_rows = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("class_id"))
+    pairs = N.across_classes(runs, open_rows, 0.8)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(3 * i, 3 * i + 1) for i in range(0, 60, 4)}
+
+
+def test_prefixes_lose_no_link(spark):
+    """Random weighted sets, the unshared runs first: every pair at the threshold is among the candidates."""
+    rng = np.random.default_rng(8)
+    sets = {}
+    for i in range(40):
+        base = rng.integers(0, 10**6, 30).tolist() * 2
+        for j in range(4):
+            sets[4 * i + j] = sorted(base + rng.integers(0, 10**6, int(rng.integers(0, 9))).tolist() + base[: int(rng.integers(0, 12))])
+    rows = spark.createDataFrame([(i, [int(v) for v in r]) for i, r in sets.items()], "id long, runs array<long>")
+    found = {(r["a"], r["b"]) for r in N.across_classes(rows, rows.select("id", F.col("id").alias("class_id")), 0.8).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and a // 4 == b // 4 and brute(Counter(sets[a]), Counter(sets[b])) >= 0.8}
+    assert want and want <= found
+
+
+def test_differences_from_a_leader_lose_no_link(spark):
+    """Edited copies of one text: what differs from it rules out many pairs, and none that reaches the threshold."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**62, 140).tolist()
+    sets = {0: sorted(base + base[:9])}
+    for i in range(1, 90):
+        own = [v for v in base + base[: int(rng.integers(0, 12))] if rng.random() > rng.choice([0.02, 0.08, 0.14])]
+        sets[i] = sorted(own + rng.integers(0, 2**62, int(rng.integers(0, 25))).tolist() + (sets[i - 1][:30] if i % 7 == 0 else []))
+    texts = spark.createDataFrame([(i, [int(v) for v in r]) for i, r in sets.items()], "id long, runs array<long>")
+    pairs = spark.createDataFrame([(0, i) for i in sets if i], "a long, b long")
+    known = N.references(N._scored(pairs, texts, differing=True))
+    row = {r["id"]: r for r in known.collect()}
+    assert all(row[i]["apart"] == len(set(sets[0]) ^ set(sets[i])) and row[i]["n"] == len(sets[i]) for i in row)
+    rows = texts.select("id", F.col("id").alias("class_id"))
+    counts = {i: Counter(r) for i, r in sets.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and brute(counts[a], counts[b]) >= 0.8}
+    loose = {(r["a"], r["b"]) for r in N.across_classes(texts, rows, 0.8).collect()}
+    tight = {(r["a"], r["b"]) for r in N.across_classes(texts, rows, 0.8, known).collect()}
+    assert want and want <= tight and len(tight) < 0.7 * len(loose)
