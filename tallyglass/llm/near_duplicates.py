@@ -15,6 +15,8 @@ from .common import arrow_rows, parked, words
 
 #: 64-bit words of the bit set that sums up how a text differs from its leader.
 WORDS = 16
+#: A character that belongs to a word.
+WORD = r"[^\x20\x09-\x0D]"
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
 
@@ -317,13 +319,14 @@ def _copy(bare: Column) -> Column:
 
 def _classes(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataFrame:
     """The columns of ``classes`` with copy, the digest of a text, and root, the identity of its class; both null without a word."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _bare(F.col(text)).alias("text"))
-    rows = rows.withColumn("copy", _copy(F.col("text")))
-    members = parked(rows.select("doc_id", "copy", F.size(F.split("text", " ")).alias("n_words")), "copies")
+    # Words are split once a row; a filter on them would be pushed below and split them again.
+    split = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("raw"), words(F.lower(F.col(text))).alias("w"))
+    rows = split.select("doc_id", "raw", "w", _copy(F.array_join("w", " ")).alias("copy"))
+    members = parked(rows.select("doc_id", "copy", F.size("w").alias("n_words")), "copies")
     heads = members.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("head"))
     heads = parked(heads.withColumn("id", F.monotonically_increasing_id()), "heads")
-    texts = rows.where("copy is not null")
-    cut = texts.select("copy", words(F.col("text")).alias("w")).select("copy", _hashes("w", settings.shingle).alias("runs"))
+    texts = rows.where(F.col("raw").rlike(WORD))
+    cut = texts.select("copy", _hashes("w", settings.shingle).alias("runs"))
     signed = cut.mapInArrow(partial(_sign, settings=settings), "copy binary, bands array<bigint>")
     signed = signed.groupBy("copy").agg(F.first("bands").alias("bands"))
     signed = parked(signed.join(heads, "copy").select("id", "bands"), "signatures")
@@ -336,7 +339,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> Dat
     held = parked(held.join(lead, "bucket"), "held")
     pairs = held.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     used = heads.join(ranks.select("id"), "id", "left_semi").withColumnRenamed("copy", "own")
-    single = texts.join(used, (F.col("copy") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head")))
+    bare = texts.select("doc_id", "copy", F.array_join("w", " ").alias("text"))  # a string is lighter to send than its words
+    single = bare.join(used, (F.col("copy") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head")))
     single = single.groupBy("id").agg(F.min("text").alias("text"))
     single = parked(single.select("id", words(F.col("text")).alias("w")).select("id", _hashes("w", settings.shingle).alias("runs")), "runs")
     scores = parked(_scored(pairs, single, differing=True), "scores")
