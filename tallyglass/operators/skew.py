@@ -21,13 +21,13 @@ def salted_lookup(
     """Equi-join where ``small`` has few rows per key; a hot key is split over ``salts`` tasks.
 
     The aggregate that follows combines per task before it shuffles, so the hot key
-    never meets in one place. Spark still broadcasts ``small`` when its measured size
-    is below the session's threshold.
+    never meets in one place. Both sides are shuffled: Spark estimates an exploded side without its
+    copies, so it would broadcast many times the session's threshold through the driver.
     """
     salts = salts or salt_count(big)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 #: A key is heavy when it holds more rows than this share of an even task's.
