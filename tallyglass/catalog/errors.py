@@ -141,7 +141,11 @@ STATE_SQL = f"""SELECT signature, CASE WHEN substr(signature, 1, 1) < '6' THEN T
 
 
 def alarm_inputs(spark, sf):
-    rows = entries(spark, sf)
+    """Entries and state; the log is parsed once, as alarms and the next state read both of them several times."""
+    parsed = entries(spark, sf).select("ts", "signature", "severity", "file", "sample", "from_production")
+    path = scratch_dir(spark, "entries")
+    parsed.write.parquet(path)
+    rows = spark.read.schema(parsed.schema).parquet(path)
     return rows, spark.sql(STATE_SQL.format("{entries}"), entries=rows)
 
 
