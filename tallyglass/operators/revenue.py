@@ -249,8 +249,11 @@ def peak(series: DataFrame) -> DataFrame:
     ).select("p.period", "p.revenue")
 
 
-def aggregate_metrics(rows: DataFrame, *keys: str) -> DataFrame:
-    """Folds duplicate input rows: rates weigh by inferred impressions, else views, else equally."""
+def aggregate_metrics(rows: DataFrame, *keys: str, **more: Column) -> DataFrame:
+    """Folds duplicate input rows: rates weigh by inferred impressions, else views, else equally.
+
+    ``more`` are further aggregates by name, taken in the same pass.
+    """
     views = F.greatest(F.coalesce("views", F.lit(0)), F.lit(0))
     per_view = F.greatest(F.coalesce("impressions_per_pageview", F.lit(0.0)), F.lit(0.0))
     weight = views * per_view
@@ -271,4 +274,5 @@ def aggregate_metrics(rows: DataFrame, *keys: str) -> DataFrame:
         F.when(total_views > 0, rev.cast("double") / total_views * 1000).otherwise(0.0).alias("rpm"),
         F.when(total_views > 0, total_weight / total_views).otherwise(0.0).alias("impressions_per_pageview"),
         *[weighted(m).alias(m) for m in ("cpm", "viewability", "fill_rate")],
+        *[c.alias(n) for n, c in more.items()],
     )

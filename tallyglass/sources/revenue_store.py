@@ -82,17 +82,16 @@ def read_revenue_csv(spark: SparkSession, path: str, period: str, blog_id: int)
 def normalize_revenue(rows: DataFrame, *by: str) -> DataFrame:
     """One row per slug, within each value of ``by``: pages named by slug or URL, duplicates folded to their lowest positive post_id.
 
-    A name without a slug is dropped, but for the path of the home page.
+    A name without a slug is dropped, but for the path of the home page, and so is a row without a value of ``by``.
     """
     named = F.coalesce(F.when(F.trim("slug") != "", F.col("slug")), F.col("url"))
     kept = rows.withColumn("_raw", named).filter(F.trim(F.coalesce("_raw", F.lit(""))) != "")
     keyed = kept.withColumn("slug", urls.slug_key(F.col("_raw")))
     home = F.coalesce(urls.frontend_path(F.col("_raw")) == "/", F.lit(False))
-    keyed = keyed.filter((F.col("slug") != "") | home)
+    keyed = keyed.filter((F.col("slug") != "") | home).dropna(subset=[*by, "slug"])
     lowest = F.coalesce(F.min(F.when(F.col("post_id") > 0, F.col("post_id"))), F.max("post_id"))
     shown = F.min(F.coalesce(urls.frontend_path(F.col("_raw")), F.trim("_raw")))
-    posts = keyed.groupBy(*by, "slug").agg(lowest.alias("post_id"), shown.alias("page_url"))
-    return aggregate_metrics(keyed.drop("_raw"), *by, "slug").join(posts, [*by, "slug"])
+    return aggregate_metrics(keyed, *by, "slug", post_id=lowest, page_url=shown)
 
 
 def resolve_paths(rows: DataFrame, content: DataFrame) -> DataFrame:
@@ -197,20 +196,27 @@ PERIOD_SCHEMA = (
 )
 
 
-def with_content(rows: DataFrame, content: DataFrame, blog_id: int) -> DataFrame:
+def staged(rows: DataFrame, path: str) -> DataFrame:
+    """The rows, written once and read back."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def with_content(rows: DataFrame, content: DataFrame, blog_id: int, staging: str) -> DataFrame:
     """Adds ``content_blog_id`` and ``canonical_url``, and the post of rows that name none.
 
     A post that a row names itself belongs to the snapshot's blog. The paths of the others are
-    resolved once each; the home page stays without a post. An answer that misses a path, or gives
-    it twice, stops the ingest before anything is written.
+    resolved once each, into a folder under ``staging``; the home page stays without a post. An answer that
+    misses a path, or gives it twice, stops the ingest before the store is opened. Rows that ask for nothing
+    probe with a key of their own, so that they do not meet under NULL in one task.
     """
     pages = content.filter(F.col("status") == "publish").select(
         F.col("post_id").alias("_post"), F.col("blog_id").cast("int").alias("_blog"), F.col("url").alias("_link")
     )
     path = F.when((F.coalesce("post_id", F.lit(0)) <= 0) & (F.col("slug") != ""), urls.frontend_path(F.concat(F.lit("/"), F.col("slug"))))
-    asked = rows.withColumn("path", path)
-    paths = asked.filter(F.col("path").isNotNull()).select("path").distinct()
-    answers = resolve_paths(paths, content)
+    asked = rows.withColumn("path", F.coalesce(path, F.concat(F.lit("#"), F.col("slug"))))
+    paths = staged(asked.filter(F.col("path").startswith("/")).select("path").distinct(), f"{staging}/paths")
+    answers = staged(resolve_paths(paths, content), f"{staging}/answers")
     require_complete(paths, answers)
     found = answers.filter(F.col("status") == "resolved").select(
         "path", F.col("post_id").alias("_found"), F.col("content_blog_id").cast("int").alias("_found_blog")
@@ -222,8 +228,12 @@ def with_content(rows: DataFrame, content: DataFrame, blog_id: int) -> DataFrame
         "post_id": F.when(own, F.col("post_id")).otherwise(F.coalesce("_found", "post_id")),
     })
     named = pages.groupBy("_post", "_blog").agg(F.min("_link").alias("canonical_url"))
-    out = out.join(named, (F.col("post_id") == F.col("_post")) & (F.col("content_blog_id") == F.col("_blog")), "left")
-    return out.withColumnRenamed("page_url", "url").drop("path", "_found", "_found_blog", "_post", "_blog")
+    known = F.col("post_id").isNotNull() & F.col("content_blog_id").isNotNull()
+    out = out.withColumns({
+        "_key": F.when(known, F.col("post_id")).otherwise(F.xxhash64("slug")), "_own": F.when(known, F.col("content_blog_id")),
+    })
+    out = out.join(named, (F.col("_key") == F.col("_post")) & (F.col("_own") == F.col("_blog")), "left")
+    return out.withColumnRenamed("page_url", "url").drop("path", "_found", "_found_blog", "_key", "_own", "_post", "_blog")
 
 
 def by_period(rows: DataFrame) -> DataFrame:
@@ -258,14 +268,14 @@ def ingest_periods(
     if mode == "additive" and (not snapshot or not re.match(SNAPSHOT, snapshot)):
         raise ValueError("additive ingestion needs an explicit snapshot label")
     dated = rows.withColumn("period_label", period_range(F.col(period))[0]).drop("period_start", "period_end", "import_batch", "blog_id")
-    named = normalize_revenue(dated, "period_label")
+    named = staged(normalize_revenue(dated, "period_label"), f"{staging}/named")
     _, start, end = period_range(F.col("period_label"))
     identity = snapshot_identity(F.lit(source), F.lit(site), F.lit(blog_id), F.col("period_label"))
-    if mode == "additive" and not named.filter(identity == snapshot).isEmpty():
+    if mode == "additive" and not named.select("period_label").distinct().filter(identity == snapshot).isEmpty():
         raise ValueError("an additive snapshot must differ from the replace identity")
     batch = identity if mode == "replace" else F.lit(snapshot)
     schema = spark.createDataFrame([], PERIOD_SCHEMA).schema
-    full = with_content(named, content, blog_id).withColumns(
+    full = with_content(named, content, blog_id, staging).withColumns(
         {"blog_id": F.lit(blog_id), "import_batch": batch, "imported_at": F.lit(imported_at), "period_start": start, "period_end": end}
     )
     full.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("overwrite").parquet(f"{staging}/incoming")

@@ -252,6 +252,29 @@ def test_all_periods_in_one_ingest(spark):
     assert spark.read.parquet(target).filter(F.col("period_label") == "2026-04").filter(F.col("import_batch") != same).count() == 0
 
 
+def test_rows_without_a_path_or_a_post_spread(spark):
+    """Most rows name their post and ask for no path, some have no post: neither meet in one task."""
+    content = spark.range(2000).select(
+        F.lit("publish").alias("status"), F.concat(F.lit("https://x.org/s"), "id", F.lit("/")).alias("url"), F.col("id").alias("post_id"), F.lit(1).alias("blog_id")
+    )
+    rows = spark.range(1, 12_001).select(
+        F.concat(F.lit("s"), "id").alias("slug"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("post_id"), F.lit("/x/").alias("page_url")
+    )
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    for k, v in zip(before, ("-1", "16", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        out = RS.with_content(rows, content, 1, scratch_dir(spark, "rev"))
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 12_000 and max(sizes) < 2000
+        at = {r["slug"]: (r["post_id"], r["content_blog_id"], r["canonical_url"]) for r in out.collect()}
+        assert at["s3"] == (3, 1, "https://x.org/s3/") and at["s4"] == (4, 1, "https://x.org/s4/")
+        assert at["s3000"] == (None, None, None) and at["s4000"] == (4000, 1, None)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_additive_periods_and_refusals(spark, monkeypatch):
     content = spark.createDataFrame([], CONTENT)
     target = scratch_dir(spark, "rev")
