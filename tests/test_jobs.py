@@ -252,6 +252,15 @@ def test_all_periods_in_one_ingest(spark):
     assert spark.read.parquet(target).filter(F.col("period_label") == "2026-04").filter(F.col("import_batch") != same).count() == 0
 
 
+def test_experiment_coverage_broadcasts_no_copies(spark):
+    """The lookups of a coverage row repeat their small side, which must not pass through the driver."""
+    rows = experiment_rows(spark, [dict(id=i, event_type="experiment_assignment", ts=i, visitor_id=f"v{i % 5}") for i in range(20)])
+    exp = PX.experiment_summary(rows, datetime(1970, 1, 2), "k", ["control", "treatment"], "control", ["newsletter_signup"], version=1)
+    cover = exp.coverage()
+    assert "BroadcastHashJoin" not in cover._jdf.queryExecution().executedPlan().toString()
+    assert cover.first()["duplicate_assignment_events"] == 15
+
+
 def test_rows_without_a_path_or_a_post_spread(spark):
     """Most rows name their post and ask for no path, some have no post: neither meet in one task."""
     content = spark.range(2000).select(
