@@ -85,13 +85,14 @@ def normalize_revenue(rows: DataFrame, *by: str) -> DataFrame:
     A name without a slug is dropped, but for the path of the home page, and so is a row without a value of ``by``.
     """
     named = F.coalesce(F.when(F.trim("slug") != "", F.col("slug")), F.col("url"))
-    kept = rows.withColumn("_raw", named).filter(F.trim(F.coalesce("_raw", F.lit(""))) != "")
-    keyed = kept.withColumn("slug", urls.slug_key(F.col("_raw")))
-    home = F.coalesce(urls.frontend_path(F.col("_raw")) == "/", F.lit(False))
-    keyed = keyed.filter((F.col("slug") != "") | home).dropna(subset=[*by, "slug"])
+    raw = rows.withColumn("_raw", named).dropna(subset=[*by])
+    slug, home = urls.slug_key(F.col("_raw")), urls.frontend_path(F.col("_raw")) == "/"
+    # Names to drop fold under a NULL slug, not by a filter, which Catalyst would evaluate below an aggregate that made the rows.
+    keyed = raw.withColumn("slug", F.when(slug != "", slug).when(home, ""))
     lowest = F.coalesce(F.min(F.when(F.col("post_id") > 0, F.col("post_id"))), F.max("post_id"))
     shown = F.min(F.coalesce(urls.frontend_path(F.col("_raw")), F.trim("_raw")))
-    return aggregate_metrics(keyed, *by, "slug", post_id=lowest, page_url=shown)
+    folded = aggregate_metrics(keyed, *by, "slug", post_id=lowest, page_url=shown, _named=F.count("slug"))
+    return folded.filter(F.col("_named") > 0).drop("_named")
 
 
 def resolve_paths(rows: DataFrame, content: DataFrame) -> DataFrame:

@@ -304,3 +304,17 @@ def test_additive_periods_and_refusals(spark, monkeypatch):
     with pytest.raises(ValueError, match="incomplete"):
         RS.ingest_periods(two, content, target, target + "-s4", **PERIODS)
     assert {r["slug"] for r in spark.read.parquet(target).collect()} == {"a", "b"}
+
+
+def test_names_are_cut_once_above_the_aggregate_that_made_the_rows(spark):
+    """A filter on names that come from a grouped table would run its patterns on every row below the grouping."""
+    lines = spark.range(60).select((F.col("id") % 6).alias("pk"))
+    pages = lines.groupBy("pk").agg(F.count("*").alias("views")).select(
+        F.expr("elt(CAST(pk AS INT) + 1, ' ', '/', '?q', '/a/?x', 'a', 'b')").alias("slug"), F.lit(None).cast("string").alias("url"),
+        "views", F.lit(1).cast("decimal(12,4)").alias("revenue"), F.lit("2026-04").alias("period_label"), F.lit(None).cast("bigint").alias("post_id"),
+        *[F.lit(1.0).alias(r) for r in RS.RATES],
+    )
+    out = RS.normalize_revenue(pages, "period_label")
+    below = out._jdf.queryExecution().optimizedPlan().toString().rsplit("Aggregate", 1)[1]
+    assert "regexp" not in below and "Filter" not in below
+    assert sorted((r["slug"], r["views"]) for r in out.collect()) == [("", 10), ("a", 20), ("b", 10)]
