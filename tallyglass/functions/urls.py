@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # scheme, authority, path
 SPLIT = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)"
+# origin and path of a URL that is canonical but for a query or fragment
+PLAIN = r"\A(https?://[a-z0-9.\-]++(?<=[a-z0-9\-])(?=/)(?![^?#]*//)[^?#\s\x00]*+)(?:[?#][^\x00]*+)?+\z"
 
 
 def authority(url: Column) -> Column:
@@ -41,13 +43,18 @@ def route_path(route: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Origin plus path of an http(s) URL, or the path of a root-relative route; else ''."""
+    """Origin plus path of an http(s) URL, or the path of a root-relative route; else ''.
+
+    Most URLs are canonical up to their query, and one pattern tells them; the others are taken apart.
+    """
+    plain = F.regexp_extract(F.coalesce(url, F.lit("")), PLAIN, 1)
     trimmed = F.trim(F.coalesce(url, F.lit("")))
     scheme = F.lower(F.regexp_extract(trimmed, SPLIT, 1))
     name = host(trimmed)
     port = F.regexp_extract(authority(trimmed), r"(:\d+)$", 1)
     return (
-        F.when((trimmed == "") | trimmed.contains("\0"), "")
+        F.when(plain != "", plain)
+        .when((trimmed == "") | trimmed.contains("\0"), "")
         .when(trimmed.startswith("/") & ~trimmed.startswith("//"), route_path(trimmed))
         .when(~scheme.isin("http", "https") | (name == "") | name.rlike(r"[\s@]"), "")
         .otherwise(F.concat(scheme, F.lit("://"), name, port, _rooted_path(trimmed)))

@@ -241,3 +241,18 @@ def test_no_cap_changes_results(spark):
     assert pair.distinct().count() == 2
     many = spark.range(40).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("signature"), F.lit(3).alias("count"), F.lit(1).alias("active_count"))
     assert ER.error_summary(many, limit=0).count() == 40 and ER.error_totals(many, limit=0).first()["truncated"] is False
+
+
+def test_plain_urls_are_told_by_one_pattern(spark):
+    """The short way gives what taking a URL apart gives, and leaves every other URL to that."""
+    plain = {"https://a.b-c.example/x/y": None, "http://a/": None, "https://a.example/x@y/?a=//b#c": "https://a.example/x@y/", "http://a.example/x#\ny ": "http://a.example/x"}
+    apart = {
+        "https://a.example": "https://a.example/", "https://a.example./x": "https://a.example/x", "https://A.example/x": "https://a.example/x",
+        "https://a.example//x": "https://a.example/x", "https://u@a.example:80/x": "https://a.example:80/x", " https://a.example/x ": "https://a.example/x",
+        "https://a.example/x\0": "", "https:///x": "", "ftp://a.example/x": "", "/x//y?z": "/x/y", "https://a.example/x\n": "https://a.example/x\n", "": "",
+    }
+    cases = [(u, UR.PLAIN, w if w is not None else u, u in plain) for u, w in (plain | apart).items()] + [("https://a.example" + "/x" * 50_000, UR.PLAIN, "https://a.example" + "/x" * 50_000, True)]
+    rows = spark.createDataFrame(cases, "u string, p string, want string, short boolean")
+    got = rows.select("u", "want", "short", UR.canonical_url(F.col("u")).alias("got"), (F.regexp_extract("u", UR.PLAIN, 1) != "").alias("told"))
+    for r in got.collect():
+        assert (r["got"], r["told"]) == (r["want"], r["short"]), r["u"][:80]
