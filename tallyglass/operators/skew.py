@@ -48,17 +48,18 @@ def heavy_keys(rows: DataFrame, key: str, tasks: int) -> Column:
 
 
 def heavy_lookup(
-    big: DataFrame, small: DataFrame, key: str, spread: list[str], how: str = "inner", salts: int | None = None
+    big: DataFrame, small: DataFrame, key: str, spread: list[str], how: str = "inner", salts: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join like :func:`salted_lookup` that splits, and repeats in ``small``, only the keys that are heavy.
 
     A first pass over the key column of ``big`` finds them, in the same plan; ``big`` should be cheap to
-    read twice, as a stored table is. ``spread`` are columns that tell the rows of a heavy key apart. Rows without
+    read twice, as a stored table is, or ``counted`` holds the same keys and is. ``spread`` are columns that tell the rows of a heavy key apart. Rows without
     a key match nothing and go round the tasks.
     """
     tasks = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = salts or salt_count(big)
-    heavy = F.coalesce(heavy_keys(big, key, tasks), F.array().cast(f"array<{big.schema[key].dataType.simpleString()}>"))
+    heavy = F.coalesce(heavy_keys(big if counted is None else counted, key, tasks), F.array().cast(f"array<{big.schema[key].dataType.simpleString()}>"))
     own = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     left = big.withColumn("_salt", F.when(F.col(key).isNull() | F.array_contains(heavy, F.col(key)), own).otherwise(F.lit(0)))
     copies = F.when(F.array_contains(heavy, F.col(key)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

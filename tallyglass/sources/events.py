@@ -130,37 +130,48 @@ def admission(rows: DataFrame, sites: DataFrame) -> DataFrame:
     """
     hosts = sites.select(F.lower("host").alias("_host"), F.lit(True).alias("_own")).distinct()
     keys = sites.select(F.col("site").alias("_site"), F.lit(True).alias("_site_ok")).distinct()
+    typ = F.col("event_type")
     rows = rows.withColumn("_json", F.try_parse_json("event_data")).withColumn(
         "_keys", F.json_object_keys("event_data")
-    ).withColumn("_dest", _value("dest_site")).withColumn("_canonical", urls.canonical_url(F.col("source_url")))
-    # Most browser events come from a handful of hosts: only those are split over tasks.
-    any_row = [F.monotonically_increasing_id()]
-    rows = rows.withColumn("_host", F.lower("origin_host")).withColumn("_site", F.col("_dest"))
-    rows = heavy_lookup(heavy_lookup(rows, hosts, "_host", any_row, "left"), keys, "_site", any_row, "left")
-    typ = F.col("event_type")
+    ).withColumn("_dest", _value("dest_site")).withColumn("_canonical", urls.canonical_url(F.col("source_url"))).withColumn(
+        "_link", F.coalesce(*[_value(f) for f in URL_FIELDS], F.lit(""))
+    )
     allowed, bad = F.lit(None).cast("array<string>"), F.lit(False)
     for name, contract in CONTRACTS.items():
         allowed = F.when(typ == name, F.array(*[F.lit(f) for f in (*contract, "is_bot")])).otherwise(allowed)
         bad = F.when(typ == name, _bad_fields(contract)).otherwise(bad)
     claimed = urls.host(F.col("_canonical"))
-    link = F.coalesce(*[_value(f) for f in URL_FIELDS], F.lit(""))
-    reason = (
-        F.when(~typ.isin(*CONTRACTS), "unsupported_type")
-        .when(F.col("_own").isNull(), "invalid_event_origin")
-        .when((claimed != "") & (claimed != F.lower("origin_host")), "invalid_event_source")
+    own = (
+        F.when((claimed != "") & (claimed != F.lower("origin_host")), "invalid_event_source")
         .when(F.col("_canonical") == "", "invalid_event_source")
         .when(F.col("_keys").isNull(), "invalid_event_data")
         .when(F.size(F.array_except("_keys", allowed)) > 0, "unsupported_field")
         .when(bad, "invalid_event_field")
-        .when((link != "") & (urls.canonical_url(link) == ""), "invalid_url")
+        .when((F.col("_link") != "") & (urls.canonical_url(F.col("_link")) == ""), "invalid_url")
+    )
+    # What a row tells by itself is judged before the lookups, so that no parsed payload is shuffled.
+    rows = rows.withColumn("_flaw", own).drop("_json", "_keys", "_link")
+    # Most browser events come from a handful of hosts: only those are split over tasks.
+    any_row = [F.monotonically_increasing_id()]
+    rows = rows.withColumn("_host", F.lower("origin_host")).withColumn("_site", F.col("_dest"))
+    hosted = heavy_lookup(rows, hosts, "_host", any_row, "left")
+    found = heavy_lookup(hosted, keys, "_site", any_row, "left", counted=rows)
+    reason = (
+        F.when(~typ.isin(*CONTRACTS), "unsupported_type")
+        .when(F.col("_own").isNull(), "invalid_event_origin")
+        .when(F.col("_flaw").isNotNull(), F.col("_flaw"))
         .when((F.coalesce("_dest", F.lit("")) != "") & F.col("_site_ok").isNull(), "unknown_site")
     )
-    return rows.withColumn("reject_reason", reason)
+    return found.withColumn("reject_reason", reason)
 
 
 def admit_events(rows: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted rows with a clean payload, rejected rows with their reason)."""
-    judged = admission(rows, sites)
+    return split_admitted(admission(rows, sites), rows.columns)
+
+
+def split_admitted(judged: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`admission` as accepted and rejected ones; ``columns`` are those of the raw rows."""
     fields = {n: k for c in CONTRACTS.values() for n, (k, _) in c.items()}
     clean = []
     for name, kind in fields.items():
@@ -168,11 +179,11 @@ def admit_events(rows: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFram
         if name in URL_FIELDS:
             value = F.when(value != "", urls.canonical_url(value)).otherwise(value)
         clean.append((value.try_cast("bigint") if kind == "integer" else value).alias(name))
-    base = [c for c in rows.columns if c not in ("event_data", "source_url")]
+    base = [c for c in columns if c not in ("event_data", "source_url")]
     accepted = judged.filter(F.col("reject_reason").isNull()).select(
         *base, F.to_json(F.struct(*clean)).alias("event_data"), F.col("_canonical").alias("source_url")
     )
-    return accepted, judged.filter(F.col("reject_reason").isNotNull()).select(*rows.columns, "reject_reason")
+    return accepted, judged.filter(F.col("reject_reason").isNotNull()).select(*columns, "reject_reason")
 
 
 EXPERIMENT_FIELDS = ["experiment_key", "definition_version", "assignment_policy", "variant", "surface"]

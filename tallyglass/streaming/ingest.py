@@ -18,13 +18,14 @@ def ingest_events(stream: DataFrame, sites: DataFrame, accepted: str, rejected:
     """Admitted rows to one table, refused rows with their reason to another."""
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        rows.persist(StorageLevel.MEMORY_AND_DISK)
+        judged = EV.admission(rows, sites).select(*rows.columns, "_canonical", "reject_reason")
+        judged.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            ok, bad = EV.admit_events(rows, sites)
+            ok, bad = EV.split_admitted(judged, rows.columns)
             MB.put(ok, accepted, batch_id)
             MB.put(bad, rejected, batch_id)
         finally:
-            rows.unpersist()
+            judged.unpersist()
 
     MB.run(stream, handle, checkpoint)
 

@@ -318,3 +318,24 @@ def test_names_are_cut_once_above_the_aggregate_that_made_the_rows(spark):
     below = out._jdf.queryExecution().optimizedPlan().toString().rsplit("Aggregate", 1)[1]
     assert "regexp" not in below and "Filter" not in below
     assert sorted((r["slug"], r["views"]) for r in out.collect()) == [("", 10), ("a", 20), ("b", 10)]
+
+
+def test_admission_shuffles_no_parsed_payload(spark):
+    """A row's own flaws are judged before the lookups; the order of the reasons stays."""
+    url = "https://a.example/x/?q=1"
+    rows = spark.createDataFrame(
+        [
+            (1, "share_click", "{", url, "b.example"), (2, "share_click", "{", url, "a.example"), (3, "other", "{", url, "b.example"),
+            (4, "bridge_click", '{"dest_site": "one"}', url, "A.example"), (5, "bridge_click", '{"dest_site": "two"}', url, "a.example"),
+            (6, "share_click", '{"share_url": "ftp://x"}', url, "a.example"), (7, "bridge_click", '{"source_post": "1x", "dest_site": "two"}', url, "a.example"),
+            (8, "share_click", "{}", "https://c.example/", "a.example"), (9, "share_click", None, url, "a.example"),
+        ],
+        "id int, event_type string, event_data string, source_url string, origin_host string",
+    )
+    sites = spark.createDataFrame([("a.example", "one")], "host string, site string")
+    judged = EV.admission(rows, sites)
+    assert not {"_json", "_keys"} & set(judged.columns)
+    assert {r["id"]: r["reject_reason"] for r in judged.collect()} == {
+        1: "invalid_event_origin", 2: "invalid_event_data", 3: "unsupported_type", 4: None, 5: "unknown_site",
+        6: "invalid_url", 7: "invalid_event_field", 8: "invalid_event_source", 9: "invalid_event_data",
+    }
