@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +28,11 @@ ZEROS, RUN = 15, 240
 MAGIC = b"TKS8B\x00\x00\x01"
 SPACE_BYTES = {c: " " for c in range(9, 14)}
 CONTROLS = "\x1c\x1d\x1e\x1f"
+LATIN_SPACE = "\t\n\x0b\x0c\r \x85\xa0"
+#: How the tokenizers known here cut words, each class in brackets.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stands behind the ids of each word; no token has it.
+BREAK = np.uint32(0xFFFFFFFF)
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -129,43 +137,104 @@ def decode(words: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes whole texts word by word and remembers words.
+    """Encodes whole texts by the pieces of their distinct words and remembers pieces.
 
-    For tokenizers that lower-case, drop white space and split at it, the ids of a text are those of its words.
-    The memory is bounded: it is emptied when it holds ``most`` words.
+    For tokenizers that lower-case, drop white space and split at it, the ids of a text are those of its words,
+    and the ids of a word those of the pieces that the tokenizer's own pattern cuts it into.
+    The memory is bounded: it is emptied when it holds ``most`` pieces.
     """
 
-    def __init__(self, file: str, most: int = 1_000_000) -> None:
+    def __init__(self, file: str, most: int = 700_000) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(file), most, {"\n": BREAK.tobytes()}
+        pattern = piece_pattern(file)
+        self.lean, self.pieces = Tokenizer.from_file(file), re.compile(f"{pattern or '[^\n]+'}|\n")
+        if pattern:  # pieces are cut already
+            self.lean.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        latin = "".join(map(chr, range(256))).lower().translate(dict.fromkeys(map(ord, LATIN_SPACE)))
+        if self.lean.normalizer and self.lean.normalizer.normalize_str(latin) == latin:  # nothing left for it in lower-case words
+            self.lean.normalizer = None
+        suffix, vocab = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def _learn(self, new: list[str], tokenizer) -> None:
+        for start in range(0, len(new), 500):
+            part = new[start : start + 500]
+            found = tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            edges = np.flatnonzero(self.last[ids]) + 1
+            if tokenizer is self.lean and len(edges) == len(part):  # a piece has one last token
+                edges = np.append(0, edges)
+            else:
+                begins = np.fromiter((x for x, _ in found.offsets), np.int64, len(ids))
+                edges = np.searchsorted(begins, np.cumsum([0, *(len(w) + 1 for w in part)]))
+            raw, edges = ids.tobytes(), (4 * edges).tolist()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:]))))
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(file), most, {}
+    def _known(self, found: list[str], tokenizer) -> np.ndarray:
+        self._learn(list(set(found) - self.known.keys()), tokenizer)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, found)), np.uint32)
 
-    def _learn(self, new: list[str]) -> None:
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw = np.array(found.ids, np.uint32).tobytes()
-            begins = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
-            words = np.cumsum([0, *(len(w) + 1 for w in part)])
-            edges = (4 * np.searchsorted(begins, words)).tolist()
-            self.known.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:]))))
+    def _ids(self, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words joined by line feeds, and where those of each word begin and end."""
+        if len(self.known) > self.most:
+            self.known = {"\n": self.known["\n"]}
+        if lower_is_safe(joined):
+            ids = self._known(self.pieces.findall(f"{joined.lower()}\n"), self.lean)
+            ends = np.flatnonzero(ids == BREAK)
+            return ids, np.append(0, ends[:-1] + 1), ends
+        words = joined.split("\n")
+        plain = np.fromiter(map(lower_is_safe, words), bool, len(words))
+        odd = self._known([x for w in compress(words, ~plain) for x in (w, "\n")], self.tokenizer)
+        ids, begins, ends = self._ids("\n".join(compress(words, plain))) if plain.any() else (odd[:0], 0, 0)
+        breaks = len(ids) + np.flatnonzero(odd == BREAK)
+        low, high = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        low[plain], high[plain] = begins, ends
+        low[~plain], high[~plain] = np.append(len(ids), breaks[:-1] + 1), breaks
+        return np.concatenate([ids, odd]), low, high
 
     @staticmethod
-    def split(text: str) -> list[str]:
-        if any(c in text for c in CONTROLS):  # str.split takes them for white space, tokenizers do not
-            return text.translate(SPACE_BYTES).split(" ")
-        if lower_is_safe(text):
-            text = text.lower()
-        return text.split()
+    def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words of texts, and how many each text has."""
+        if pc.any(pc.match_substring_regex(texts, f"[{CONTROLS}]")).as_py():  # Arrow takes them for white space, tokenizers do not
+            split = pa.array([t.translate(SPACE_BYTES).split(" ") for t in texts.to_pylist()], pa.list_(texts.type))
+        else:
+            split = pc.utf8_split_whitespace(texts)
+        return split.flatten(), pc.list_value_length(split).to_numpy()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.split(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        self._learn([w for w in set(chain.from_iterable(split)) - self.known.keys() if w])
-        self.known.setdefault("", b"")
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in split]
+        ids, sizes = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1])
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each text has. Nulls have none."""
+        words, counts = self.split(pc.fill_null(texts, ""))
+        coded = words.dictionary_encode()
+        if not len(coded):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        distinct = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.string()))
+        ids, low, high = self._ids(pc.binary_join(distinct, "\n")[0].as_py())
+        codes = coded.indices.to_numpy()
+        sizes = (high - low)[codes]
+        sums = np.append(0, np.cumsum(sizes))
+        out = ids[np.repeat(low[codes] - sums[:-1], sizes) + np.arange(sums[-1])]
+        return out, np.diff(sums[np.append(0, np.cumsum(counts))])
+
+
+def piece_pattern(file: str) -> str | None:
+    """A pattern of the pieces that a tokenizer cuts Latin-1 words into, if it cuts them by ``CUT`` and encodes their bytes."""
+    with open(file, encoding="utf-8") as source:
+        steps = (json.load(source)["pre_tokenizer"] or {}).get("pretokenizers") or []
+    by_cut = {"type": "Split", "pattern": {"Regex": CUT}, "behavior": "Removed", "invert": True}
+    if len(steps) != 2 or steps[0] != by_cut or steps[1]["type"] != "ByteLevel" or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        return None
+    kinds = {c: unicodedata.category(c)[0] for c in map(chr, range(256))}
+    letters, numbers = ("".join(c for c in kinds if kinds[c] == kind) for kind in "LN")
+    return CUT.replace(r"\p{L}", letters).replace(r"\p{N}", numbers).replace(r"\s", LATIN_SPACE)
 
 
 def lower_is_safe(text: str) -> bool:
@@ -185,6 +254,17 @@ def word_encoder(file: str) -> WordEncoder:
     return WordEncoder(file)
 
 
+def spans(texts: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so many bytes, one row at least."""
+    sums = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < len(sums):
+        before = sums[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sums, before + size, "right")))
+        yield low, high
+        low = high
+
+
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, block: int, file_ids: int) -> Iterator[pa.RecordBatch]:
     """Files of this attempt alone: blocks, then the footer with the block and document tables, its size and the magic."""
     system, plain = open_folder(folder)
@@ -223,16 +303,22 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     state["seq"] = 0
     done: list[tuple] = []
     for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for low in range(0, len(keys), 256):
-            for key, ids in zip(keys[low : low + 256], encoder.encode([t or "" for t in texts[low : low + 256]])):
+        keys, texts = batch.column(0).fill_null(-1).to_pylist(), batch.column(1)
+        for low, high in spans(texts):
+            ids, sizes = encoder.encode_column(texts.slice(low, high - low))
+            ends = np.cumsum(sizes)
+            ids, sizes, ends = np.insert(ids, ends, end_id), sizes + 1, np.append(0, ends + np.arange(1, len(ends) + 1))
+            at = 0
+            while at < len(sizes):
                 if state["sink"] is None:
                     begin()
-                state["docs"].append(-1 if key is None else key)
-                state["sizes"].append(len(ids) + 1)
-                state["pending"] += [ids, np.array([end_id], np.uint32)]
-                state["waiting"] += len(ids) + 1
-                state["ids"] += len(ids) + 1
+                stop = min(int(np.searchsorted(ends, ends[at] + file_ids - state["ids"])), len(sizes))
+                state["docs"] += keys[low + at : low + stop]
+                state["sizes"] += sizes[at:stop].tolist()
+                state["pending"].append(ids[ends[at] : ends[stop]])
+                state["waiting"] += int(ends[stop] - ends[at])
+                state["ids"] += int(ends[stop] - ends[at])
+                at = stop
                 if state["waiting"] >= 8 * block:
                     flush(False)
                 if state["ids"] >= file_ids:

@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from fixtures import odd_documents, odd_rows
 from tokenizers import Tokenizer
 
@@ -32,6 +34,29 @@ def test_word_encoder_equals_the_tokenizer():
         assert encoder.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_column_of_latin_and_other_texts_equals_the_tokenizer():
+    plain, encoder = Tokenizer.from_file(FILE), T.WordEncoder(FILE, most=300)
+    rng = random.Random(5)
+    latin = [chr(c) for c in range(256)] + ["'s", "'LL", "don't", "  ", "\n", "a1", "É"]
+    other = ["中文", "T\u0308", "\u0301", "İ", "Σ", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "\u3000", "٣", "😀"]
+    for pool in (latin, [c for c in latin if c not in T.CONTROLS], latin + other * 9):
+        texts = ["".join(rng.choices(pool, k=rng.randrange(40))) for _ in range(400)] + ["", None]
+        column = pa.array(["left out", *texts]).slice(1)
+        got = [encoder.encode_column(column.slice(low, high - low)) for low, high in T.spans(column, 3000)]
+        assert len(got) > 2
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert np.concatenate([sizes for _, sizes in got]).tolist() == [len(ids) for ids in want]
+        assert np.concatenate([ids for ids, _ in got]).tolist() == [i for ids in want for i in ids]
+
+
+def test_each_piece_is_encoded_once():
+    encoder, asked = T.WordEncoder(FILE), []
+    learn = encoder._learn
+    encoder._learn = lambda new, tokenizer: (asked.extend(new), learn(new, tokenizer))
+    ids, sizes = encoder.encode_column(pa.array(["Word, word. (word)", "WORD; don't word's", "word word, word"]))
+    assert sorted(asked) == sorted(["word", ",", ".", "(", ")", ";", "don", "'t", "'s"]) and sizes.tolist() == [7, 6, 4]
+
+
 def test_files_give_back_all_ids(spark):
     plain = Tokenizer.from_file(FILE)
     docs = odd_documents(spark)
